@@ -27,6 +27,8 @@ from vellum.llm.common import Scratch, WordHashes, blocks_of, components, pack_s
 BLOCK_CHARS, RANGE_CHARS = 4_000_000, 16_000_000
 #: Members of a list up to which its open pairs are made as rows; members of a tile beyond it.
 SHORT_LIST, TILE = 48, 1024
+#: What comparing a member with the first of its list costs, in rows.
+COMPARED = 4
 
 _hashes = WordHashes()
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -155,11 +157,11 @@ def candidates(docs: DataFrame, reps: DataFrame, size: int, num: int, den: int,
 def boundary(cands: DataFrame) -> int:
     """Set size up to which pairs of prefix tokens are enumerated: counted over all candidates, by powers of two.
 
-    A small set costs the rows of its pairs; a large one the rows of its tokens and a share of the lists they scan.
+    A small set costs the rows of its pairs; a large one the rows of its tokens, each of which is compared with the
+    first of its list, so that lists cost in proportion to their length whatever it is.
     """
     t = F.col("single").cast("long")
-    scan = F.aggregate(F.slice("df", F.lit(1), F.greatest(F.col("single"), F.lit(1))), F.lit(0).cast("long"), lambda a, x: a + F.least(x, F.lit(1000)))
-    rows = cands.groupBy(F.floor(F.log2(F.col("n") + F.lit(0.5))).cast("int").alias("k")).agg(F.sum((t + 1) * t / 2).alias("pairs"), F.sum(t + F.lit(0.25) * scan).alias("lists")).collect()  # one row for each power of two
+    rows = cands.groupBy(F.floor(F.log2(F.col("n") + F.lit(0.5))).cast("int").alias("k")).agg(F.sum((t + 1) * t / 2).alias("pairs"), F.sum(t * F.lit(1 + COMPARED)).alias("lists")).collect()  # one row for each power of two
     by = {r["k"]: (float(r["pairs"]), float(r["lists"])) for r in rows}
     best, cost = 0, math.inf
     for cut in range(0, max(by, default=0) + 2):
