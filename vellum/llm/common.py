@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -178,66 +179,98 @@ def total_chars(docs: DataFrame, text: str = "text") -> int:
 
 # --------------------------------------------------------------------------- tokenizers
 
-#: Unicode White_Space (fixed values).
+#: Unicode White_Space, Latin letters, and the ASCII characters that are no letters (fixed values).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_CHUNKS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+LATIN, NO_LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff", "\0-@\\[-`{-\x7f"
+#: A run of letters with the space before it, where an ASCII character that is no letter follows; else all up to white space.
+_WITH_SPACE = re.compile(f" ?[{LATIN}]+(?=[{NO_LETTER}]|\\Z)|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+#: The same for tokenizers that drop white space.
+_NO_SPACE = re.compile(f"[{LATIN}]+(?=[{NO_LETTER}]|\\Z)|[^{SPACE}]+")
+
+
+#: Byte-level alphabet: bytes that print stand for themselves, the others for characters from 256 on.
+_BYTE_ALPHABET = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
+
+
+class _Numbers(dict):
+    """Numbers chunks in the order in which they are first asked for."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        n = self[chunk] = len(self)
+        self.new.append(chunk)
+        return n
 
 
 class Encoder:
     """Token ids by the tokenizers library, remembering the ids of chunks already seen.
 
     Both public tokenizers split texts before their merges so that no token crosses from a non-space into a
-    following space; the text is cut there, every new chunk is encoded once by the library, and the ids of a
-    text are put together from its chunks. The memory is bounded by `most` chunks.
+    following space, nor from a run of letters into what is no letter; the text is cut there, every new chunk is
+    encoded once by the library, and the ids of a text are put together from its chunks. The memory is bounded by
+    `most` chunks.
     """
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
         self.most = most
+        one, two = (self.lib.encode(x, add_special_tokens=False).ids for x in ("b", " b"))
+        self.chunks = (_NO_SPACE if one == two else _WITH_SPACE).findall
+        self.lower = self.lib.normalizer is not None and self.lib.normalizer.normalize_str("A") == "a"
+        self.word = re.compile(f" ?[{LATIN}]+").fullmatch
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.new: list[str] = []
-        self.flat, self.at = np.empty(0, np.int32), np.zeros(1, np.int64)
-
-    def _number(self, chunks: list[str]) -> np.ndarray:
-        index, new = self.index, self.new
-        got = list(map(index.get, chunks))
-        if None in got:
-            for i, n in enumerate(got):
-                if n is None:
-                    c = chunks[i]
-                    n = index.get(c)
-                    if n is None:
-                        n = index[c] = len(index)
-                        new.append(c)
-                    got[i] = n
-        return np.array(got, np.int64)
+        self.number = _Numbers()
+        self.flat, self.at = np.empty(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
+        self.known = 0
+
+    def _learn(self) -> None:
+        new, self.number.new = self.number.new, []
+        model, word = self.lib.model.tokenize, self.word
+        for s in range(0, len(new), 8192):
+            ids = [None] * len(new[s : s + 8192])
+            rest = []
+            for i, c in enumerate(new[s : s + 8192]):
+                if word(c):  # one word to both tokenizers: the library's model takes it in its byte alphabet
+                    c = (c.lower() if self.lower else c).encode().decode("latin-1").translate(_BYTE_ALPHABET)
+                    ids[i] = [t.id for t in model(c)]
+                else:
+                    rest.append(i)
+            for i, e in zip(rest, self.lib.encode_batch_fast([new[s + i] for i in rest], add_special_tokens=False), strict=True):
+                ids[i] = e.ids
+            long = np.fromiter(map(len, ids), np.int64, len(ids))
+            ends = self.at[self.known] + np.cumsum(long)
+            if self.known + len(ids) >= len(self.at):
+                self.at = np.concatenate([self.at, np.zeros(len(self.at) + len(ids), np.int64)])
+            if ends[-1] > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), int(ends[-1])), np.int32)])
+            self.flat[self.at[self.known] : ends[-1]] = np.fromiter(chain.from_iterable(ids), np.int32, int(long.sum()))
+            self.at[self.known + 1 : self.known + 1 + len(ids)] = ends
+            self.known += len(ids)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and the number of ids of each text."""
-        if len(self.index) > self.most:
+        if len(self.number) > self.most:
             self._reset()
-        numbers = [self._number(_CHUNKS.findall(t)) for t in texts]
-        if self.new:
-            ids = [e.ids for e in self.lib.encode_batch_fast(self.new, add_special_tokens=False)]
-            more = np.fromiter((x for e in ids for x in e), np.int32)
-            self.flat = np.concatenate([self.flat, more])
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(e) for e in ids], dtype=np.int64)])
-            self.new.clear()
-        chunk = np.concatenate(numbers) if numbers else np.empty(0, np.int64)
-        long = self.at[chunk + 1] - self.at[chunk]
-        ends = np.cumsum(long)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.at[chunk] - (ends - long), long) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])
-        last = np.cumsum([len(n) for n in numbers], dtype=np.int64)
-        counts = np.diff(bounds[np.concatenate([[0], last])]) if numbers else np.empty(0, np.int64)
-        return ids, counts
+        chunks, last = [], [0]
+        for t in texts:
+            chunks += self.chunks(t)
+            last.append(len(chunks))
+        chunk = np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
+        if self.number.new:
+            self._learn()
+        begin = self.at[chunk]
+        long = self.at[chunk + 1] - begin
+        bounds = np.concatenate([[0], np.cumsum(long)])
+        ids = self.flat[np.repeat(begin - bounds[:-1], long) + np.arange(bounds[-1])]
+        return ids, np.diff(bounds[last])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -250,25 +283,15 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def slices(texts: list, most_chars: int = 2_000_000) -> list[tuple[int, int]]:
-    """Ranges of a list of texts with about so many characters each, one text at least."""
+def slices(texts: list | pa.Array, most_chars: int = 1_500_000) -> list[tuple[int, int]]:
+    """Ranges of a list or column of texts with about so many characters (bytes) each, one text at least."""
+    long = pc.fill_null(pc.binary_length(texts), 0).to_pylist() if isinstance(texts, pa.Array) else [len(t or "") for t in texts]
     out, start, chars = [], 0, 0
-    for i, t in enumerate(texts):
-        n = len(t or "")
+    for i, n in enumerate(long):
         if i > start and chars + n > most_chars:
             out.append((start, i))
             start, chars = i, 0
         chars += n
-    if start < len(texts):
-        out.append((start, len(texts)))
+    if start < len(long):
+        out.append((start, len(long)))
     return out
-
-
-def by_batch(f: Callable[[pa.RecordBatch], list[pa.RecordBatch]]):
-    """A mapInArrow function from one that turns a batch into batches."""
-
-    def run(batches):
-        for b in batches:
-            yield from f(b)
-
-    return run

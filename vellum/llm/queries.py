@@ -72,9 +72,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query("op6_token_orc")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = Scratch(spark, "op6").path()
+    scratch = Scratch(spark, "op6")
+    path = scratch.path()
     token_orc.write(table(spark, sf_dir, "documents"), path, _tokenizer("byte_bpe_50k.json"), end_id=0)
-    return token_orc.positions(spark, path)
+    return token_orc.positions(spark, path, scratch)
 
 
 OP7_SQL = r"""

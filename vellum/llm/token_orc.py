@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vellum.llm.common import blocks_of, encoder, slices, total_chars
+from vellum.llm.common import Scratch, blocks_of, encoder, slices, total_chars
 
 #: Characters of text to a file; ORC's stripe size, rows to a row-index entry and Bloom filter settings.
 FILE_CHARS = 16_000_000
 ORC = {
-    "compression": "zstd",
+    "compression": "snappy",
     "orc.stripe.size": str(16 << 20),
     "orc.row.index.stride": "1000",
     "orc.create.index": "true",
@@ -29,9 +29,8 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts = [t or "" for t in b["text"].to_pylist()]
-            for s, e in slices(texts):
-                ids, n = encoder(tokenizer).encode(texts[s:e])
+            for s, e in slices(b["text"]):
+                ids, n = encoder(tokenizer).encode([t or "" for t in b["text"].slice(s, e - s).to_pylist()])
                 if end_id is not None:
                     ids = np.insert(ids, np.cumsum(n), end_id)
                     n = n + 1
@@ -56,7 +55,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("doc_id long, ids array<int>").orc(path).select("doc_id", "ids", F.col("_metadata.file_path").alias("file"))
 
 
-def positions(spark: SparkSession, path: str) -> DataFrame:
+def positions(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
     """Rows (doc_id, start, n_tokens, ids_crc32) from the files alone.
 
     A file's rows are numbered in its own order and its start is the sum of the files of smaller ids, one row to
@@ -70,7 +69,7 @@ def positions(spark: SparkSession, path: str) -> DataFrame:
             crc = [zlib.crc32(flat[s:e].tobytes()) for s, e in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["file"], pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "file", "n_tokens", "ids_crc32"])
 
-    rows = read(spark, path).mapInArrow(run, "doc_id long, file string, n_tokens long, ids_crc32 long")
+    rows = scratch.keep(read(spark, path).mapInArrow(run, "doc_id long, file string, n_tokens long, ids_crc32 long"))
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.min("doc_id").alias("low"), F.count("doc_id").alias("known"))
     before = W.orderBy(F.col("low").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
     files = files.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select("file", "base")
