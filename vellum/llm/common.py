@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -214,7 +215,7 @@ class Encoder:
     `most` chunks.
     """
 
-    def __init__(self, path: str, most: int = 500_000) -> None:
+    def __init__(self, path: str, most: int = 800_000) -> None:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
@@ -228,7 +229,7 @@ class Encoder:
 
     def _reset(self) -> None:
         self.number = _Numbers()
-        self.flat, self.at = np.empty(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
+        self.flat, self.at = np.empty(1 << 16, np.int32), np.zeros(1 << 14, np.int32)
         self.known = 0
 
     def _learn(self) -> None:
@@ -245,10 +246,10 @@ class Encoder:
                     rest.append(i)
             for i, e in zip(rest, self.lib.encode_batch_fast([new[s + i] for i in rest], add_special_tokens=False), strict=True):
                 ids[i] = e.ids
-            long = np.fromiter(map(len, ids), np.int64, len(ids))
-            ends = self.at[self.known] + np.cumsum(long)
+            long = np.fromiter(map(len, ids), np.int32, len(ids))
+            ends = self.at[self.known] + np.cumsum(long, dtype=np.int32)
             if self.known + len(ids) >= len(self.at):
-                self.at = np.concatenate([self.at, np.zeros(len(self.at) + len(ids), np.int64)])
+                self.at = np.concatenate([self.at, np.zeros(len(self.at) + len(ids), np.int32)])
             if ends[-1] > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), int(ends[-1])), np.int32)])
             self.flat[self.at[self.known] : ends[-1]] = np.fromiter(chain.from_iterable(ids), np.int32, int(long.sum()))
@@ -263,16 +264,27 @@ class Encoder:
         for t in texts:
             chunks += self.chunks(t)
             last.append(len(chunks))
-        chunk = np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
+        chunk = np.fromiter(map(self.number.__getitem__, chunks), np.int32, len(chunks))
         if self.number.new:
+            gc.disable()  # only ids are made there, no cycles
             self._learn()
+            gc.enable()
         begin = self.at[chunk]
         long = self.at[chunk + 1] - begin
-        bounds = np.concatenate([[0], np.cumsum(long)])
-        ids = self.flat[np.repeat(begin - bounds[:-1], long) + np.arange(bounds[-1])]
+        bounds = np.concatenate([np.zeros(1, np.int32), np.cumsum(long, dtype=np.int32)])
+        ids = self.flat[np.repeat(begin - bounds[:-1], long) + np.arange(bounds[-1], dtype=np.int32)]
         return ids, np.diff(bounds[last])
 
 
+def with_end(ids: np.ndarray, n: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of texts with the end id after each, and their new numbers."""
+    out = np.full(len(ids) + len(n), end_id, np.int32)
+    keep = np.ones(len(out), bool)
+    keep[np.cumsum(n + 1) - 1] = False
+    out[keep] = ids
+    return out, n + 1
+
+
 _encoders: dict[str, Encoder] = {}
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vellum.llm.common import Scratch, encoder, slices
+from vellum.llm.common import Scratch, encoder, slices, with_end
 
 CAPACITY, UNIT = 4096, 8
 #: Most rounds of column generation; every round's basis is a feasible plan, so a bound only costs padding.
@@ -33,8 +33,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
         for b in batches:
             for s, e in slices(b["text"]):
                 ids, n = encoder(tokenizer).encode([t or "" for t in b["text"].slice(s, e - s).to_pylist()])
-                data = np.insert(ids, np.cumsum(n), end_id).astype("<u4")
-                n, at, rows = n + 1, 0, []
+                data, n = with_end(ids, n, end_id)
+                at, rows = 0, []
                 for i, long in enumerate(n.tolist()):
                     for p in range(0, long, capacity):
                         size = min(capacity, long - p)

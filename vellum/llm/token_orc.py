@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vellum.llm.common import Scratch, blocks_of, encoder, slices, total_chars
+from vellum.llm.common import Scratch, blocks_of, encoder, slices, with_end
 
-#: Characters of text to a file; ORC's stripe size, rows to a row-index entry and Bloom filter settings.
-FILE_CHARS = 16_000_000
+#: Documents to a file; ORC's stripe size, rows to a row-index entry and Bloom filter settings.
+FILE_ROWS = 5_000
 ORC = {
-    "compression": "snappy",
+    "compression": "none",  # the run-length coded ids are dense already
     "orc.stripe.size": str(16 << 20),
     "orc.row.index.stride": "1000",
     "orc.create.index": "true",
@@ -32,10 +32,9 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame:
             for s, e in slices(b["text"]):
                 ids, n = encoder(tokenizer).encode([t or "" for t in b["text"].slice(s, e - s).to_pylist()])
                 if end_id is not None:
-                    ids = np.insert(ids, np.cumsum(n), end_id)
-                    n = n + 1
+                    ids, n = with_end(ids, n, end_id)
                 at = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(s, e - s), pa.ListArray.from_arrays(at, pa.array(ids.astype(np.int32)))], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(s, e - s), pa.ListArray.from_arrays(at, pa.array(ids))], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -45,7 +44,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 0) ->
 
     The texts are dealt out by range before they are encoded. Null ids come first. Equal ids stay in one file.
     """
-    files = blocks_of(total_chars(docs), FILE_CHARS)
+    files = blocks_of(docs.count(), FILE_ROWS)
     ranged = docs.select("doc_id", "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
     encode(ranged, tokenizer, end_id).write.options(**ORC).orc(path)
 
@@ -65,7 +64,7 @@ def positions(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
     def run(batches):
         for b in batches:
             ids = b["ids"]
-            flat, at = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
+            flat, at = ids.values.to_numpy(zero_copy_only=False).view("<u4"), ids.offsets.to_numpy()
             crc = [zlib.crc32(flat[s:e].tobytes()) for s, e in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["file"], pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "file", "n_tokens", "ids_crc32"])
 
