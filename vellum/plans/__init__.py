@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vellum.plans import layout, texts
 from vellum.registry import Query
 
+_PARTS = (layout.R, texts.R)
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {k: q for r in _PARTS for k, q in r.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: q for r in _PARTS for k, q in r.oracles.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """For a question, the eight best sentences with citation tags."""
+    return texts.flagship(spark, sf_dir)
