@@ -68,12 +68,17 @@ SCORE = list(dict.fromkeys(SCORE))
 
 def related(s, d, n=8):
     """the sentences that share most pairs of characters with the question; ties in document order."""
-    text = F.lower(T.plain(F.col("p")))
-    score = sum((F.when(text.contains(g), 1).otherwise(0) for g in SCORE), F.lit(0))
-    x = pieces(s, d).where(F.length(text) >= 20).select("doc_id", "k", T.plain(F.col("p")).alias("sentence"), score.cast("long").alias("score"))
+    x = scored(pieces(s, d).select("doc_id", "k", T.plain(F.col("p")).alias("sentence")).where(F.length("sentence") >= 20), "sentence")
     return x.where("score > 0").orderBy(F.desc("score"), "doc_id", "k").limit(n)
 
 
+def scored(x, column):
+    """Adds how many of the question's pairs a text has. The small letters are bound once, else each pair would make them anew."""
+    pairs = F.array(*[F.lit(g) for g in SCORE])
+    count = F.transform(F.array(F.lower(column)), lambda t: F.size(F.filter(pairs, lambda g: F.contains(t, g))))
+    return x.withColumn("score", F.element_at(count, 1).cast("long"))
+
+
 SCORE_SQL = " + ".join(f"CASE WHEN contains(lower({PLAIN('p')}), '{g}') THEN 1 ELSE 0 END" for g in SCORE)
 
 
@@ -85,8 +90,8 @@ def flagship(s, d):
 
 @R.query("c15_question_scores", f"WITH {PIECE_SQL} SELECT doc_id, CAST(sum({SCORE_SQL}) AS BIGINT) AS score FROM piece GROUP BY doc_id")
 def _(s, d):
-    text = F.lower(T.plain(F.col("p")))
-    return pieces(s, d).groupBy("doc_id").agg(F.sum(sum((F.when(text.contains(g), 1).otherwise(0) for g in SCORE), F.lit(0))).alias("score"))
+    x = scored(pieces(s, d).select("doc_id", T.plain(F.col("p")).alias("sentence")), "sentence")
+    return x.groupBy("doc_id").agg(F.sum("score").alias("score"))
 
 
 @R.query("h20_citation_tags", f"WITH {PIECE_SQL} SELECT doc_id, k, '[P' || doc_id || 'S' || k || CASE k % 3 WHEN 0 THEN '' WHEN 1 THEN ':L10' ELSE ':L10-12' END || ']' AS tag FROM piece")
