@@ -106,12 +106,13 @@ def spans(mask: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
 
 
-def substring_dedup(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", keep_unchanged: bool = False) -> DataFrame:
     """Removes each word that a window of `size` words covers whose words also start in a document of smaller id.
 
     Words are runs without ASCII white space. Returns (id_col, n_words, n_removed, removed, kept, rest): `removed`
     holds the maximal removed intervals as starts and ends of words by turns, `kept` the other words joined by a
-    space, `rest` the other columns of the input as a struct, so that no name of theirs can clash.
+    space, `rest` the other columns of the input as a struct, so that no name of theirs can clash. With `keep_unchanged`
+    a text of which nothing is removed comes back as it is, white space included.
 
     Null and empty texts have no words and come back as empty. Documents shorter than a window keep all words. A
     row without an id is no smaller nor larger than any: it keeps all and removes nothing. Rows with one id do not
@@ -132,9 +133,12 @@ def substring_dedup(docs: DataFrame, size: int = 13, id_col: str = "doc_id", tex
         return _Block(t["id"], t["text"].to_pylist(), size, ranges).sent(t["block"][0].as_py())
 
     def applied(t: pa.Table, answers: pa.Table) -> pa.Table:
-        block = _Block(t["id"], t["text"].to_pylist(), size, ranges)
+        texts = t["text"].to_pylist()
+        block = _Block(t["id"], texts, size, ranges)
         gone = _removed(block, answers, size)
         kept = [b" ".join([w for w, g in zip(words, m.tolist(), strict=True) if not g] if m.any() else words).decode() for words, m in zip(block.words, gone, strict=True)]
+        if keep_unchanged:
+            kept = [k if m.any() else (x or "") for k, m, x in zip(kept, gone, texts, strict=True)]
         others = t["rest"].cast(pa.struct([pa.field(f.name, f.type) for f in t["rest"].type]))  # all nullable
         cols = [t["id"], pa.array([len(m) for m in gone], pa.int64()), pa.array([int(m.sum()) for m in gone], pa.int64()), pa.array([spans(m) for m in gone], pa.list_(pa.int64())), pa.array(kept, pa.string()), others]
         return pa.table(cols, names=[id_col, "n_words", "n_removed", "removed", "kept", "rest"])
