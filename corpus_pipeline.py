@@ -29,10 +29,9 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that a smaller document has go; a document of which no word is left goes with them."""
-    out = substring_dedup(docs.select(*COLUMNS))
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("rest.text"))
-    out = out.where("n_removed = 0 or n_removed < n_words")
-    return out.select("doc_id", text.alias("text"), "rest.lang", "rest.source", F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("rest.n_chars")).alias("n_chars"))
+    out = substring_dedup(docs.select(*COLUMNS), keep_unchanged=True).where("n_removed = 0 or n_removed < n_words")
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("rest.n_chars"))
+    return out.select("doc_id", F.col("kept").alias("text"), "rest.lang", "rest.source", n_chars.alias("n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
