@@ -12,6 +12,8 @@ from vellum.llm.common import Scratch
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Classes into which the ranks of a source are counted before its cut is looked for in one of them.
 CLASSES = 4096
+#: Most sources whose targets are broadcast; with more they are joined by shuffling.
+MOST_BROADCAST = 100_000
 
 
 def n_words(text: Column) -> Column:
@@ -64,7 +66,8 @@ def mix(docs: DataFrame, scratch: Scratch, seed: str = "mix-1", weights: tuple[f
     targets = targets.select(key.alias("key"), "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("r"))
     targets = targets.withColumn("whole", F.least(F.floor("r"), F.lit(most_copies)).cast("long")).withColumn("p", F.col("r") - F.col("whole"))
     targets = targets.withColumn("lacks", F.col("target") - F.col("whole") * F.col("source_size"))
-    ranked = sizes.withColumn("key", key).join(targets, "key")
+    hint = F.broadcast if targets.count() <= MOST_BROADCAST else lambda x: x  # else a large source would meet in one task
+    ranked = sizes.withColumn("key", key).join(hint(targets), "key")
     u = uniform(F.col("doc_id"), seed)
     odds = F.when((F.col("p") > 0) & (F.col("p") < 1), (u / (1 - u)) / (F.col("p") / (1 - F.col("p"))))
     ranked = ranked.withColumn("q", odds).withColumn("class", F.floor(F.col("q") / (1 + F.col("q")) * CLASSES).cast("int"))
@@ -72,7 +75,7 @@ def mix(docs: DataFrame, scratch: Scratch, seed: str = "mix-1", weights: tuple[f
     upto = W.partitionBy("key").orderBy("class")
     counts = counts.withColumn("end", F.sum("words").over(upto)).withColumn("begin", F.col("end") - F.col("words"))
     cut = counts.where("begin < lacks and end >= lacks").groupBy("key").agg(F.min(F.struct("class", "begin")).alias("c")).select("key", F.col("c.class").alias("cut"), "c.begin")
-    ranked = ranked.join(cut, "key", "left")
+    ranked = ranked.join(hint(cut), "key", "left")
     edge = ranked.where("class = cut")
     inside = W.partitionBy("key").orderBy("q", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
     edge = edge.withColumn("end", F.col("begin") + F.sum("size").over(inside))
