@@ -24,6 +24,8 @@ from vellum.llm.common import Scratch, blocks_of, mix, total_chars
 GRAM = 64
 #: Bytes that are scanned for anchors at a time; characters of text for each group of grams.
 CHUNK, GROUP_CHARS = 1 << 19, 8_000_000
+#: Most different surroundings of one gram that are sorted in one task; grams with more are counted window by window.
+MOST_SORTED = 20_000
 #: Odd bases of the hashes (fixed values; any odd numbers of good spread do) and the inverse of the second.
 _GRAM_BASE = 0xD6E8FEB86659FD93
 _BASE = 0x9E3779B97F4A7C15
@@ -258,6 +260,30 @@ def _agree(size: int):
 # --------------------------------------------------------------------------- Spark
 
 
+def _counted(near: DataFrame, size: int) -> DataFrame:
+    """What `_agree` gives, for grams whose surroundings are too many for one task: every string of `size` bytes around an
+    anchor is counted by its hash, and the outermost that come twice tell how far a class reaches. Nothing is gathered."""
+
+    def windows(batches):
+        for b in batches:
+            for s in range(0, b.num_rows, 256):
+                part = b.slice(s, 256)
+                back, hashes = [], []
+                for left, t in zip(part["left"].to_pylist(), part["near"].to_pylist(), strict=True):
+                    first = min(left, len(t) - size)  # strings that start later begin after the anchor or pass the text's end
+                    back.append([left - p for p in range(first + 1)])
+                    hashes.append([xxhash.xxh3_64_intdigest(t[p : p + size]) - (1 << 63) for p in range(first + 1)])
+                cols = [part["gram"], part["c1"], part["c2"], pa.array(back, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["gram", "c1", "c2", "back", "hashes"])
+
+    key = ["gram", "c1", "c2"]
+    rows = near.select(*key, "left", "near").mapInArrow(windows, "gram long, c1 long, c2 long, back array<int>, hashes array<long>")
+    rows = rows.select(*key, F.explode(F.arrays_zip("back", "hashes")).alias("w")).select(*key, F.col("w.back").alias("back"), F.col("w.hashes").alias("h"))
+    twice = rows.groupBy("gram", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "h")
+    far = rows.join(twice, ["gram", "h"]).groupBy(*key).agg(F.max("back").alias("far_left"), F.min("back").alias("least"))
+    return far.select(*key, "far_left", (F.lit(size) - F.col("least")).cast("int").alias("far_right"))
+
+
 def repeated_ranges(docs: DataFrame, scratch: Scratch, size: int) -> DataFrame:
     """Rows (id, ranges): byte ranges (start, end) of a text that strings of `size` bytes found elsewhere cover; they may overlap."""
     found = scratch.keep(find_anchors(docs, size))
@@ -265,8 +291,8 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, size: int) -> DataFrame:
     classes = found.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at", "left", "right")).alias("one"))
     classes = scratch.keep(classes)
     grams = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    several = classes.join(grams, "gram").select(*key, "one.*")
-    wanted = several.groupBy("id").agg(F.collect_list(F.struct(*key, "at", "left", "right")).alias("wanted"))  # bounded by the text
+    several = classes.join(grams, "gram").select(*key, "one.*", (F.col("kinds") > MOST_SORTED).alias("many"))
+    wanted = several.groupBy("id").agg(F.collect_list(F.struct(*key, "at", "left", "right", "many")).alias("wanted"))  # bounded by the text
 
     def cut(batches):
         for b in batches:
@@ -275,14 +301,21 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, size: int) -> DataFrame:
                 rows = []
                 for text, want in zip(part["text"].to_pylist(), part["wanted"].to_pylist(), strict=True):
                     t = (text or "").encode()
-                    rows.extend((w["gram"], w["c1"], w["c2"], w["left"], t[w["at"] - w["left"] : w["at"] + w["right"]]) for w in want)
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=[*key, "left", "near"])
+                    rows.extend((w["gram"], w["c1"], w["c2"], w["left"], t[w["at"] - w["left"] : w["at"] + w["right"]], w["many"]) for w in want)
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], names=[*key, "left", "near", "many"])
 
-    near = docs.join(wanted, "id").select("text", "wanted").mapInArrow(cut, "gram long, c1 long, c2 long, left int, near binary")
+    near = docs.join(wanted, "id").select("text", "wanted").mapInArrow(cut, "gram long, c1 long, c2 long, left int, near binary, many boolean")
     groups = blocks_of(total_chars(docs), GROUP_CHARS)
-    near = near.withColumn("g", F.pmod("gram", F.lit(groups)).cast("int"))
-    part = near.groupBy("g").applyInArrow(_agree(size), "gram long, c1 long, c2 long, far_left int, far_right int")
+    if several.where("many").limit(1).count():
+        near = scratch.keep(near)
+        counted = _counted(near.where("many"), size)
+    else:
+        counted = None
+    sorted_ = near.where("not many").select(*key, "left", "near", F.pmod("gram", F.lit(groups)).cast("int").alias("g"))
+    part = sorted_.groupBy("g").applyInArrow(_agree(size), "gram long, c1 long, c2 long, far_left int, far_right int")
+    if counted is not None:
+        part = part.unionByName(counted)
     none = F.lit(None).cast("int")
     whole = classes.where("n > 1").select(*key, none.alias("far_left"), none.alias("far_right"))  # all of the surroundings
     once = classes.where("n = 1").select(*key)
