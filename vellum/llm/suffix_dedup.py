@@ -23,7 +23,7 @@ from vellum.llm.common import Scratch, blocks_of, mix, total_chars
 #: Bytes of an anchor's gram (a power of two).
 GRAM = 64
 #: Bytes that are scanned for anchors at a time; characters of text for each group of grams.
-CHUNK, GROUP_CHARS = 1 << 19, 8_000_000
+CHUNK, GROUP_CHARS = 1 << 19, 4_000_000
 #: Most different surroundings of one gram that are sorted in one task; grams with more are counted window by window.
 MOST_SORTED = 20_000
 #: Odd bases of the hashes (fixed values; any odd numbers of good spread do) and the inverse of the second.
@@ -260,7 +260,7 @@ def _agree(size: int):
 # --------------------------------------------------------------------------- Spark
 
 
-def _counted(near: DataFrame, size: int) -> DataFrame:
+def _counted(near: DataFrame, scratch: Scratch, size: int) -> DataFrame:
     """What `_agree` gives, for grams whose surroundings are too many for one task: every string of `size` bytes around an
     anchor is counted by its hash, and the outermost that come twice tell how far a class reaches. Nothing is gathered."""
 
@@ -279,7 +279,7 @@ def _counted(near: DataFrame, size: int) -> DataFrame:
     key = ["gram", "c1", "c2"]
     rows = near.select(*key, "left", "near").mapInArrow(windows, "gram long, c1 long, c2 long, back array<int>, hashes array<long>")
     rows = rows.select(*key, F.explode(F.arrays_zip("back", "hashes")).alias("w")).select(*key, F.col("w.back").alias("back"), F.col("w.hashes").alias("h"))
-    twice = rows.groupBy("gram", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "h")
+    twice = scratch.keep(rows.groupBy("gram", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "h"))  # so that a frequent string's join can be split
     far = rows.join(twice, ["gram", "h"]).groupBy(*key).agg(F.max("back").alias("far_left"), F.min("back").alias("least"))
     return far.select(*key, "far_left", (F.lit(size) - F.col("least")).cast("int").alias("far_right"))
 
@@ -309,7 +309,7 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, size: int) -> DataFrame:
     groups = blocks_of(total_chars(docs), GROUP_CHARS)
     if several.where("many").limit(1).count():
         near = scratch.keep(near)
-        counted = _counted(near.where("many"), size)
+        counted = _counted(near.where("many"), scratch, size)
     else:
         counted = None
     sorted_ = near.where("not many").select(*key, "left", "near", F.pmod("gram", F.lit(groups)).cast("int").alias("g"))
