@@ -42,10 +42,6 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(rolling(_hashes.of(words), min(size, len(words))))
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64), pa.int64())
-
-
 def set_sizes(docs: DataFrame, size: int = 5) -> DataFrame:
     """Rows (id, n, f1, f2): the size of each document's shingle set and a 128-bit fingerprint of the set."""
 
