@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,6 +26,34 @@ def glue(piece: DataFrame, joined: str) -> DataFrame:
     return x.groupBy("doc_id", F.col("s").cast("long").alias("s")).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_join(F.transform(parts, lambda z: z["p"]), "").alias("text"))
 
 
+def realigned(copied: Column, text: Column) -> Column:
+    """Where the parts of a copy, set apart by |, begin in the text; places count from 0.
+
+    Each part is sought behind the one before by its first 30 characters, then in the text with white space squeezed,
+    then by five characters; one that is not found is passed over. The first part begins at 0.
+    """
+    squeeze = lambda c: F.regexp_replace(c, r"(?U)\s+", " ")
+    bare = lambda c: F.regexp_replace(c, r"(?U)^\s+", "")
+    parts = F.filter(F.split(copied, r"\|"), lambda p: p.rlike(r"\S"))
+    probes = F.transform(parts, lambda p, i: F.struct(i.alias("i"), T.trim(squeeze(F.substring(bare(p), 1, 30))).alias("t")))
+    none = F.lit(None).cast("int")
+    found = lambda at: F.when(at > 0, at - 1)
+
+    def step(acc: Column, probe: Column) -> Column:
+        begin, t = acc["begin"], probe["t"]
+        rest = F.substring(text, begin + 1, F.length(text))
+        near = found(F.position(t, squeeze(rest))) + begin
+        short = F.when(F.length(t) >= 5, found(F.position(F.substring(t, 1, 5), text, begin + 1)))
+        at = F.coalesce(found(F.position(t, text, begin + 1)), near, short)
+        at = F.when((probe["i"] == 0) & at.isNotNull(), 0).otherwise(at)
+        # bound once, else each use would search anew
+        bound = F.transform(F.array(F.when(at < F.length(text), at).otherwise(none)), lambda x: F.when(x.isNull(), acc).otherwise(F.struct((x + F.greatest(F.lit(1), F.length(t))).alias("begin"), F.concat(acc["places"], F.array(x)).alias("places"))))
+        return F.element_at(bound, 1)
+
+    start = F.struct(F.lit(0).alias("begin"), F.array().cast("array<int>").alias("places"))
+    return F.aggregate(probes, start, step, lambda acc: acc["places"])
+
+
 def reference_section(rows: DataFrame) -> DataFrame:
     """Rows (doc_id, i, text, label) get the label references from a starting heading up to an ending one.
 

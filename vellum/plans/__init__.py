@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.plans import layout, texts
+from vellum.plans import calls, layout, texts
 from vellum.registry import Query
 
-_PARTS = (layout.R, texts.R)
+_PARTS = (layout.R, texts.R, calls.R)
 
 
 def queries() -> dict[str, Query]:

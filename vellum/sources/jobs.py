@@ -14,6 +14,8 @@ FIGURE = "struct<url: string, caption: string, figure_number: string, kind: stri
 PAGE = f"struct<index: int, page_no: int, image_url: string, status: string, is_supplement: boolean, blocks: array<{BLOCK}>, figures: array<{FIGURE}>>"
 STATE = f"id string, filename string, model string, lang string, status string, supplement_status string, created_at double, error string, total_pages int, pages array<{PAGE}>"
 
+#: Fields of a job that are neither saved nor shown (fixed values).
+RUNTIME = ("event_queue", "task", "supplement_task")
 JOB_ID = re.compile(r"[A-Za-z0-9_-]{1,64}")
 MOST_BYTES = 4 << 30
 
@@ -21,12 +23,26 @@ MOST_BYTES = 4 << 30
 def read_states(spark: SparkSession, path: str) -> DataFrame:
     """All job documents under a path. Broken ones are left out; what was under way when they were saved is not any more."""
     raw = spark.read.schema(f"{STATE}, broken string").options(multiLine="true", mode="PERMISSIVE", columnNameOfCorruptRecord="broken").json(path)
-    jobs = raw.where("broken is null and id is not null").drop("broken")
+    return settled(raw.where("broken is null and id is not null").drop("broken"))
+
+
+def parse_states(rows: DataFrame, column: str) -> DataFrame:
+    """A6 on a column of job documents: one row to each that can be read and has an id."""
+    return settled(rows.select(F.from_json(column, STATE, {"mode": "PERMISSIVE"}).alias("s")).where("s.id is not null").select("s.*"))
+
+
+def settled(jobs: DataFrame) -> DataFrame:
+    """What was under way when a job was saved is not any more."""
     under_way = lambda c: F.when(F.col(c).isin("queued", "running", "processing", "cancelling"), "cancelled").otherwise(F.col(c))
     idle = F.transform("pages", lambda p: p.withField("status", F.when(p["status"] == "processing", "pending").otherwise(p["status"])))
     return jobs.withColumns({"status": under_way("status"), "supplement_status": under_way("supplement_status"), "pages": idle})
 
 
+def public(jobs: DataFrame) -> DataFrame:
+    """Without what only a running process needs."""
+    return jobs.drop(*RUNTIME)
+
+
 def listing(jobs: DataFrame) -> DataFrame:
     """Newest first, without pages; a job without a language is Japanese."""
     return jobs.select("id", "filename", "status", F.coalesce("lang", F.lit("ja")).alias("lang"), F.coalesce("created_at", F.lit(0.0)).alias("created_at")).orderBy(F.desc("created_at"), "id")
