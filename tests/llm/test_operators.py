@@ -80,6 +80,8 @@ def test_substring_dedup(docs, rows, empty):
     want = brute_windows(rows)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup(docs).collect()}
     assert got == want and any(n for _, n, _ in want.values())
+    many = substring_dedup(docs, block_chars=3_000, range_chars=200)  # most pairs of a block and a range have no hash
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in many.collect()} == want
     assert substring_dedup(empty).count() == 0
     same = {r.doc_id: r.kept for r in substring_dedup(docs, keep_unchanged=True).where("n_removed = 0").collect()}
     assert all(same[i] == (t or "") for i, t, *_ in rows if i in same)

@@ -111,10 +111,9 @@ def candidates(docs: DataFrame, reps: DataFrame, size: int, num: int, den: int,
         rows = []
         if len(t):
             b = _Block(t, set(mine["id"].to_pylist()), size, ranges)
-            for r in range(ranges):
+            for r in np.flatnonzero(np.diff(b.cuts)).tolist():
                 s, e = b.cuts[r], b.cuts[r + 1]
-                if s < e:
-                    rows.append((r, t["block"][0].as_py(), pack_sorted(b.keys[s:e] & np.uint64(0xFFFFFFFF)), b.counts[s:e].astype(np.uint32).tobytes()))
+                rows.append((r, t["block"][0].as_py(), pack_sorted(b.keys[s:e] & np.uint64(0xFFFFFFFF)), b.counts[s:e].astype(np.uint32).tobytes()))
         return pa.Table.from_arrays([pa.array(list(c), f) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, _SENT.types, strict=True)], schema=_SENT)
 
     def prefixes(t: pa.Table, answers: pa.Table) -> pa.Table:

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import WordHashes, blocks_of, pack_sorted, rolling, total_chars, unpack_sorted
 
-#: Characters of text in a block, and in a hash range.
+#: Characters of text in a block, and in a hash range: what a task holds. A block sends a row to each range that it
+#: has a hash of, so beyond some terabytes both should grow with the executors' memory, lest rows hold few hashes each.
 BLOCK_CHARS, RANGE_CHARS = 4_000_000, 8_000_000
 
 _hashes = WordHashes()
@@ -44,13 +45,12 @@ class _Block:
 
     def sent(self, block: int) -> pa.Table:
         rows = []
-        for r in range(len(self.cuts) - 1):
+        for r in np.flatnonzero(np.diff(self.cuts)).tolist():
             s, e = self.cuts[r], self.cuts[r + 1]
-            if s < e:
-                ids, at = np.unique(self.ids[self.least[s:e]], return_inverse=True)
-                at = at.astype(np.uint16 if len(ids) < 65536 else np.uint32)
-                low = int(ids[0])
-                rows.append((r, block, low, pack_sorted(self.distinct[s:e]), pack_sorted((ids - low).astype(np.uint64)), at.tobytes()))
+            ids, at = np.unique(self.ids[self.least[s:e]], return_inverse=True)
+            at = at.astype(np.uint16 if len(ids) < 65536 else np.uint32)
+            low = int(ids[0])
+            rows.append((r, block, low, pack_sorted(self.distinct[s:e]), pack_sorted((ids - low).astype(np.uint64)), at.tobytes()))
         return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, _SENT.types, strict=True)], schema=_SENT)
 
 
@@ -106,7 +106,7 @@ def spans(mask: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
 
 
-def substring_dedup(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", keep_unchanged: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", keep_unchanged: bool = False, block_chars: int = BLOCK_CHARS, range_chars: int = RANGE_CHARS) -> DataFrame:
     """Removes each word that a window of `size` words covers whose words also start in a document of smaller id.
 
     Words are runs without ASCII white space. Returns (id_col, n_words, n_removed, removed, kept, rest): `removed`
@@ -120,7 +120,7 @@ def substring_dedup(docs: DataFrame, size: int = 13, id_col: str = "doc_id", tex
     false match is about n^2 / 2^65.
     """
     chars = total_chars(docs, text_col)
-    blocks, ranges = blocks_of(chars, BLOCK_CHARS), blocks_of(chars, RANGE_CHARS)
+    blocks, ranges = blocks_of(chars, block_chars), blocks_of(chars, range_chars)
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
     dealt = docs.select(
         F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(blocks)).cast("int").alias("block"),
