@@ -363,7 +363,7 @@ def _(s, d):
 
 @R.query("g8_box_clusters")
 def _(s, d):
-    return layout.merge_near_boxes(line(s, d).where("line_no < 40"))
+    return layout.merge_near_boxes(line(s, d))
 
 
 @R.query("g9_singleton_demotion", f"{WITH} SELECT doc_id, line_no // 2 AS cluster, count(*) = 1 AND NOT bool_or(regexp_matches(text, '[=+*/]')) AS demoted FROM line WHERE line_no % 3 > 0 GROUP BY 1, 2")

@@ -45,8 +45,8 @@ def chunks(answer: DataFrame, size: int = 7) -> DataFrame:
     return cut.select("conv_id", F.col("seq").cast("long").alias("seq"), F.substring("text", F.col("seq") * size + 1, F.lit(size)).alias("chunk"))
 
 
-def merge_edges(line: DataFrame, last: int = 60) -> DataFrame:
-    return line.where(f"length(text) % 3 = 0 and line_no < {last}").selectExpr("doc_id", "line_no a", "line_no + 1 b")
+def merge_edges(line: DataFrame) -> DataFrame:
+    return line.where("length(text) % 3 = 0").selectExpr("doc_id", "line_no a", "line_no + 1 b")
 
 
 #: The same tables for the SQL oracles.
