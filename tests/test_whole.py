@@ -48,3 +48,16 @@ def test_boxes_like_pairwise_merging(spark):
         want += [(doc, *p[4:], *p[:4]) for p in page]
     df = spark.createDataFrame(rows, "doc_id long, line_no long, x0 double, y0 double, x1 double, y1 double")
     assert sorted(map(tuple, layout.merge_near_boxes(df).collect())) == sorted(want) and len(want) > 100
+
+
+def test_all_pieces(spark, tmp_path):
+    first = [f"Sentence {i} is here. " for i in range(30)]
+    second = [f"Other {i} is there. " for i in range(30)]
+    docs = documents(spark, "".join(first), "".join(second))
+    events = spark.createDataFrame([(0, 9), (1, 3)], "event_id long, user_id long")
+    ask = lambda name, **more: run(spark, tmp_path, name, documents=docs, **more).collect()
+    # the last piece ends with the text
+    assert {r.doc_id: r.text for r in ask("d21_ordered_text")} == {0: "|".join(first), 1: "|".join(second)}
+    assert {r.doc_id: r.listing for r in ask("h2_piece_listing")} == {i: "\n".join(f"[{k + 1}] {p.strip()}" for k, p in enumerate(ps)) for i, ps in enumerate((first, second))}
+    assert {(r.doc_id, r.k): r.glued for r in ask("c16_join_set", events=events)} == {(i, k): (i, k) in {(0, 2), (1, 3)} for i in (0, 1) for k in range(30)}
+    assert {(r.doc_id, r.k): r.target for r in ask("c8_stitch_write_back")} == {(0, k): p for k, p in enumerate(first)} | {(1, k): p for k, p in enumerate([first[0], *second[1:]])}

@@ -39,7 +39,7 @@ def _(s, d):
 
 @R.query("h2_piece_listing", f"WITH {PIECE_SQL} SELECT doc_id, string_agg('[' || (k + 1) || '] ' || trim(p), chr(10) ORDER BY k) AS listing FROM piece WHERE k < 20 GROUP BY doc_id")
 def _(s, d):
-    x = pieces(s, d).where("k < 20").select("doc_id", "k", F.concat(F.lit("["), F.col("k") + 1, F.lit("] "), F.trim("p")).alias("t"))
+    x = pieces(s, d).select("doc_id", "k", F.concat(F.lit("["), F.col("k") + 1, F.lit("] "), F.trim("p")).alias("t"))
     parts = F.array_sort(F.collect_list(F.struct("k", "t")))
     return x.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda z: z["t"]), "\n").alias("listing"))
 
@@ -54,7 +54,7 @@ def _(s, d):
 @R.query("c16_join_set", f"WITH {PIECE_SQL} SELECT doc_id, k, EXISTS (SELECT 1 FROM events e WHERE e.event_id = doc_id AND e.user_id % 7 = k) AS glued FROM piece WHERE k < 7")
 def _(s, d):
     join = table(s, d, "events").select(F.col("event_id").alias("doc_id"), (F.col("user_id") % 7).alias("k"), F.lit(True).alias("hit")).distinct()
-    return pieces(s, d).where("k < 7").join(join, ["doc_id", "k"], "left").select("doc_id", "k", F.coalesce("hit", F.lit(False)).alias("glued"))
+    return pieces(s, d).join(join, ["doc_id", "k"], "left").select("doc_id", "k", F.coalesce("hit", F.lit(False)).alias("glued"))
 
 
 @R.query("b10_minimum_length", f"WITH {PIECE_SQL} SELECT doc_id, k FROM piece WHERE length({PLAIN('p')}) >= 20")
@@ -140,7 +140,7 @@ def _(s, d):
 def _(s, d):
     x = pieces(s, d)
     mate = x.where("k = 0").select((F.col("doc_id") + 1).alias("doc_id"), F.lit(0).cast("long").alias("k"), F.col("p").alias("t"))
-    return x.where("k < 3").join(mate, ["doc_id", "k"], "left").select("doc_id", "k", F.coalesce("t", "p").alias("target"))
+    return x.join(mate, ["doc_id", "k"], "left").select("doc_id", "k", F.coalesce("t", "p").alias("target"))
 
 
 @R.query("c18_boundary_agreement", f"WITH {PIECE_SQL}, a AS (SELECT doc_id, start FROM piece WHERE k % 4 <> 1), b AS (SELECT doc_id, start FROM piece WHERE k % 5 <> 2) SELECT doc_id, count(a.start) FILTER (WHERE b.start IS NOT NULL) AS agree, count(*) FILTER (WHERE b.start IS NULL) AS only_left, count(*) FILTER (WHERE a.start IS NULL) AS only_right FROM a FULL JOIN b USING (doc_id, start) GROUP BY doc_id")
@@ -234,7 +234,7 @@ def _(s, d):
 
 @R.query("d21_ordered_text", f"WITH {PIECE_SQL} SELECT doc_id, string_agg(p, '|' ORDER BY k) AS text FROM piece WHERE k < 10 GROUP BY doc_id")
 def _(s, d):
-    return pieces(s, d).where("k < 10").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "p"))), lambda z: z["p"]), "|").alias("text"))
+    return pieces(s, d).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "p"))), lambda z: z["p"]), "|").alias("text"))
 
 
 @R.query("f7_character_limits", "SELECT doc_id, CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || '…' ELSE text END AS preview FROM documents")
