@@ -61,3 +61,13 @@ def test_all_pieces(spark, tmp_path):
     assert {r.doc_id: r.listing for r in ask("h2_piece_listing")} == {i: "\n".join(f"[{k + 1}] {p.strip()}" for k, p in enumerate(ps)) for i, ps in enumerate((first, second))}
     assert {(r.doc_id, r.k): r.glued for r in ask("c16_join_set", events=events)} == {(i, k): (i, k) in {(0, 2), (1, 3)} for i in (0, 1) for k in range(30)}
     assert {(r.doc_id, r.k): r.target for r in ask("c8_stitch_write_back")} == {(0, k): p for k, p in enumerate(first)} | {(1, k): p for k, p in enumerate([first[0], *second[1:]])}
+
+
+def test_pairs_of_the_whole_text(spark, tmp_path):
+    from vellum.plans.texts import QUESTION, SCORE
+
+    docs = documents(spark, "z" * 900 + QUESTION.upper() + "z" * 900, "z" * 900, "", "zz how zz")
+    docs = docs.unionByName(docs.limit(1).selectExpr("9L doc_id", "cast(null as string) text", "lang", "source", "n_chars"))
+    got = {r.doc_id: r.shared for r in run(spark, tmp_path, "g5_bigram_sets", documents=docs).collect()}
+    grams = lambda t: {t[i : i + 2] for i in range(len(t) - 1)}
+    assert got == {0: len(SCORE), 1: 0, 2: 0, 3: len(set(SCORE) & grams("zz how zz")), 9: 0}

@@ -267,8 +267,8 @@ def _(s, d):
 
 @R.query("g5_bigram_sets", "SELECT doc_id, len(list_intersect(list_distinct(string_split(lower(left(text, 300)), ' ')), list_distinct(string_split(lower(right(text, 300)), ' ')))) AS shared FROM documents")
 def _(s, d):
-    w = lambda c: F.array_distinct(F.split(F.lower(c), " "))
-    return docs(s, d).select("doc_id", F.size(F.array_intersect(w(F.left("text", F.lit(300))), w(F.right("text", F.lit(300))))).cast("long").alias("shared"))
+    # the question's pairs of characters that the whole text has
+    return scored(docs(s, d).select("doc_id", T.plain(F.col("text")).alias("t")), "t").select("doc_id", F.col("score").alias("shared"))
 
 
 @R.query("g6_boundary_difference", f"WITH {PIECE_SQL} SELECT doc_id, len([x for x in list(start ORDER BY k) if x % 3 <> 0]) AS only_left FROM piece GROUP BY doc_id")
