@@ -71,3 +71,10 @@ def test_pairs_of_the_whole_text(spark, tmp_path):
     got = {r.doc_id: r.shared for r in run(spark, tmp_path, "g5_bigram_sets", documents=docs).collect()}
     grams = lambda t: {t[i : i + 2] for i in range(len(t) - 1)}
     assert got == {0: len(SCORE), 1: 0, 2: 0, 3: len(set(SCORE) & grams("zz how zz")), 9: 0}
+
+
+def test_all_jobs_newest_first(spark, tmp_path):
+    events = spark.createDataFrame([(i, None if i % 5 == 0 else float(i * 37 % 101)) for i in range(300)], "event_id long, value double")
+    got = [(r.event_id, r["rank"]) for r in run(spark, tmp_path, "f3_jobs_newest_first", events=events.repartition(4)).collect()]
+    at = lambda i: float(i * 37 % 101) if i % 4 and i % 5 else 0.0
+    assert got == [(i, n) for n, i in enumerate(sorted(range(300), key=lambda i: (-at(i), i)), 1)]

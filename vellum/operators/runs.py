@@ -113,6 +113,20 @@ def contexts(pages: DataFrame, chars: int = 700) -> DataFrame:
     return pages.withColumn("before", F.right(F.lag("text").over(order), F.lit(chars))).withColumn("after", F.left(F.lead("text").over(order), F.lit(chars)))
 
 
+def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+    """Rows with their number, from 1, in an order over all of them: ranks within ranges, after the rows of the ranges before.
+
+    The ranges are kept, lest another run cut them elsewhere. They are checkpointed where the session names a folder.
+    """
+    lasting = rows.sparkSession.conf.get("spark.checkpoint.dir", None) is not None
+    x = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    x = x.checkpoint() if lasting else x.cache()
+    before = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))  # one row to a range
+    base = x.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("base"))
+    rank = F.row_number().over(W.partitionBy("part").orderBy(*order))
+    return x.withColumn(name, rank).join(F.broadcast(base), "part").withColumn(name, F.col(name) + F.col("base")).drop("part", "base")
+
+
 def first_spans(spans: DataFrame) -> DataFrame:
     """Of overlapping spans of a key, in order of start, the first wins; skipped ones do not count."""
     ordered = F.array_sort(F.collect_list(F.struct("start", "end", "tag")))

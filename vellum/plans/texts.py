@@ -532,8 +532,7 @@ def _(s, d):
 @R.query("f3_jobs_newest_first", "SELECT event_id, row_number() OVER (ORDER BY coalesce(CASE WHEN event_id % 4 > 0 THEN value END, 0) DESC, event_id) AS rank FROM events ORDER BY rank LIMIT 50")
 def _(s, d):
     at = F.coalesce(F.when(F.col("event_id") % 4 > 0, F.col("value")), F.lit(0.0))
-    top = table(s, d, "events").select("event_id", at.alias("at")).orderBy(F.desc("at"), "event_id").limit(50)
-    return top.select("event_id", F.row_number().over(W.orderBy(F.desc("at"), "event_id")).cast("long").alias("rank"))
+    return runs.numbered(table(s, d, "events").select("event_id", at.alias("at")), "rank", F.desc("at"), F.asc("event_id")).select("event_id", "rank").orderBy("rank")
 
 
 @R.query("b8_scope_filter", "SELECT doc_id FROM documents WHERE doc_id = 7")
