@@ -13,31 +13,55 @@ from vellum.llm.substring_dedup import substring_dedup
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document is rejected if no language is found or the best one's posterior is below this.
 LEAST_SCORE = 0.5
+#: A number for each row, made once, since ids may be null or repeat: with it the stages find a row again.
+ROW = "row"
+
+
+def with_rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The documents with the number that an earlier stage gave them, or else with one that is written first."""
+    if ROW in docs.columns:
+        return docs.select(*COLUMNS, ROW)
+    return scratch.keep(docs.select(*COLUMNS).withColumn(ROW, F.monotonically_increasing_id()))
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or whose language stays open, go."""
     found = langid.identify(spark, docs.select(*COLUMNS))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    found = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return found.select(*COLUMNS).withColumn(ROW, F.monotonically_increasing_id())
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of smallest id stays."""
-    groups = ngram_join.ngram_components(docs, Scratch(spark, "groups")).where("doc_id = component_id or component_id is null")
-    return docs.select(*COLUMNS).join(groups.select("doc_id").distinct(), "doc_id", "left_semi")
+    """Of each group of near duplicates one row stays: of the smallest id, and of equal ids the smallest row number.
+
+    A row without an id is in a group as any other and stays if no row of its group has an id before it; repeated rows are a group.
+    """
+    scratch = Scratch(spark, "groups")
+    docs = with_rows(docs, scratch)
+    groups = scratch.keep(ngram_join.ngram_components(docs, scratch, id_col=ROW).select(ROW, "component_id"))
+    ids = docs.select(ROW, F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", ROW).alias("o"))
+    first = groups.where("component_id is not null").join(ids, ROW).groupBy("component_id").agg(F.min("o").alias("o")).select(F.col(f"o.{ROW}").alias(ROW))
+    kept = first.unionByName(groups.where("component_id is null").select(ROW))
+    return docs.join(kept, ROW, "left_semi").select(*COLUMNS, ROW)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of passages that a smaller document has go; a document of which no word is left goes with them."""
-    out = substring_dedup(docs.select(*COLUMNS), keep_unchanged=True).where("n_removed = 0 or n_removed < n_words")
+    """Words of passages that a smaller document has go; a document of which no word is left goes with them.
+
+    A row without an id keeps all and removes nothing; rows of one id do not remove each other's passages.
+    """
+    docs = with_rows(docs, Scratch(spark, "passages"))
+    out = substring_dedup(docs, keep_unchanged=True).where("n_removed = 0 or n_removed < n_words")
     n_chars = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("rest.n_chars"))
-    return out.select("doc_id", F.col("kept").alias("text"), "rest.lang", "rest.source", n_chars.alias("n_chars"))
+    return out.select("doc_id", F.col("kept").alias("text"), "rest.lang", "rest.source", n_chars.alias("n_chars"), f"rest.{ROW}")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = mixing.mix(docs, Scratch(spark, "mix")).where("copies > 0").select("doc_id", "copies")
-    return docs.select(*COLUMNS).join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    """Each row as often as the mix takes it; rows without an id and repeated ones count as documents of their own."""
+    scratch = Scratch(spark, "mix")
+    docs = with_rows(docs, scratch)
+    copies = mixing.mix(docs, scratch, row_col=ROW).where("copies > 0").select(ROW, "copies")
+    return docs.join(copies, ROW).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

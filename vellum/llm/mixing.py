@@ -48,7 +48,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return by.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(open_level * F.col("w"))).select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, scratch: Scratch, seed: str = "mix-1", weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most_copies: int = 3) -> DataFrame:
+def mix(docs: DataFrame, scratch: Scratch, seed: str = "mix-1", weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most_copies: int = 3, row_col: str | None = None) -> DataFrame:
     """How often the mix takes each document: rows (doc_id, source, size, source_size, target, copies, taken).
 
     A source of ratio r = target / size gives every document floor(r) certain copies. For the fraction p = r - floor(r)
@@ -58,9 +58,11 @@ def mix(docs: DataFrame, scratch: Scratch, seed: str = "mix-1", weights: tuple[f
     source, so no source is ordered in one task.
 
     Null text: size 0, taken 0. A null source is a source of its own. Ties in rank fall to the smaller doc_id; repeated
-    rows count as documents of their own. A source of size 0 has target 0. An empty table gives an empty result.
+    rows count as documents of their own; to tell them apart, `row_col` names a column of row numbers, which comes back
+    and to which ties of equal ids and sizes fall. A source of size 0 has target 0. An empty table gives an empty result.
     """
-    sizes = scratch.keep(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
+    row = [row_col] if row_col else []
+    sizes = scratch.keep(docs.select("doc_id", "source", *row, n_words(F.col("text")).alias("size")))
     targets = scratch.keep(source_targets(sizes, weights, share, most_copies))
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))  # null is a source too
     targets = targets.select(key.alias("key"), "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("r"))
@@ -77,12 +79,12 @@ def mix(docs: DataFrame, scratch: Scratch, seed: str = "mix-1", weights: tuple[f
     cut = counts.where("begin < lacks and end >= lacks").groupBy("key").agg(F.min(F.struct("class", "begin")).alias("c")).select("key", F.col("c.class").alias("cut"), "c.begin")
     ranked = ranked.join(hint(cut), "key", "left")
     edge = ranked.where("class = cut")
-    inside = W.partitionBy("key").orderBy("q", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("key").orderBy("q", "doc_id", "size", *row).rowsBetween(W.unboundedPreceding, 0)
     edge = edge.withColumn("end", F.col("begin") + F.sum("size").over(inside))
     nearer = (F.col("end") - F.col("size") < F.col("lacks")) & ((F.col("end") <= F.col("lacks")) | (F.col("end") - F.col("lacks") <= F.col("lacks") - (F.col("end") - F.col("size"))))
     edge = edge.withColumn("extra", nearer)
     sure = ranked.where("class is null or cut is null or class <> cut").withColumn("extra", F.coalesce((F.col("class") < F.col("cut")) | (F.col("cut").isNull() & F.col("class").isNotNull() & (F.col("lacks") > 0)), F.lit(False)))
-    cols = ["doc_id", "source", "size", "source_size", "target", "whole", "extra"]
+    cols = ["doc_id", "source", *row, "size", "source_size", "target", "whole", "extra"]
     both = sure.select(cols).unionByName(edge.select(cols))
     copies = (F.col("whole") + F.col("extra").cast("long")).alias("copies")
-    return both.select("doc_id", "source", "size", "source_size", "target", copies).withColumn("taken", F.col("copies") * F.col("size"))
+    return both.select("doc_id", "source", *row, "size", "source_size", "target", copies).withColumn("taken", F.col("copies") * F.col("size"))
