@@ -78,3 +78,43 @@ def test_all_jobs_newest_first(spark, tmp_path):
     got = [(r.event_id, r["rank"]) for r in run(spark, tmp_path, "f3_jobs_newest_first", events=events.repartition(4)).collect()]
     at = lambda i: float(i * 37 % 101) if i % 4 and i % 5 else 0.0
     assert got == [(i, n) for n, i in enumerate(sorted(range(300), key=lambda i: (-at(i), i)), 1)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_signatures_see_every_row(spark, tmp_path):
+    rows = [(i, "t", "en", f"src{i % 2}", 5) for i in range(40)]
+    ask = lambda rows: {r.source: r.signature for r in run(spark, tmp_path, "h30_signature", documents=spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)).collect()}
+    first = ask(rows)
+    assert ask(rows[::-1]) == first
+    changed = [ask([*rows[:4], (4, "t", "en", "src0", n), *rows[5:]]) for n in (6, None)] + [ask([*rows, rows[0], rows[0]]), ask(rows[1:])]
+    assert all(c["src0"] != first["src0"] and c["src1"] == first["src1"] for c in changed[:2] + changed[3:]) and changed[2]["src0"] != first["src0"]
+    assert "collect_list" not in plan_of(plans.queries()["h30_signature"](spark, str(tmp_path)))
+
+
+def test_appended_pages_are_numbered_in_ranges(spark, tmp_path):
+    docs = documents(spark, *["t"] * 101)
+    df = run(spark, tmp_path, "g2_append_renumbered", documents=docs.repartition(4))
+    assert {r.doc_id: r.page_no for r in df.collect()} == {2 * i + 1: 101 + i for i in range(50)}
+    assert "book" not in plan_of(df)
+
+
+def test_first_spans_of_a_hot_key(spark):
+    import random
+
+    from vellum.operators import runs
+
+    rng = random.Random(5)
+    rows = [(k, s, s + rng.randrange(0, 9), rng.choice("abc")) for k in (1, 2, None) for s in (rng.randrange(200) for _ in range(600))]
+    want = []
+    for k in (1, 2, None):
+        at = 0
+        for r in sorted((r for r in rows if r[0] == k), key=lambda r: r[1:]):
+            if r[1] >= at:
+                at = r[2]
+                want.append(r)
+    df = runs.first_spans(spark.createDataFrame(rows, "key long, start long, end long, tag string"))
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
+    assert "collect_list" not in plan_of(df)

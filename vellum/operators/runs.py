@@ -128,12 +128,23 @@ def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
 
 
 def first_spans(spans: DataFrame) -> DataFrame:
-    """Of overlapping spans of a key, in order of start, the first wins; skipped ones do not count."""
-    ordered = F.array_sort(F.collect_list(F.struct("start", "end", "tag")))
-    kept = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start: bigint, end: bigint, tag: string>>)").alias("out")),
-        lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(s)).alias("out"))).otherwise(a),
-        lambda a: a["out"],
-    )
-    return spans.groupBy("key").agg(kept.alias("kept")).select("key", F.explode("kept").alias("s")).select("key", "s.*")
+    """Of overlapping spans of a key, in order of start, the first wins; skipped ones do not count.
+
+    Of the spans of one start that are not empty only the least can win, so a key's fold sees one of them: at most one
+    to each place of its text, besides empty spans. Those without a start or an end are left out.
+    """
+    spans = spans.select("key", "start", "end", "tag").where("start is not null and end is not null")
+    some = F.col("end") > F.col("start")
+    least = spans.where(some).groupBy("key", "start").agg(F.min(F.struct("end", "tag")).alias("s")).select("key", "start", "s.*")
+    kind = spans.schema["key"].dataType.simpleString()
+
+    def fold(t):
+        at, keep = 0, []
+        t = t.sort_by([("start", "ascending"), ("end", "ascending")])
+        for i, (start, end) in enumerate(zip(t["start"].to_pylist(), t["end"].to_pylist(), strict=True)):
+            if start >= at:
+                at = end
+                keep.append(i)
+        return t.take(keep)
+
+    return least.unionByName(spans.where(~some)).groupBy("key").applyInArrow(fold, f"key {kind}, start long, end long, tag string")
