@@ -1,7 +1,7 @@
 """Embedding near-dedup: a subspace pigeonhole join.
 
 Unit vectors with cosine c or more are at most 2 - 2c apart in squared distance. After a rotation the vector is
-split into blocks; in at least one block the squared distance is at most that budget over the number of blocks.
+split into blocks; in at least one block the squared distance is at most that budget over the number of blocks; a vector of few components has a block for each.
 Each block is range-joined on a grid over its first coordinates, and the union of what is found is verified
 with the whole vectors.
 """
@@ -45,9 +45,6 @@ def cells(vectors: DataFrame, budget: float, blocks: int) -> DataFrame:
 
     Two points within a radius have their middle within half of it, so the middle's cell holds both.
     """
-    radius = float(np.sqrt(budget / blocks))
-    half, width = radius / 2, radius * WIDTH
-
     def run(batches):
         turn: dict[int, np.ndarray] = {}
         for b in batches:
@@ -57,7 +54,10 @@ def cells(vectors: DataFrame, budget: float, blocks: int) -> DataFrame:
                 rows = good[sizes == dim]
                 x = np.stack([u for u in unit if len(u) == dim])
                 x = x @ turn.setdefault(int(dim), rotation(int(dim)))
-                edges = np.linspace(0, dim, min(blocks, int(dim)) + 1).astype(int)
+                parts = min(blocks, int(dim))
+                radius = float(np.sqrt(budget / parts))
+                half, width = radius / 2, radius * WIDTH
+                edges = np.linspace(0, dim, parts + 1).astype(int)
                 for k, (s, e) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
                     p = x[:, s:e]
                     g = p[:, : min(GRID, e - s)]
@@ -78,8 +78,9 @@ def cells(vectors: DataFrame, budget: float, blocks: int) -> DataFrame:
     return vectors.mapInArrow(run, "label string, dim int, block int, cell long, id long, point binary")
 
 
-def _close(limit: float):
+def _close(budget: float, blocks: int, slack: float):
     def run(t: pa.Table) -> pa.Table:
+        limit = budget / min(blocks, t["dim"][0].as_py()) + slack
         ids = t["id"].to_numpy()
         x = np.frombuffer(b"".join(t["point"].to_pylist()), "<f4").reshape(len(ids), -1).astype(np.float32)
         side = t["side"].to_numpy()
@@ -108,7 +109,7 @@ def close_pairs(classes: DataFrame, scratch: Scratch, cosine: float, blocks: int
     meet = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least("tile", o).alias("i"), F.greatest("tile", o).alias("j"), F.when(F.col("tile") > o, 1).when(F.col("tile") < o, 2).otherwise(0).alias("side")))
     tiled = tiled.select(*keys, "id", "point", F.explode(meet).alias("t")).select(*keys, "t.i", "t.j", "t.side", "id", "point")
     slack = 1e-5  # more than single precision can lose on unit vectors; what it lets in is verified
-    pairs = tiled.groupBy(*keys, "i", "j").applyInArrow(_close(budget / blocks + slack), "a long, b long").distinct()
+    pairs = tiled.groupBy(*keys, "i", "j").applyInArrow(_close(budget, blocks, slack), "a long, b long").distinct()
 
     def exact(batches):
         for t in batches:
