@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -16,16 +17,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library: its allocator keeps what it keeps
+    _libc = None
 
 
 # --------------------------------------------------------------------------- scratch tables
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is set (tests, one machine)."""
+    """The shared folder that the cluster names; a folder of our own only where none is set and all runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "root" not in _own:
         _own["root"] = tempfile.mkdtemp(prefix="spark-")
     return _own["root"]
@@ -106,31 +113,124 @@ def _signature(pairs: DataFrame) -> tuple:
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """64-bit hash of a word, remembered up to a bound."""
+#: Another odd multiplier, for the bits that a second hash adds.
+SECOND_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Bytes that part words, and the bytes that are hashed at a time; longer words are hashed by the library.
+_IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_GROUP, _LONG_WORD = 1 << 18, 64
+_SPACE_AFTER = re.compile(rb"[\t-\r ]")
 
-    def __init__(self, most: int = 400_000) -> None:
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+class _Powers:
+    """Powers of the multiplier and of its inverse, as many as were asked for."""
 
-
-def rolling(h: np.ndarray, size: int) -> np.ndarray:
+    def __init__(self) -> None:
+        self.up = self.back = np.empty(0, np.uint64)
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            made = []
+            for base in (int(BASE), pow(int(BASE), -1, 1 << 64)):
+                x = np.full(n, np.uint64(base))
+                x[0] = 1
+                made.append(np.multiply.accumulate(x))
+            if n > 2 * _GROUP:
+                return tuple(made)  # a word of such a length is rare: not kept
+            self.up, self.back = made
+        return self.up, self.back
+
+
+_powers = _Powers()
+_byte_values: list[np.ndarray] = []
+
+
+def _hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first bytes of all words: differences of one running sum of byte values times powers."""
+    x = np.frombuffer(data, np.uint8)
+    inside = np.zeros(len(x) + 2, np.int8)
+    inside[1:-1] = ~_IS_SPACE[x]
+    edge = np.diff(inside)
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not _byte_values:
+        _byte_values.append(mix(np.arange(1, 257, dtype=np.uint64) * BASE))
+    up, back = _powers.of(max(len(x), _GROUP))
+    sums = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(_byte_values[0][x] * up[: len(x)], out=sums[1:])
+    h = mix((sums[end] - sums[begin]) * back[begin])
+    for k in np.flatnonzero(end - begin > _LONG_WORD).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(data[begin[k] : end[k]])
+    return h, begin
+
+
+def _in_groups(texts: list[bytes]):
+    """Yields (texts joined by a space, their numbers, their first bytes in it); a long text comes in several parts, cut between words."""
+    group, size = [], 0
+    for i, t in enumerate(texts):
+        if len(t) > _GROUP:
+            at = 0
+            while at < len(t):
+                end = len(t)
+                if end - at > _GROUP:
+                    gaps = np.flatnonzero(_IS_SPACE[np.frombuffer(t, np.uint8, _GROUP, at)])
+                    after = None if len(gaps) else _SPACE_AFTER.search(t, at + _GROUP)
+                    end = at + int(gaps[-1]) + 1 if len(gaps) else after.start() if after else len(t)
+                yield t[at:end], [i], [0]
+                at = end
+            continue
+        if size + len(t) > _GROUP:
+            yield b" ".join([texts[k] for k in group]), group, np.cumsum([0] + [len(texts[k]) + 1 for k in group[:-1]])
+            group, size = [], 0
+        group.append(i)
+        size += len(t) + 1
+    if group:
+        yield b" ".join([texts[k] for k in group]), group, np.cumsum([0] + [len(texts[k]) + 1 for k in group[:-1]])
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, text after text, and the number of words of each text.
+
+    Words are runs of bytes other than ASCII white space. Nothing is kept per word but its hash.
+    """
+    of: dict[int, list[np.ndarray]] = {}
+    n = np.zeros(len(texts), np.int64)
+    parts: list[tuple[list[int], np.ndarray]] = []
+    for data, numbers, first in _in_groups(texts):
+        h, begin = _hash_words(data)
+        cut = np.append(np.searchsorted(begin, first), len(h))
+        n[numbers] += np.diff(cut)
+        if len(numbers) == 1:
+            of.setdefault(numbers[0], []).append(h)
+        parts.append((numbers, h))
+    if of:  # parts of long texts lie between groups of short ones: bring them into the order of the texts
+        at = np.concatenate([[0], np.cumsum(n)])
+        out = np.empty(int(at[-1]), np.uint64)
+        for numbers, h in parts:
+            if len(numbers) > 1:
+                k = 0
+                for i in numbers:
+                    out[at[i] : at[i + 1]] = h[k : k + n[i]]
+                    k += n[i]
+        for i, hs in of.items():
+            out[at[i] : at[i + 1]] = np.concatenate(hs)
+        return out, n
+    return np.concatenate([h for _, h in parts] or [np.empty(0, np.uint64)]), n
+
+
+def release() -> None:
+    """Gives memory that a group of rows needed back to the system: the worker lives on with other stages' tasks."""
+    pa.default_memory_pool().release_unused()
+    if _libc:
+        _libc.malloc_trim(0)
+
+
+def rolling(h: np.ndarray, size: int, base: np.uint64 = BASE) -> np.ndarray:
     """Rabin-Karp hash of every window of `size` items, mixed so that all its bits are even."""
     n = len(h) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     out = h[:n].copy()
     for j in range(1, size):
-        out *= BASE
+        out *= base
         out += h[j : j + n]
     return mix(out)
 
@@ -189,6 +289,7 @@ _NO_SPACE = re.compile(f"[{LATIN}]+(?=[{NO_LETTER}]|\\Z)|[^{SPACE}]+")
 
 #: Byte-level alphabet: bytes that print stand for themselves, the others for characters from 256 on.
 _BYTE_ALPHABET = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
+_BYTE_SPACE = chr(_BYTE_ALPHABET[32])
 
 
 class _Numbers(dict):
@@ -213,7 +314,7 @@ class Encoder:
     `most` chunks.
     """
 
-    def __init__(self, path: str, most: int = 800_000) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
@@ -237,8 +338,11 @@ class Encoder:
             ids = [None] * len(new[s : s + 8192])
             rest = []
             for i, c in enumerate(new[s : s + 8192]):
-                if word(c):  # one word to both tokenizers: the library's model takes it in its byte alphabet
-                    c = (c.lower() if self.lower else c).encode().decode("latin-1").translate(_BYTE_ALPHABET)
+                if c.isascii() and (c.isalpha() or c[1:].isalpha() and c[0] == " ") or word(c):  # one word to both tokenizers
+                    if self.lower:
+                        c = c.lower()
+                    # the library's model takes it in its byte alphabet, in which only the space of an ASCII word differs
+                    c = c.replace(" ", _BYTE_SPACE) if c.isascii() else c.encode().decode("latin-1").translate(_BYTE_ALPHABET)
                     ids[i] = [t.id for t in model(c)]
                 else:
                     rest.append(i)
@@ -287,8 +391,9 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One per worker process."""
+    """One per worker process: another tokenizer's goes."""
     if path not in _encoders:
+        _encoders.clear()
         _encoders[path] = Encoder(path)
     return _encoders[path]
 
