@@ -17,11 +17,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import Scratch, WordHashes, blocks_of, components, pack_sorted, rolling, total_chars, unpack_sorted
+from vellum.llm.common import Scratch, blocks_of, components, pack_sorted, release, rolling, slices, total_chars, unpack_sorted, word_hashes
 
 #: Characters of text in a block, and in a token range.
 BLOCK_CHARS, RANGE_CHARS = 4_000_000, 16_000_000
@@ -30,16 +31,19 @@ SHORT_LIST, TILE = 48, 1024
 #: What comparing a member with the first of its list costs, in rows.
 COMPARED = 4
 
-_hashes = WordHashes()
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """Distinct hashes, ascending, of the word n-grams; of the whole sequence if it is shorter; none without words."""
-    words = text.encode().translate(_LOWER).split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    return np.unique(rolling(_hashes.of(words), min(size, len(words))))
+def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
+    """Of each text the distinct hashes, ascending, of the word n-grams; of the whole sequence if it is shorter; none without words."""
+    words, n = word_hashes([t.translate(_LOWER) for t in texts])
+    all_, end = rolling(words, size), np.cumsum(n)
+    return [np.unique(all_[e - k : e - size + 1]) if k >= size else rolling(words[e - k : e], k) if k else np.empty(0, np.uint64) for k, e in zip(n.tolist(), end.tolist(), strict=True)]
+
+
+def _bytes(texts) -> list[bytes]:
+    """A column of texts as UTF-8; null is empty."""
+    return texts.cast(pa.binary()).fill_null(b"").to_pylist()
 
 
 def set_sizes(docs: DataFrame, size: int = 5) -> DataFrame:
@@ -48,12 +52,13 @@ def set_sizes(docs: DataFrame, size: int = 5) -> DataFrame:
     def run(batches):
         for b in batches:
             n, fp = [], []
-            for text in b["text"].to_pylist():
-                s = shingles(text, size)
-                n.append(len(s))
-                fp.append(xxhash.xxh3_128_digest(s.tobytes()))
+            for begin, end in slices(b["text"]):
+                for s in shingle_sets(_bytes(b["text"].slice(begin, end - begin)), size):
+                    n.append(len(s))
+                    fp.append(xxhash.xxh3_128_digest(s.tobytes()))
             f = np.frombuffer(b"".join(fp), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(n, pa.int64()), pa.array(f[:, 0]), pa.array(f[:, 1])], names=["id", "n", "f1", "f2"])
+        release()
 
     return docs.mapInArrow(run, "id long, n long, f1 long, f2 long")
 
@@ -65,11 +70,8 @@ class _Block:
     """The shingle sets of a block's class representatives, and the block's distinct tokens by range."""
 
     def __init__(self, t: pa.Table, reps: set[int], size: int, ranges: int) -> None:
-        self.ids, self.sets = [], []
-        for i, text in zip(t["id"].to_pylist(), t["text"].to_pylist(), strict=True):
-            if i in reps:
-                self.ids.append(i)
-                self.sets.append(shingles(text, size))
+        t = t.filter(pa.compute.is_in(t["id"], pa.array(sorted(reps), pa.int64())))
+        self.ids, self.sets = t["id"].to_pylist(), shingle_sets(_bytes(t["text"]), size)
         h = np.concatenate(self.sets or [np.empty(0, np.uint64)])
         r = ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
         key = (r << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
@@ -94,6 +96,7 @@ def _frequencies(t: pa.Table) -> pa.Table:
     for x, e in zip(keys, ends, strict=True):
         c = total[e - len(x) : e]
         many.append(np.packbits(c > 1).tobytes() + c[c > 1].tobytes())
+    release()
     return pa.table([t["block"], t["range"], pa.array(many, pa.binary())], names=["block", "range", "many"])
 
 
@@ -104,7 +107,7 @@ def candidates(docs: DataFrame, reps: DataFrame, size: int, num: int, den: int,
     """
     blocks, ranges = blocks_of(chars, BLOCK_CHARS), blocks_of(chars, RANGE_CHARS)
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int").alias("block")
-    dealt = docs.select(block(F.col("id")), "id", "text")
+    dealt = docs.where("id is not null").select(block(F.col("id")), "id", "text")
     own = reps.select(block(F.col("id")), "id", F.lit(None).cast("int").alias("range"), F.lit(None).cast("binary").alias("many"))
 
     def counted(t: pa.Table, mine: pa.Table) -> pa.Table:
@@ -114,6 +117,7 @@ def candidates(docs: DataFrame, reps: DataFrame, size: int, num: int, den: int,
             for r in np.flatnonzero(np.diff(b.cuts)).tolist():
                 s, e = b.cuts[r], b.cuts[r + 1]
                 rows.append((r, t["block"][0].as_py(), pack_sorted(b.keys[s:e] & np.uint64(0xFFFFFFFF)), b.counts[s:e].astype(np.uint32).tobytes()))
+        release()
         return pa.Table.from_arrays([pa.array(list(c), f) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, _SENT.types, strict=True)], schema=_SENT)
 
     def prefixes(t: pa.Table, answers: pa.Table) -> pa.Table:
@@ -137,6 +141,7 @@ def candidates(docs: DataFrame, reps: DataFrame, size: int, num: int, den: int,
                 rows.append((i, len(x), x[order].view(np.int64), d[order].astype(np.int64), x.tobytes(), p - np.count_nonzero(d == 1)))
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.int32()]
+        release()
         return pa.table([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["id", "n", "tokens", "df", "shingles", "single"])
 
     sent = dealt.groupBy("block").cogroup(own.select("block", "id").groupBy("block")).applyInArrow(counted, "range int, block int, keys binary, counts binary")
@@ -198,42 +203,69 @@ def similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
 
 
 def _tile_edges(num: int, den: int):
-    """In one tile of a long list: edges that join its labels, comparing only sets of different ones."""
+    """In one tile of a long list: edges between its outer sets (side 1) and its inner ones (side 0) of other labels."""
 
     def run(t: pa.Table) -> pa.Table:
-        ids, label, side = t["id"].to_pylist(), t["label"].to_pylist(), t["side"].to_pylist()
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["shingles"]]
-        n = np.array([len(x) for x in sets])
-        token, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-        owner = np.repeat(np.arange(len(sets)), n)
-        order = np.argsort(inverse, kind="stable")
-        starts = np.searchsorted(inverse[order], np.arange(len(token) + 1))
-        root = {x: x for x in label}
-
-        def top(x):
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        most = max(root, key=label.count)
-        edges, at = [], np.concatenate([[0], np.cumsum(n)])
-        sides = np.array(side)
-        for i in sorted(range(len(ids)), key=lambda i: (label[i], ids[i])):
-            if label[i] == most:
-                continue  # a pair of two labels has a member outside the most frequent one
-            mine = inverse[at[i] : at[i + 1]]
-            shared = np.bincount(np.concatenate([owner[order[starts[k] : starts[k + 1]]] for k in mine]), minlength=len(ids))
-            fits = (den * shared >= num * (n[i] + n - shared)) & ((sides != side[i]) | (sides == 0))
-            for j in np.flatnonzero(fits):
-                if top(label[i]) != top(label[j]):
-                    root[top(label[i])] = top(label[j])
-                    edges.append((ids[i], ids[j]))
+        ids, label, side = t["id"].to_numpy(), t["label"].to_numpy(), t["side"].to_numpy()
+        outer, inner = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
+        edges: list[tuple[int, int]] = []
+        if len(outer) and len(inner):
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["shingles"]]
+            n = np.array([len(x) for x in sets])
+            token, inverse = np.unique(np.concatenate([sets[i] for i in inner]), return_inverse=True)
+            owner = np.repeat(np.arange(len(inner)), n[inner])
+            order = np.argsort(inverse, kind="stable")
+            starts = np.searchsorted(inverse[order], np.arange(len(token) + 1))
+            owner = owner[order]
+            root: dict[int, int] = {}
+
+            def top(x):
+                while root.setdefault(x, x) != x:
+                    root[x] = x = root[root[x]]
+                return x
+
+            for i in outer.tolist():
+                at = np.minimum(np.searchsorted(token, sets[i]), len(token) - 1)
+                at = at[token[at] == sets[i]]
+                if not len(at):
+                    continue
+                shared = np.bincount(np.concatenate([owner[starts[k] : starts[k + 1]] for k in at.tolist()]), minlength=len(inner))
+                fits = (den * shared >= num * (n[i] + n[inner] - shared)) & (label[inner] != label[i])
+                for j in inner[fits].tolist():
+                    x, y = top(label[i]), top(label[j])
+                    if x != y:
+                        root[x] = y
+                        edges.append((int(ids[i]), int(ids[j])))
+        release()
         a, b = zip(*edges, strict=True) if edges else ([], [])
         return pa.table([pa.array(list(a), pa.int64()), pa.array(list(b), pa.int64())], names=["a", "b"])
 
     return run
 
 
+def tiled(known: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
+    """Edges (a, b) between sets of different labels in long lists; `known` has (key, id, n, label).
+
+    Sets are banded by size, and only the same and the next band can hold a partner. Of a list and band, the members
+    outside the list's most frequent label are outer and dealt to tiles; all members of near bands are inner. So a
+    list in which one component is nearly all costs its length times the few others' tiles, not its square.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + F.lit(1e-9)).cast("int") if num < den else F.lit(0)
+    known = scratch.keep(known.withColumn("band", band))
+    most = known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("most"))
+    outer = known.join(most, "key").where("label <> most").select("key", "band", "id", "n", "label")
+    parts = outer.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("outers"))
+    near = known.select("key", "id", "n", "label", F.explode(F.array(*[F.col("band") + F.lit(k) for k in (-1, 0, 1)])).alias("band"))
+    sizes = near.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("inners"))
+    parts = scratch.keep(parts.join(sizes, ["key", "band"]))
+    dealt = lambda c: F.pmod(F.xxhash64("id"), c).cast("int")
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    out_rows = outer.join(parts, ["key", "band"]).select("key", "band", dealt(F.col("outers")).alias("i"), upto("inners").alias("j"), F.lit(1).alias("side"), "id", "label")
+    in_rows = near.join(parts, ["key", "band"]).select("key", "band", upto("outers").alias("i"), dealt(F.col("inners")).alias("j"), F.lit(0).alias("side"), "id", "label")
+    rows = out_rows.unionByName(in_rows).join(sets, "id").select("key", "band", "i", "j", "side", "id", "label", "shingles")
+    return rows.groupBy("key", "band", "i", "j").applyInArrow(_tile_edges(num, den), "a long, b long").distinct()
+
+
 def linked(cands: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
     """Rows (node, component) of the sets that are linked with another."""
     sets = cands.select("id", "shingles")
@@ -253,12 +285,8 @@ def linked(cands: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
     right = left.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("l2"))
     short = left.join(right, "key").where("id < b and label <> l2").where(fits).select(F.col("id").alias("a"), "b").distinct().join(star, ["a", "b"], "left_anti")
     more = scratch.keep(verified(short, sets, num, den))
-    # long lists: every two tiles meet once, side 0 and 1; within one tile all have side 0
-    long = known.join(mixed.where(F.col("long") > SHORT_LIST).withColumn("tiles", F.ceil(F.col("long") / TILE).cast("int")), "key")
-    long = long.withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
-    meet = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least("tile", o).alias("i"), F.greatest("tile", o).alias("j"), F.when(F.col("tile") > o, 1).when(F.col("tile") < o, 2).otherwise(0).alias("side")))
-    long = long.select("key", "id", "label", F.explode(meet).alias("t")).join(sets, "id").select("key", "t.i", "t.j", "t.side", "id", "label", "shingles")
-    tiles = scratch.keep(long.groupBy("key", "i", "j").applyInArrow(_tile_edges(num, den), "a long, b long").distinct())
+    long = known.join(mixed.where(F.col("long") > SHORT_LIST).select("key"), "key")
+    tiles = scratch.keep(tiled(long, sets, scratch, num, den))
     return components(edges.unionByName(more).unionByName(tiles), scratch)
 
 
