@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vellum.llm.common import Scratch, encoder, slices, with_end
+from vellum.llm.common import Scratch, encoder, release, slices, with_end
 
 CAPACITY, UNIT = 4096, 8
 #: Most rounds of column generation; every round's basis is a feasible plan, so a bound only costs padding.
@@ -32,7 +32,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
     def run(batches):
         for b in batches:
             for s, e in slices(b["text"]):
-                ids, n = encoder(tokenizer).encode([t or "" for t in b["text"].slice(s, e - s).to_pylist()])
+                ids, n = encoder(tokenizer).encode(b["text"].slice(s, e - s).fill_null("").to_pylist())
                 data, n = with_end(ids, n, end_id)
                 at, rows = 0, []
                 for i, long in enumerate(n.tolist()):
@@ -42,6 +42,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
                     at += long
                 row, *cols = (np.array(c, np.int64) for c in zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([b["doc_id"].slice(s, e - s).take(pa.array(row)), *map(pa.array, cols)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 

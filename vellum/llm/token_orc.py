@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vellum.llm.common import Scratch, blocks_of, encoder, slices, with_end
+from vellum.llm.common import Scratch, blocks_of, encoder, release, slices, with_end
 
-#: Documents to a file; ORC's stripe size, rows to a row-index entry and Bloom filter settings.
-FILE_ROWS = 5_000
+#: Characters of text to a file where there is enough for every core, and documents to a file where there is not.
+FILE_CHARS, FILE_ROWS = 64_000_000, 5_000
+#: ORC's stripe size, rows to a row-index entry and Bloom filter settings.
 ORC = {
     "compression": "none",  # the run-length coded ids are dense already
     "orc.stripe.size": str(16 << 20),
@@ -25,40 +26,46 @@ ORC = {
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame:
-    """Rows (doc_id, ids): the whole text's ids and the end id. A null text has the end id alone."""
+    """Rows (doc_id, row, ids): the whole text's ids and the end id, and the row's number in its partition. A null text has the end id alone."""
 
     def run(batches):
+        row = 0
         for b in batches:
             for s, e in slices(b["text"]):
-                ids, n = encoder(tokenizer).encode([t or "" for t in b["text"].slice(s, e - s).to_pylist()])
+                ids, n = encoder(tokenizer).encode(b["text"].slice(s, e - s).fill_null("").to_pylist())
                 if end_id is not None:
                     ids, n = with_end(ids, n, end_id)
                 at = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(s, e - s), pa.ListArray.from_arrays(at, pa.array(ids))], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(s, e - s), pa.array(np.arange(row, row + e - s)), pa.ListArray.from_arrays(at, pa.array(ids))], names=["doc_id", "row", "ids"])
+                row += e - s
+        release()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, row long, ids array<int>")
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 0) -> None:
-    """Writes (doc_id, ids) in ascending doc_id order: every file holds a range of ids, its stripes are sorted.
+    """Writes (doc_id, row, ids) in ascending doc_id order: every file holds a range of ids, its stripes are sorted.
 
-    The texts are dealt out by range before they are encoded. Null ids come first. Equal ids stay in one file.
+    The texts are dealt out by range before they are encoded. Null ids come first. Equal ids stay in one file, in the
+    order of their texts; `row` is a row's place in its file.
     """
-    files = blocks_of(docs.count(), FILE_ROWS)
+    n, chars = docs.agg(F.count(F.lit(1)), F.sum(F.length("text").cast("long"))).first()
+    spread = docs.sparkSession.sparkContext.defaultParallelism * 8
+    files = max(blocks_of(chars, FILE_CHARS), min(blocks_of(n, FILE_ROWS), spread))
     ranged = docs.select("doc_id", "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
     encode(ranged, tokenizer, end_id).write.options(**ORC).orc(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (doc_id, ids, file): Spark reads the stripes in parallel and prunes them by predicates on doc_id."""
-    return spark.read.schema("doc_id long, ids array<int>").orc(path).select("doc_id", "ids", F.col("_metadata.file_path").alias("file"))
+    """Rows (doc_id, row, ids, file): Spark reads the stripes in parallel and prunes them by predicates on doc_id."""
+    return spark.read.schema("doc_id long, row long, ids array<int>").orc(path).select("doc_id", "row", "ids", F.col("_metadata.file_path").alias("file"))
 
 
 def positions(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
     """Rows (doc_id, start, n_tokens, ids_crc32) from the files alone.
 
-    A file's rows are numbered in its own order and its start is the sum of the files of smaller ids, one row to
-    a file. The crc is of the ids as little-endian unsigned 32-bit integers.
+    A row's start is the ids of its file's rows before it and of the files of smaller ids: one row to a file of some 64
+    million characters, which one task adds up. The crc is of the ids as little-endian unsigned 32-bit integers.
     """
 
     def run(batches):
@@ -66,12 +73,12 @@ def positions(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
             ids = b["ids"]
             flat, at = ids.values.to_numpy(zero_copy_only=False).view("<u4"), ids.offsets.to_numpy()
             crc = [zlib.crc32(flat[s:e].tobytes()) for s, e in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["file"], pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "file", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["row"], b["file"], pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "row", "file", "n_tokens", "ids_crc32"])
 
-    rows = scratch.keep(read(spark, path).mapInArrow(run, "doc_id long, file string, n_tokens long, ids_crc32 long"))
+    rows = scratch.keep(read(spark, path).mapInArrow(run, "doc_id long, row long, file string, n_tokens long, ids_crc32 long"))
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.min("doc_id").alias("low"), F.count("doc_id").alias("known"))
     before = W.orderBy(F.col("low").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
     files = files.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select("file", "base")
-    inside = W.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32", "n_tokens").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("file").orderBy("row").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     return rows.join(files, "file").select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
