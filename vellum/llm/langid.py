@@ -7,14 +7,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import slices
+from vellum.llm.common import release, slices
 
-#: Orders of the character n-grams, and the number of hash buckets: with L languages the model is 8 * L * BUCKETS bytes.
-ORDERS, BUCKETS = (1, 2, 3), 1 << 15
-#: Most languages that a model may have; it bounds what is broadcast (64 MB).
+#: Orders of the character n-grams, and the bits of a hash bucket: with L languages the model is 4 * L * BUCKETS bytes.
+ORDERS, BITS = (1, 2, 3), 15
+BUCKETS = 1 << BITS
+#: Most languages that a model may have; it bounds what is broadcast (32 MB).
 MOST_LANGUAGES = 256
 UNKNOWN = "und"
 _CHUNK = 1024
+#: Characters that are taken apart at a time, and numbers that are weighed at a time.
+PIECE, CELLS = 500_000, 1 << 22
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -35,7 +38,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             h += x[j : j + n]
         h += np.uint32(order * 0x85EBCA6B & 0xFFFFFFFF)
         h *= np.uint32(0xC2B2AE35)
-        out[:, k] = h >> np.uint32(32 - 15)
+        out[:, k] = h >> np.uint32(32 - BITS)
     long = np.array([len(t) + len(gap) for t in lower], np.int64)
     if len(long):
         long[-1] = n - int(long[:-1].sum())
@@ -46,6 +49,32 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
+def cut(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The small letters of the texts in pieces of bounded length, the text of each piece, and how many places begin an n-gram of its own.
+
+    A piece goes on into the next one as far as its last n-grams reach. A text's last piece has a place more, its line end.
+    """
+    pieces, own, places = [], [], []
+    for i, t in enumerate(texts):
+        t = t.lower()
+        for s in range(0, max(len(t), 1), PIECE):
+            pieces.append(t[s : s + PIECE + max(ORDERS) - 1])
+            own.append(i)
+            places.append(PIECE if s + PIECE < len(t) else len(t) - s + 1)
+    return pieces, np.array(own, np.int64), np.array(places, np.int64)
+
+
+def sparse(texts: list[str]):
+    """Yields (rows, buckets, counts) of the sparse matrix of n-gram counts; a text's cells may come in several parts."""
+    pieces, own, places = cut(texts)
+    for s, e in slices(pieces, PIECE):
+        f, long = features(pieces[s:e])
+        place = np.arange(len(f)) - np.repeat(np.cumsum(long) - long, long)
+        keep = place < np.repeat(places[s:e], long)
+        cell, n = np.unique(np.repeat(own[s:e], long)[keep, None] * BUCKETS + f[keep], return_counts=True)
+        yield cell // BUCKETS, cell % BUCKETS, n
+
+
 def counts(labelled: DataFrame) -> DataFrame:
     """Rows (lang, part, n): counts of the n-gram buckets of each language, 1024 buckets to a row."""
 
@@ -54,11 +83,10 @@ def counts(labelled: DataFrame) -> DataFrame:
         for b in batches:
             langs, texts = b["lang"].to_pylist(), b["text"].to_pylist()
             for lang in set(langs):
-                mine = [t for t, la in zip(texts, langs, strict=True) if la == lang]
-                for s, e in slices(mine):
-                    f, _ = features(mine[s:e])
-                    c = np.bincount(f.ravel(), minlength=BUCKETS)
+                for _, bucket, n in sparse([t for t, la in zip(texts, langs, strict=True) if la == lang]):
+                    c = np.bincount(bucket, n, BUCKETS).astype(np.int64)
                     total[lang] = total[lang] + c if lang in total else c
+        release()
         for lang, c in total.items():
             parts = c.reshape(-1, _CHUNK)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(parts)), pa.array(range(len(parts)), pa.int32()), pa.array([p.astype("<i8").tobytes() for p in parts], pa.binary())], names=["lang", "part", "n"])
@@ -91,7 +119,9 @@ def predict(spark: SparkSession, docs: DataFrame, model: tuple[list[str], np.nda
     """Adds lang_pred and score, the posterior of lang_pred under equal priors.
 
     A null text, one without a letter, and any text under an empty model get `und` and score 0. The name of an input
-    column that is lang_pred or score is replaced. The whole text is scored, in slices of about two million characters.
+    column that is lang_pred or score is replaced. The whole text is scored: a text's n-grams are counted in a sparse
+    matrix, in pieces of PIECE characters, whose cells are weighed CELLS numbers at a time, so that neither a long text nor
+    many languages need more memory. Ties fall to the first language in code point order.
     """
     langs, logp = model
     shared = spark.sparkContext.broadcast(np.ascontiguousarray(logp))
@@ -103,17 +133,19 @@ def predict(spark: SparkSession, docs: DataFrame, model: tuple[list[str], np.nda
             lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
             use = [i for i, t in enumerate(texts) if len(langs) and has_letter(t)]
             picked = [texts[i] for i in use]
-            for s, e in slices(picked, 500_000):
-                f, long = features(picked[s:e])
-                per = m[f[:, 0]]
-                for k in range(1, f.shape[1]):
-                    per += m[f[:, k]]
-                total = np.add.reduceat(per, np.concatenate([[0], np.cumsum(long)[:-1]]), axis=0, dtype=np.float64)
-                best = total.argmax(axis=1)
-                p = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-                for i, k, q in zip(use[s:e], best.tolist(), p.tolist(), strict=True):
-                    lang[i], score[i] = langs[k], q
+            total = np.zeros((len(use), max(len(langs), 1)))
+            for row, bucket, n in sparse(picked):
+                step = max(1, CELLS // max(len(langs), 1))
+                for s in range(0, len(row), step):
+                    r = row[s : s + step]
+                    first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+                    total[r[first]] += np.add.reduceat(m[bucket[s : s + step]] * n[s : s + step, None], first, axis=0, dtype=np.float64)
+            best = total.argmax(axis=1)
+            p = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+            for i, k, q in zip(use, best.tolist(), p.tolist(), strict=True):
+                lang[i], score[i] = langs[k], q
             yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+        release()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in keep)
     return docs.select(*[f"`{c}`" for c in keep]).mapInArrow(run, f"{kinds}, lang_pred string, score double")
