@@ -89,6 +89,8 @@ def mux(payload: bytes) -> bytes:
 
 
 def _vint(data: bytes, at: int, keep_mark: bool) -> tuple[int, int]:
+    if at >= len(data):
+        raise ValueError(f"the file ends at byte {at}, inside an element")
     first = data[at]
     if not first:
         raise ValueError(f"no length mark at byte {at}")
@@ -140,7 +142,9 @@ def parse(data: bytes) -> tuple[list[tuple[int, int, int, int]], dict]:
             eid, at = _vint(data, at, True)
             mark = at
             size, at = _vint(data, at, False)
-            stop = end if size == (1 << 7 * (at - mark)) - 1 else min(at + size, end)
+            stop = end if size == (1 << 7 * (at - mark)) - 1 else at + size
+            if stop > end:
+                raise ValueError(f"the element at byte {was} ends at {stop}, its master at {end}")
             if eid in MASTERS:
                 if eid == SEGMENT:
                     segment = at
@@ -161,6 +165,8 @@ def parse(data: bytes) -> tuple[list[tuple[int, int, int, int]], dict]:
                 track, p = _vint(data, at, False)
                 offset, flags = struct.unpack_from(">hB", data, p)
                 for k, (s, e) in enumerate(_laces(data, p + 3, stop, flags >> 1 & 3)):
+                    if not p + 3 <= s <= e <= stop:
+                        raise ValueError(f"a frame of the block at byte {was} passes its end")
                     packets.append((track, (stamp + offset) * said["scale"] + k * said["frame_ns"], s, e))
             at = stop
     return packets, said
@@ -187,20 +193,31 @@ def media(docs: DataFrame) -> DataFrame:
 
 
 def packets(files: DataFrame) -> DataFrame:
-    """The packet table of a media column: for each file its packets with track, timestamp, byte range and data, and its cues."""
+    """The packet table of a media column: for each file its packets with track, timestamp, byte range and data, and its cues.
+
+    A null file and one that ends or goes astray inside an element have null packets, payload and cues_hold, and say why in
+    `error`, which is null otherwise. A file without elements has no packets. Columns of these names are replaced.
+    """
+    keep = [c for c in files.columns if c not in ("packets", "payload", "cues_hold", "error")]
 
     def run(batches):
         kind = pa.list_(pa.struct([("track", pa.int32()), ("ns", pa.int64()), ("start", pa.int64()), ("size", pa.int64())]))
         for b in batches:
             for s in range(0, b.num_rows, 256):
                 part = b.slice(s, 256)
-                rows, data, cued = [], [], []
+                rows, data, cued, wrong = [], [], [], []
                 for m in part["media"].to_pylist():
-                    found, said = parse(m)
+                    try:
+                        found, said = parse(m)
+                    except (TypeError, ValueError, IndexError, struct.error, ZeroDivisionError) as e:
+                        for column, value in ((rows, None), (data, None), (cued, None), (wrong, "no file" if m is None else f"{type(e).__name__}: {e}")):
+                            column.append(value)
+                        continue
+                    wrong.append(None)
                     rows.append([{"track": t, "ns": ns, "start": a, "size": e - a} for t, ns, a, e in found])
                     data.append(b"".join([m[a:e] for _, _, a, e in found]))
                     cued.append(sorted(said["cues"]) == said["clusters"])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, kind), pa.array(data, pa.binary()), pa.array(cued, pa.bool_())], names=[*part.schema.names, "packets", "payload", "cues_hold"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, kind), pa.array(data, pa.binary()), pa.array(cued, pa.bool_()), pa.array(wrong, pa.string())], names=[*part.schema.names, "packets", "payload", "cues_hold", "error"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
-    return files.mapInArrow(run, f"{kinds}, packets array<struct<track: int, ns: long, start: long, size: long>>, payload binary, cues_hold boolean")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields if f.name in keep)
+    return files.select(*[f"`{c}`" for c in keep]).mapInArrow(run, f"{kinds}, packets array<struct<track: int, ns: long, start: long, size: long>>, payload binary, cues_hold boolean, error string")
