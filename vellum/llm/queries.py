@@ -34,11 +34,18 @@ s2 AS (SELECT *, (CAST((SELECT sum(source_size) FROM s1) AS DOUBLE) - coalesce(s
 s3 AS (SELECT source, source_size, CASE WHEN cap <= level * w THEN cap ELSE w * (SELECT level FROM s2 WHERE NOT cap <= level * w ORDER BY cap / w, source NULLS LAST LIMIT 1) END AS target FROM s2),
 s4 AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS r FROM s3),
 s5 AS (SELECT *, CAST(least(floor(r), 3) AS BIGINT) AS whole FROM s4),
-s6 AS (SELECT *, r - whole AS p, target - whole * source_size AS lacks FROM s5),
-u AS (SELECT d.doc_id, d.source, d.size, source_size, target, whole, p, lacks,
+s6 AS (SELECT *, target - whole * source_size AS lacks FROM s5),
+dm AS (SELECT *, CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END AS m FROM d),
+m1 AS (SELECT source, m, CAST(sum(size) AS BIGINT) AS words FROM dm GROUP BY source, m),
+m2 AS (SELECT m1.source, m, lacks, coalesce(sum(words) OVER (PARTITION BY m1.source ORDER BY m DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above,
+  sum(words * m) OVER (PARTITION BY m1.source ORDER BY m DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS below FROM m1 JOIN s6 ON m1.source IS NOT DISTINCT FROM s6.source),
+m3 AS (SELECT *, CASE WHEN below > 0 THEN (lacks - CAST(above AS DOUBLE)) / CAST(below AS DOUBLE) ELSE 0.0::DOUBLE END AS c FROM m2),
+m4 AS (SELECT *, c * m < 1 AS open FROM m3),
+m5 AS (SELECT source, m, CASE WHEN open THEN greatest((SELECT c FROM m4 x WHERE x.open AND x.source IS NOT DISTINCT FROM m4.source ORDER BY m DESC LIMIT 1), 0) * m ELSE 1.0::DOUBLE END AS p FROM m4),
+u AS (SELECT dm.doc_id, dm.source, dm.size, source_size, target, whole, p, lacks,
   (CAST(('0x' || substr(md5('mix-1' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12)) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
-  FROM d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source),
-q AS (SELECT *, CASE WHEN p > 0 AND p < 1 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM u),
+  FROM dm JOIN s6 ON dm.source IS NOT DISTINCT FROM s6.source JOIN m5 ON dm.source IS NOT DISTINCT FROM m5.source AND dm.m = m5.m),
+q AS (SELECT *, CASE WHEN lacks > 0 THEN CASE WHEN p >= 1 THEN 0.0::DOUBLE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END END AS q FROM u),
 e AS (SELECT *, CASE WHEN q IS NOT NULL THEN sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING) END AS e FROM q)
 SELECT doc_id, size, source_size, target,
   CAST((whole + CASE WHEN q IS NOT NULL AND e - size < lacks AND (e <= lacks OR e - lacks <= lacks - (e - size)) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
@@ -81,12 +88,16 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-x AS (SELECT *, replace(replace(replace(text, '\', '\e'), '[', '\b'), '<', '\l') AS coded, replace(replace(replace(replace(role, '\', '\e'), '[', '\b'), '<', '\l'), chr(10), '\n') AS head FROM t)
+x AS (SELECT *, replace(replace(replace(text, '\', '\e'), '[', '\b'), '<', '\l') AS coded, replace(replace(replace(replace(role, '\', '\e'), '[', '\b'), '<', '\l'), chr(10), '\n') AS head,
+  coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text), '^') || '>' || role AS move FROM t)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(12 + length(head) + 1 + length(coded) + 11) AS BIGINT) AS formatted_chars
+  CAST(sum(12 + length(head) + 1 + length(coded) + 11) AS BIGINT) AS formatted_chars,
+  count(*) FILTER (WHERE move NOT IN ('^>system', '^>user', 'system>user', 'user>assistant', 'assistant>user')) = 0 AND arg_max(role, (turn IS NOT NULL, turn, role, text)) = 'assistant' AS valid,
+  CASE arg_max(role, (turn IS NOT NULL, turn, role, text)) WHEN 'system' THEN 'instructed' WHEN 'user' THEN 'asked' WHEN 'assistant' THEN 'answered' ELSE 'other' END AS state,
+  count(*) FILTER (WHERE move NOT IN ('^>system', '^>user', 'system>user', 'user>assistant', 'assistant>user')) AS out_of_order
 FROM x GROUP BY conv_id
 """
 
@@ -98,7 +109,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = f"values (-1L, 0L, 'user', '{probe}'), (-1L, 1L, 'assistant', '{probe}') as t(conv_id, turn, role, text)"
     out = Scratch(spark, "op7").keep(chat.format_chats(turns.unionByName(spark.sql(f"select * from {rows}"))))
     text, loss = chat.formatted(F.col("segments")), chat.loss_text(F.col("segments"))
-    back = out.select("conv_id", "valid", text.alias("formatted"), loss.alias("loss")).withColumn("turns", chat.parse(F.col("formatted")))
+    back = out.select("conv_id", "valid", "state", "out_of_order", text.alias("formatted"), loss.alias("loss")).withColumn("turns", chat.parse(F.col("formatted")))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",
@@ -107,6 +118,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+        "state",
+        "out_of_order",
     )
 
 
