@@ -292,17 +292,12 @@ _BYTE_ALPHABET = {b: 256 + k for k, b in enumerate(b for b in range(256) if not
 _BYTE_SPACE = chr(_BYTE_ALPHABET[32])
 
 
-class _Numbers(dict):
-    """Numbers chunks in the order in which they are first asked for."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, chunk: str) -> int:
-        n = self[chunk] = len(self)
-        self.new.append(chunk)
-        return n
+#: Bytes of UTF-8: ASCII letters, and the bytes that white space beyond ASCII begins with.
+_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
+_LEAD = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
+#: Bytes of a chunk that its key holds, and what of them counts at each length.
+_KEY = 16
+_KEEP = np.array([[(1 << 8 * min(max(n - k, 0), 8)) - 1 for k in (0, 8)] for n in range(_KEY + 1)], np.uint64)
 
 
 class Encoder:
@@ -310,34 +305,41 @@ class Encoder:
 
     Both public tokenizers split texts before their merges so that no token crosses from a non-space into a
     following space, nor from a run of letters into what is no letter; the text is cut there, every new chunk is
-    encoded once by the library, and the ids of a text are put together from its chunks. The memory is bounded by
-    `most` chunks.
+    encoded once by the library, and the ids of a text are put together from its chunks. Cutting, looking up and putting
+    together are done in numpy for many texts at once; chunks of up to 16 bytes are found by these bytes in an
+    open-addressed table, longer ones in a dictionary. The memory is bounded by `most` chunks.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
         self.most = most
         one, two = (self.lib.encode(x, add_special_tokens=False).ids for x in ("b", " b"))
-        self.chunks = (_NO_SPACE if one == two else _WITH_SPACE).findall
+        self.spaced = one != two
+        self.chunks = (_WITH_SPACE if self.spaced else _NO_SPACE).findall
         self.lower = self.lib.normalizer is not None and self.lib.normalizer.normalize_str("A") == "a"
         self.word = re.compile(f" ?[{LATIN}]+").fullmatch
         self._reset()
 
     def _reset(self) -> None:
-        self.number = _Numbers()
+        size = 1 << (2 * self.most).bit_length()
+        self.low, self.high = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
+        self.long, self.number = np.zeros(size, np.uint8), np.zeros(size, np.int32)
+        self.others: dict[bytes, int] = {}
         self.flat, self.at = np.empty(1 << 16, np.int32), np.zeros(1 << 14, np.int32)
         self.known = 0
 
-    def _learn(self) -> None:
-        new, self.number.new = self.number.new, []
+    def _learn(self, new: list[bytes]) -> None:
+        """Encodes new chunks, which get the next numbers."""
         model, word = self.lib.model.tokenize, self.word
+        gc.disable()  # only ids are made there, no cycles
         for s in range(0, len(new), 8192):
-            ids = [None] * len(new[s : s + 8192])
+            texts = [c.decode() for c in new[s : s + 8192]]
+            ids = [None] * len(texts)
             rest = []
-            for i, c in enumerate(new[s : s + 8192]):
+            for i, c in enumerate(texts):
                 if c.isascii() and (c.isalpha() or c[1:].isalpha() and c[0] == " ") or word(c):  # one word to both tokenizers
                     if self.lower:
                         c = c.lower()
@@ -346,7 +348,7 @@ class Encoder:
                     ids[i] = [t.id for t in model(c)]
                 else:
                     rest.append(i)
-            for i, e in zip(rest, self.lib.encode_batch_fast([new[s + i] for i in rest], add_special_tokens=False), strict=True):
+            for i, e in zip(rest, self.lib.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
                 ids[i] = e.ids
             long = np.fromiter(map(len, ids), np.int32, len(ids))
             ends = self.at[self.known] + np.cumsum(long, dtype=np.int32)
@@ -357,25 +359,131 @@ class Encoder:
             self.flat[self.at[self.known] : ends[-1]] = np.fromiter(chain.from_iterable(ids), np.int32, int(long.sum()))
             self.at[self.known + 1 : self.known + 1 + len(ids)] = ends
             self.known += len(ids)
+        gc.enable()
+
+    def _cut(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last bytes of the chunks of texts that zeros part: as `chunks` gives them where white space is ASCII."""
+        space, gap, letter = _IS_SPACE[x], x == 0, _LETTER[x]
+        two = np.flatnonzero(x == 0xC3)  # Latin letters beyond ASCII
+        two = two[(x[two + 1] != 0x97) & (x[two + 1] != 0xB7)]
+        letter[two] = letter[two + 1] = True
+        solid = ~(space | gap)
+        first = np.zeros(len(x), bool)
+        if self.spaced:  # white space goes with what follows
+            first[1:] = (space[1:] & ~space[:-1]) | (solid[1:] & gap[:-1])
+            marks = np.flatnonzero(first | gap)
+            here = first[marks[:-1]]
+            begin, end = marks[:-1][here], marks[1:][here]
+            word = begin + ((x[begin] == 32) & letter[begin + 1])
+        else:
+            edge = np.diff(solid.view(np.int8))
+            begin, end = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
+            word = begin
+        run_ends = np.flatnonzero(letter[:-1] & ~letter[1:]) + 1
+        stop = end.copy()
+        lettered = np.flatnonzero(letter[word])
+        if len(lettered):
+            e = run_ends[np.searchsorted(run_ends, word[lettered], "right")]
+            stop[lettered] = np.where(x[e] < 128, e, end[lettered])
+        rest = stop < end
+        begins, ends = np.concatenate([begin, stop[rest]]), np.concatenate([stop, end[rest]])
+        order = np.argsort(begins, kind="stable")
+        return begins[order], ends[order]
+
+    def _find(self, low: np.ndarray, high: np.ndarray, long: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Numbers of keys, -1 for those that are new."""
+        out = np.full(len(low), -1, np.int32)
+        todo, at = np.arange(len(low)), place
+        while len(todo):
+            here = self.long[at]
+            same = (here == long[todo]) & (self.low[at] == low[todo]) & (self.high[at] == high[todo])
+            out[todo[same]] = self.number[at[same]]
+            on = ~same & (here != 0)
+            todo, at = todo[on], at[on] + 1 & len(self.low) - 1
+        return out
+
+    def _store(self, low: np.ndarray, high: np.ndarray, long: np.ndarray, place: np.ndarray, number: np.ndarray) -> None:
+        todo, at = np.arange(len(low)), place
+        while len(todo):
+            free = np.flatnonzero(self.long[at] == 0)
+            _, one = np.unique(at[free], return_index=True)
+            won = free[one]
+            k, p = todo[won], at[won]
+            self.low[p], self.high[p], self.long[p], self.number[p] = low[k], high[k], long[k], number[k]
+            left = np.ones(len(todo), bool)
+            left[won] = False
+            todo, at = todo[left], at[left]
+            at = np.where(self.long[at] != 0, at + 1 & len(self.low) - 1, at)
+
+    def _numbers(self, x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Number of each chunk; new ones are learned."""
+        out = np.full(len(begin), -1, np.int32)
+        long = end - begin
+        short = np.flatnonzero(long <= _KEY)
+        n = long[short]
+        key = np.lib.stride_tricks.sliding_window_view(x, _KEY)[begin[short]].view("<u8") & _KEEP[n]
+        low, high = np.ascontiguousarray(key[:, 0]), np.ascontiguousarray(key[:, 1])
+        h = mix(low * BASE ^ (high + n.astype(np.uint64)) * SECOND_BASE)
+        place = (h & np.uint64(len(self.low) - 1)).astype(np.int64)
+        found = self._find(low, high, n, place)
+        fresh = np.flatnonzero(found < 0)
+        _, one, back = np.unique(h[fresh], return_index=True, return_inverse=True)
+        like = fresh[one][back]
+        clash = (low[fresh] != low[like]) | (high[fresh] != high[like]) | (n[fresh] != n[like])  # equal hashes of other bytes
+        new = [x[begin[i] : end[i]].tobytes() for i in short[fresh[one]].tolist()]
+        known = self.known
+        found[fresh] = known + back.astype(np.int32)
+        found[fresh[clash]] = -1
+        out[short] = found
+        others = np.flatnonzero(out < 0).tolist()
+        for i in others:
+            c = x[begin[i] : end[i]].tobytes()
+            at = self.others.get(c)
+            if at is None:
+                at = self.others[c] = known + len(new)
+                new.append(c)
+            out[i] = at
+        if new:
+            k = fresh[one]
+            self._learn(new)
+            self._store(low[k], high[k], n[k].astype(np.uint8), place[k], known + np.arange(len(k), dtype=np.int32))
+        return out
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str] | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and the number of ids of each text."""
-        if len(self.number) > self.most:
+        if self.known > self.most:
             self._reset()
-        chunks, last = [], [0]
-        for t in texts:
-            chunks += self.chunks(t)
-            last.append(len(chunks))
-        chunk = np.fromiter(map(self.number.__getitem__, chunks), np.int32, len(chunks))
-        if self.number.new:
-            gc.disable()  # only ids are made there, no cycles
-            self._learn()
-            gc.enable()
+        raw = [t.encode() if isinstance(t, str) else t for t in texts]
+        x = np.frombuffer(b"\0" + b"\0".join(raw) + bytes(_KEY + 1), np.uint8)
+        first = 1 + np.concatenate([[0], np.cumsum([len(t) + 1 for t in raw])[:-1]]).astype(np.int64) if raw else np.zeros(0, np.int64)
+        a = np.flatnonzero(_LEAD[x])
+        p, q, r = x[a], x[a + 1], x[a + 2]
+        wide = ((p == 0xC2) & ((q == 0x85) | (q == 0xA0))) | ((p == 0xE1) & (q == 0x9A) & (r == 0x80)) | ((p == 0xE3) & (q == 0x80) & (r == 0x80))
+        wide |= (p == 0xE2) & (((q == 0x80) & ((r <= 0x8A) | (r == 0xA8) | (r == 0xA9) | (r == 0xAF))) | ((q == 0x81) & (r == 0x9F)))
+        odd = {i for i, t in enumerate(raw) if 0 in t} | set((np.searchsorted(first, a[wide], "right") - 1).tolist())
+        number = of = None
+        if odd:  # texts with other white space or with zeros are cut by the pattern
+            x = x.copy()
+            chunks, own = [], []
+            for i in sorted(odd):
+                x[first[i] : first[i] + len(raw[i])] = 0
+                mine = [c.encode() for c in self.chunks(raw[i].decode())]
+                chunks += mine
+                own += [i] * len(mine)
+            ends = np.cumsum([len(c) for c in chunks], dtype=np.int64)
+            y = np.frombuffer(b"".join(chunks) + bytes(_KEY), np.uint8)
+            number, of = self._numbers(y, ends - [len(c) for c in chunks], ends), np.array(own, np.int64)
+        begin, end = self._cut(x)
+        chunk, owner = self._numbers(x, begin, end), np.searchsorted(first, begin, "right") - 1
+        if odd:
+            owner = np.concatenate([owner, of])
+            order = np.argsort(owner, kind="stable")
+            chunk, owner = np.concatenate([chunk, number])[order], owner[order]
         begin = self.at[chunk]
         long = self.at[chunk + 1] - begin
         bounds = np.concatenate([np.zeros(1, np.int32), np.cumsum(long, dtype=np.int32)])
         ids = self.flat[np.repeat(begin - bounds[:-1], long) + np.arange(bounds[-1], dtype=np.int32)]
-        return ids, np.diff(bounds[last])
+        return ids, np.diff(bounds[np.searchsorted(owner, np.arange(len(raw) + 1))])
 
 
 def with_end(ids: np.ndarray, n: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

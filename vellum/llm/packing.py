@@ -32,7 +32,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
     def run(batches):
         for b in batches:
             for s, e in slices(b["text"]):
-                ids, n = encoder(tokenizer).encode(b["text"].slice(s, e - s).fill_null("").to_pylist())
+                ids, n = encoder(tokenizer).encode(b["text"].slice(s, e - s).cast(pa.binary()).fill_null(b"").to_pylist())
                 data, n = with_end(ids, n, end_id)
                 at, rows = 0, []
                 for i, long in enumerate(n.tolist()):

@@ -32,7 +32,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame:
         row = 0
         for b in batches:
             for s, e in slices(b["text"]):
-                ids, n = encoder(tokenizer).encode(b["text"].slice(s, e - s).fill_null("").to_pylist())
+                ids, n = encoder(tokenizer).encode(b["text"].slice(s, e - s).cast(pa.binary()).fill_null(b"").to_pylist())
                 if end_id is not None:
                     ids, n = with_end(ids, n, end_id)
                 at = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
@@ -49,7 +49,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 0) ->
     The texts are dealt out by range before they are encoded. Null ids come first. Equal ids stay in one file, in the
     order of their texts; `row` is a row's place in its file.
     """
-    n, chars = docs.agg(F.count(F.lit(1)), F.sum(F.length("text").cast("long"))).first()
+    n, chars = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text").cast("long"))).first()
     spread = docs.sparkSession.sparkContext.defaultParallelism * 8
     files = max(blocks_of(chars, FILE_CHARS), min(blocks_of(n, FILE_ROWS), spread))
     ranged = docs.select("doc_id", "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
