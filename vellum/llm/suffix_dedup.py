@@ -26,6 +26,8 @@ GRAM = 64
 CHUNK, GROUP_CHARS = 1 << 19, 4_000_000
 #: Most different surroundings of one gram that are sorted in one task; grams with more are counted window by window.
 MOST_SORTED = 20_000
+#: Most grams of the second kind that are broadcast; there is at most one to MOST_SORTED anchors.
+MOST_BROADCAST = 1_000_000
 #: Odd bases of the hashes (fixed values; any odd numbers of good spread do) and the inverse of the second.
 _GRAM_BASE = 0xD6E8FEB86659FD93
 _BASE = 0x9E3779B97F4A7C15
@@ -262,25 +264,27 @@ def _agree(size: int):
 
 def _counted(near: DataFrame, scratch: Scratch, size: int) -> DataFrame:
     """What `_agree` gives, for grams whose surroundings are too many for one task: every string of `size` bytes around an
-    anchor is counted by its hash, and the outermost that come twice tell how far a class reaches. Nothing is gathered."""
+    anchor is counted by its 128-bit hash, and the outermost that come twice tell how far a class reaches. Nothing is gathered."""
 
     def windows(batches):
         for b in batches:
             for s in range(0, b.num_rows, 256):
                 part = b.slice(s, 256)
-                back, hashes = [], []
+                back, one, two = [], [], []
                 for left, t in zip(part["left"].to_pylist(), part["near"].to_pylist(), strict=True):
                     first = min(left, len(t) - size)  # strings that start later begin after the anchor or pass the text's end
                     back.append([left - p for p in range(first + 1)])
-                    hashes.append([xxhash.xxh3_64_intdigest(t[p : p + size]) - (1 << 63) for p in range(first + 1)])
-                cols = [part["gram"], part["c1"], part["c2"], pa.array(back, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["gram", "c1", "c2", "back", "hashes"])
+                    h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(t[p : p + size]) for p in range(first + 1)]), np.int64).reshape(-1, 2)
+                    one.append(h[:, 0])
+                    two.append(h[:, 1])
+                cols = [part["gram"], part["c1"], part["c2"], pa.array(back, pa.list_(pa.int32())), pa.array(one, pa.list_(pa.int64())), pa.array(two, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["gram", "c1", "c2", "back", "h1", "h2"])
 
     key = ["gram", "c1", "c2"]
-    rows = near.select(*key, "left", "near").mapInArrow(windows, "gram long, c1 long, c2 long, back array<int>, hashes array<long>")
-    rows = rows.select(*key, F.explode(F.arrays_zip("back", "hashes")).alias("w")).select(*key, F.col("w.back").alias("back"), F.col("w.hashes").alias("h"))
-    twice = scratch.keep(rows.groupBy("gram", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "h"))  # so that a frequent string's join can be split
-    far = rows.join(twice, ["gram", "h"]).groupBy(*key).agg(F.max("back").alias("far_left"), F.min("back").alias("least"))
+    rows = near.select(*key, "left", "near").mapInArrow(windows, "gram long, c1 long, c2 long, back array<int>, h1 array<long>, h2 array<long>")
+    rows = rows.select(*key, F.explode(F.arrays_zip("back", "h1", "h2")).alias("w")).select(*key, "w.back", "w.h1", "w.h2")
+    twice = scratch.keep(rows.groupBy("gram", "h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "h1", "h2"))  # so that a frequent string's join can be split
+    far = rows.join(twice, ["gram", "h1", "h2"]).groupBy(*key).agg(F.max("back").alias("far_left"), F.min("back").alias("least"))
     return far.select(*key, "far_left", (F.lit(size) - F.col("least")).cast("int").alias("far_right"))
 
 
@@ -290,8 +294,11 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, size: int) -> DataFrame:
     key = ["gram", "c1", "c2"]
     classes = found.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at", "left", "right")).alias("one"))
     classes = scratch.keep(classes)
-    grams = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    several = classes.join(grams, "gram").select(*key, "one.*", (F.col("kinds") > MOST_SORTED).alias("many"))
+    grams = scratch.keep(classes.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
+    hot = grams.where(F.col("kinds") > MOST_SORTED).select("gram")
+    few = F.broadcast(hot) if hot.count() <= MOST_BROADCAST else hot  # so that no gram's classes meet in one task
+    several = classes.join(few, "gram", "left_anti").join(grams.where(F.col("kinds") <= MOST_SORTED), "gram").select(*key, "one.*", F.lit(False).alias("many"))
+    several = several.unionByName(classes.join(few, "gram").select(*key, "one.*", F.lit(True).alias("many")))
     wanted = several.groupBy("id").agg(F.collect_list(F.struct(*key, "at", "left", "right", "many")).alias("wanted"))  # bounded by the text
 
     def cut(batches):
@@ -307,7 +314,7 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, size: int) -> DataFrame:
 
     near = docs.join(wanted, "id").select("text", "wanted").mapInArrow(cut, "gram long, c1 long, c2 long, left int, near binary, many boolean")
     groups = blocks_of(total_chars(docs), GROUP_CHARS)
-    if several.where("many").limit(1).count():
+    if hot.limit(1).count():
         near = scratch.keep(near)
         counted = _counted(near.where("many"), scratch, size)
     else:
@@ -330,7 +337,8 @@ def suffix_dedup(docs: DataFrame, scratch: Scratch, size: int = 400, id_col: str
     Texts are whole and UTF-8; matches don't cross documents, overlaps within one count. `removed` has the maximal
     removed runs as starts and ends by turns, `kept` the other bytes, which need not be valid UTF-8. A null text is
     empty; texts shorter than `size` keep all. Rows are matched to their text by id; of rows that share an id, or have
-    none, each counts as a text of its own: they are told apart by a hash of the row.
+    none, each counts as a text of its own: they are told apart by a number of the row. Surroundings of 736 bytes that are
+    equal by a 128-bit digest are one class; the common extensions of different classes are verified by their bytes.
     """
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text"))
     own = docs.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc is null").limit(1).count() > 0
