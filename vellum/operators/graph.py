@@ -2,30 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def merge_roots(spark: SparkSession, nodes: DataFrame, edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def merge_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest member (doc_id, node, root) of each node's component; edges (doc_id, a, b) never leave a document.
 
-    Labels are lowered along the edges and then jump to their label's label, so that a chain settles in the logarithm
-    of its length. Edges to nodes that are not there are dropped. Each round is checkpointed where the session names a folder.
+    Nodes and edges of a document meet once and its labels are lowered in numpy until they settle, in about the logarithm
+    of the longest chain's length; a task holds the lines of a document. Edges to nodes that are not there are dropped.
     """
-    lasting = spark.conf.get("spark.checkpoint.dir", None) is not None
-    label = nodes.select("doc_id", "node", F.col("node").alias("root"))
-    both = edges.select("doc_id", "a", "b").unionByName(edges.select("doc_id", F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    for _ in range(most_rounds):
-        near = both.join(label.select("doc_id", F.col("node").alias("b"), "root"), ["doc_id", "b"]).groupBy("doc_id", F.col("a").alias("node")).agg(F.min("root").alias("low"))
-        new = label.join(near, ["doc_id", "node"], "left").select("doc_id", "node", F.least("root", F.coalesce("low", "root")).alias("root"))
-        jump = new.select("doc_id", F.col("node").alias("root"), F.col("root").alias("top"))
-        new = new.join(jump, ["doc_id", "root"]).select("doc_id", "node", F.col("top").alias("root"))
-        new = new.checkpoint() if lasting else new.cache()
-        changed = new.join(label.withColumnRenamed("root", "was"), ["doc_id", "node"]).where("root <> was").limit(1).count()
-        label = new
-        if not changed:
-            return label
-    raise RuntimeError(f"labels did not settle in {most_rounds} rounds")
+    none = F.lit(None).cast("long")
+    rows = nodes.select("doc_id", F.col("node").cast("long").alias("a"), none.alias("b")).unionByName(edges.select("doc_id", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
+
+    def fold(t: pa.Table) -> pa.Table:
+        is_node = pa.compute.is_null(t["b"])
+        names = np.unique(t.filter(is_node)["a"].to_numpy())
+        pairs = t.filter(pa.compute.invert(is_node))
+        ends = [pairs[c].to_numpy() for c in "ab"]
+        there = np.isin(ends[0], names) & np.isin(ends[1], names)
+        x, y = (np.searchsorted(names, e[there]) for e in ends)
+        root = np.arange(len(names))
+        while len(x):
+            low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+            apart = low < high
+            x, y, low, high = x[apart], y[apart], low[apart], high[apart]
+            np.minimum.at(root, high, low)
+            while (root[root] != root).any():
+                root = root[root]
+        doc = t["doc_id"][:1].combine_chunks().take(pa.array(np.zeros(len(names), np.int64)))
+        return pa.table([doc, pa.array(names), pa.array(names[root])], names=["doc_id", "node", "root"])
+
+    kind = nodes.schema["doc_id"].dataType.simpleString()
+    return rows.groupBy("doc_id").applyInArrow(fold, f"doc_id {kind}, node long, root long")
 
 
 def guarded_merge(roots: DataFrame, least: float = 0.5) -> DataFrame:

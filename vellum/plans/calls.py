@@ -138,7 +138,7 @@ def _(s, d):
 @R.query("d13_sentence_line_numbers", f"{WITH}, {RANGES} SELECT doc_id, k, min(line_no) AS first, max(line_no) AS last FROM off JOIN sent USING (doc_id) WHERE NOT (le <= s OR ls >= e) GROUP BY 1, 2")
 def _(s, d):
     off, sent = ranges(s, d)
-    return off.join(sent, "doc_id").where("not (le <= s or ls >= e)").groupBy("doc_id", "k").agg(F.min("line_no").alias("first"), F.max("line_no").alias("last"))
+    return layout.overlapping(off, sent, "doc_id", "ls", "le", "s", "e", 200).groupBy("doc_id", "k").agg(F.min("line_no").alias("first"), F.max("line_no").alias("last"))
 
 
 @R.query("d18_splitter_totals", f"""WITH {PIECE_SQL}, a AS (SELECT doc_id, start FROM piece WHERE k % 4 <> 1), b AS (SELECT doc_id, start FROM piece WHERE k % 5 <> 2)
@@ -199,7 +199,7 @@ STATUS = "CASE doc_id % 4 WHEN 0 THEN 'running' WHEN 1 THEN 'queued' WHEN 2 THEN
 
 def documents_as_jobs(s, d):
     """A job document to each text; every eleventh is cut short and cannot be read."""
-    block = "array(named_struct('i', 0, 'orig_i', 0, 'p', 0, 'src', substr(text, 1, 40), 'ja', ''))"
+    block = "array(named_struct('i', 0, 'orig_i', 0, 'p', 0, 'src', text, 'ja', ''))"
     page = f"array(named_struct('index', 0, 'page_no', 1, 'status', if(doc_id % 3 = 0, 'processing', 'done'), 'blocks', {block}))"
     state = f"to_json(named_struct('id', cast(doc_id as string), 'filename', concat(source, '.pdf'), 'lang', if(doc_id % 5 = 0, null, lang), 'status', {STATUS}, 'created_at', cast(doc_id as double), 'pages', {page}))"
     return texts.docs(s, d).selectExpr("doc_id", f"if(doc_id % 11 = 0, substr({state}, 1, 3), {state}) state")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vellum.operators import graph, layout
+from vellum.operators import graph, labels, layout
+from vellum.plans.texts import HEAD
 from vellum.registry import Registry, table
 from vellum.sources import derived
 from vellum.sources.derived import EDGE_SQL, LINE_SQL
@@ -119,7 +120,7 @@ def ranges(s, d):
 FROM off JOIN sent USING (doc_id) WHERE NOT (le <= s OR ls >= e)""")
 def _(s, d):
     off, sent = ranges(s, d)
-    x = off.join(sent, "doc_id").where("not (le <= s or ls >= e)")
+    x = layout.overlapping(off, sent, "doc_id", "ls", "le", "s", "e", 200)
     at = lambda c: F.col("x0") + (F.col("x1") - F.col("x0")) * ((c - F.col("ls")).cast("double") / (F.col("le") - F.col("ls")).cast("double"))
     return x.select("doc_id", "k", "line_no", at(F.greatest("s", "ls")).alias("rx0"), at(F.least("e", "le")).alias("rx1"))
 
@@ -127,7 +128,7 @@ def _(s, d):
 @R.query("c5_span_overlap", f"""{WITH}, {RANGES} SELECT doc_id, k, line_no, CAST(greatest(s, ls) - s AS BIGINT) AS span_start, CAST(least(e, le) - s AS BIGINT) AS span_end FROM off JOIN sent USING (doc_id) WHERE line_no % 3 = 0 AND NOT (le <= s OR ls >= e)""")
 def _(s, d):
     off, sent = ranges(s, d)
-    x = off.where("line_no % 3 = 0").join(sent, "doc_id").where("not (le <= s or ls >= e)")
+    x = layout.overlapping(off.where("line_no % 3 = 0"), sent, "doc_id", "ls", "le", "s", "e", 200)
     return x.select("doc_id", "k", "line_no", (F.greatest("s", "ls") - F.col("s")).alias("span_start"), (F.least("e", "le") - F.col("s")).alias("span_end"))
 
 
@@ -136,7 +137,9 @@ SELECT l.doc_id, l.line_no, min(n) AS first, max(n) AS last FROM line l JOIN num
 def _(s, d):
     x = line(s, d)
     num = x.where("line_no % 2 = 0").select("doc_id", F.col("line_no").alias("n"), ((F.col("y0") + F.col("y1")) / 2 + 0.5).alias("mid"))
-    hit = x.join(num, "doc_id").where(F.col("mid").between(F.col("y0") - 1, F.col("y1") + 1))
+    band = lambda c: F.floor(c / 64)
+    x = x.withColumn("band", F.explode(F.sequence(band(F.col("y0") - 1), band(F.col("y1") + 1))))
+    hit = x.join(num.withColumn("band", band(F.col("mid"))), ["doc_id", "band"]).where(F.col("mid").between(F.col("y0") - 1, F.col("y1") + 1))
     return hit.groupBy("doc_id", "line_no").agg(F.min("n").alias("first"), F.max("n").alias("last"))
 
 
@@ -174,7 +177,7 @@ def _(s, d):
     return layout.reading_order(layout.columns(line(s, d))).select("doc_id", "line_no", "i")
 
 
-@R.query("e1_paragraphs", f"""{WITH}, {CLUSTERS}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY "column", round_even(y0, 1), x0, line_no) - 1 AS i, line_no // 6 AS block FROM col),
+PARAGRAPHS = f"""{CLUSTERS}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY "column", round_even(y0, 1), x0, line_no) - 1 AS i, line_no // 6 AS block FROM col),
 pt AS (SELECT doc_id, "column", quantile_cont(p, 0.5) AS usual FROM (SELECT doc_id, "column", y - lag(y) OVER (PARTITION BY doc_id, "column" ORDER BY y) AS p FROM (SELECT DISTINCT doc_id, "column", round_even(y0, 1) AS y FROM o)) WHERE p > 0 AND p < 80 GROUP BY 1, 2),
 x AS (SELECT o.*, coalesce(usual, 0) AS usual, max(x1) OVER c AS r, min(x0) OVER c AS l, lag(x0) OVER w AS px0, lag(y0) OVER w AS py0, lag(x1) OVER w AS px1, lag(y1) OVER w AS py1, lag(size) OVER w AS psize, lag(bold) OVER w AS pbold, lag(text) OVER w AS ptext, lag(block) OVER w AS pblock
   FROM o LEFT JOIN pt USING (doc_id, "column") WINDOW c AS (PARTITION BY doc_id, "column"), w AS (PARTITION BY doc_id, "column" ORDER BY i)),
@@ -184,12 +187,33 @@ z AS (SELECT *, CASE WHEN ptext IS NULL THEN 0 WHEN pblock <> block THEN CAST(NO
   AND ((NOT regexp_matches(ptext, '[.!?:;。！？]['||chr(39)||'"”’)\\]]?\\s*$') AND regexp_matches(text, '^\\s*[a-z(\\[]') AND (usual <= 0 OR (pitch > 0 AND pitch <= usual * 2.2)))
     OR (usual > 0 AND pitch > 0 AND pitch <= usual * 1.25 AND NOT px1 < r - greatest(24.0, h * 1.5) AND NOT x0 > l + 6))) AS INT)
   ELSE CAST(greatest(0, y0 - py1) > h * 0.55 OR sb OR bb AS INT) END AS new FROM y)
-SELECT doc_id, "column" AS col, i, CAST(sum(new) OVER (PARTITION BY doc_id, "column" ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS p FROM z""")
+SELECT doc_id, "column" AS col, i, CAST(sum(new) OVER (PARTITION BY doc_id, "column" ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS p FROM z"""
+
+
+@R.query("e1_paragraphs", f"{WITH}, {PARAGRAPHS}")
 def _(s, d):
     x = layout.reading_order(layout.columns(line(s, d))).withColumn("block", F.floor(F.col("line_no") / 6))
     return layout.paragraphs(x).select("doc_id", F.col("column").alias("col"), "i", "p")
 
 
+#: Two spans to a line, cut after its tenth character; every third line's first span is in a bold font, others only say so by a flag.
+SPANS = """SELECT doc_id, line_no, substr(text, 1, 10) AS text, CASE WHEN line_no % 3 = 0 THEN 'Times-Bold' ELSE 'Times' END AS font, size AS size FROM {line}
+UNION ALL SELECT doc_id, line_no, substr(text, 11) AS text, CASE WHEN line_no % 4 = 0 THEN 'times-boldItalic' ELSE 'Times' END AS font, size + 1.0 AS size FROM {line}"""
+
+
+@R.query("e19_harness_paragraphs", f"""WITH {LINE_SQL.replace("line AS (", "raw AS (", 1)}, span AS ({SPANS.format(line="raw")}),
+seen AS (SELECT doc_id, line_no, coalesce(avg(size) FILTER (WHERE regexp_matches(text, '\\S')), 10.0::DOUBLE) AS size,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE regexp_matches(text, '\\S') AND contains(lower(font), 'bold')), 0) AS DOUBLE) / sum(length(text)) > 0.6::DOUBLE AS bold
+  FROM span GROUP BY 1, 2 HAVING bool_or(regexp_matches(text, '\\S'))),
+line AS (SELECT r.doc_id, r.line_no, r.text, x0, y0, x1, y1, seen.size, seen.bold FROM raw r JOIN seen USING (doc_id, line_no)), {PARAGRAPHS}""")
+def _(s, d):
+    x = line(s, d)
+    spans = s.sql(SPANS.format(line="{line}"), line=x)
+    x = x.drop("size", "bold").join(layout.plain_lines(spans), ["doc_id", "line_no"])
+    x = layout.reading_order(layout.columns(x)).withColumn("block", F.floor(F.col("line_no") / 6))
+    return layout.paragraphs(x).select("doc_id", F.col("column").alias("col"), "i", "p")
+
+
 @R.query("e14_dehyphenated_text", f"""{WITH}, p AS (SELECT doc_id, line_no // 4 AS p, line_no AS i, CASE WHEN line_no % 3 = 0 THEN text || '-' ELSE lower(text) END AS text FROM line),
 q AS (SELECT *, lag(rtrim(text)) OVER (PARTITION BY doc_id, p ORDER BY i) AS b FROM p)
 SELECT doc_id, p, string_agg(CASE WHEN b IS NULL OR (regexp_matches(b, '[A-Za-z]-$') AND NOT regexp_matches(b, '--$') AND regexp_matches(ltrim(text), '^[a-z]')) THEN '' ELSE ' ' END || trim(text), '' ORDER BY i) AS joined, count(*) AS lines FROM q GROUP BY 1, 2""")
@@ -348,7 +372,7 @@ roots AS (SELECT doc_id, node, max(begin) OVER (PARTITION BY doc_id ORDER BY nod
 
 def roots(s, d):
     x = line(s, d)
-    return graph.merge_roots(s, x.select("doc_id", F.col("line_no").alias("node")), derived.merge_edges(x))
+    return graph.merge_roots(x.select("doc_id", F.col("line_no").alias("node")), derived.merge_edges(x))
 
 
 @R.query("g7_components", f"{ROOTS} SELECT doc_id, node, root FROM roots")
@@ -372,19 +396,33 @@ def _(s, d):
     return by.agg(((F.count(F.lit(1)) == 1) & ~F.bool_or(F.col("text").rlike("[=+*/]"))).alias("demoted"))
 
 
-@R.query("h10_heading_labels", f"""{WITH}, m AS (SELECT doc_id, list_sort(list(size))[CAST(floor(count(*)/2) AS BIGINT)+1] AS med FROM line GROUP BY 1)
-SELECT doc_id, line_no, CASE WHEN length(trim(text)) = 0 THEN NULL
-  WHEN length(trim(text)) <= 80 AND regexp_matches(trim(text), '^(?i:abstract)[\\s.:]*$') THEN 'abstract_heading'
-  WHEN length(trim(text)) <= 80 AND regexp_matches(trim(text), '^(?i:introduction|methods?|results?|discussions?|conclusions?|references?|background|summary)[\\s.:]*$') THEN 'heading'
-  WHEN size / med >= 1.05 AND bold THEN 'title' WHEN size / med >= 1.10 THEN 'title'
-  WHEN bold AND length(trim(text)) <= 60 AND NOT regexp_matches(trim(text), '[.:]$') AND NOT regexp_matches(trim(text), '(?i)\\b(was|were|is|are|has|have|had|will|would|can|could|may|might|should|found|do|does|did|being|been)\\b') THEN 'subheading'
-  WHEN length(trim(text)) <= 80 AND regexp_matches(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\\.[A-Za-z0-9_]+') THEN 'contact' END AS label FROM line JOIN m USING (doc_id)""")
+#: Texts that take every branch of the cascade, by line number; the same expression in both dialects.
+LABEL_TEXT = """CASE line_no % 17 WHEN 0 THEN 'Abstract' WHEN 1 THEN 'Materials and  Methods.' WHEN 2 THEN concat('Fig. 3. ', text) WHEN 3 THEN 'Table S2'
+  WHEN 4 THEN 'Correspondence: the authors' WHEN 5 THEN 'write to a.b@c.org' WHEN 6 THEN '¹ University of X' WHEN 7 THEN 'Ann Foo¹, Bo Bar², Cy Baz³'
+  WHEN 8 THEN 'Foo encodes¹, Bar², Baz³' WHEN 9 THEN '†Faculté de Y' WHEN 10 THEN 'A part 示 B' WHEN 11 THEN 'Results should follow' WHEN 12 THEN 'Acknowledgements'
+  WHEN 13 THEN '参考文献' WHEN 14 THEN 'Fig. 3 shows it' ELSE text END"""
+_WORD_SQL = lambda words: f"'(?i)(?:^|[^\\p{{L}}\\p{{N}}_])(?:{words})(?:[^\\p{{L}}\\p{{N}}_]|$)'"
+_RAISED = "[¹²³⁴⁵⁶⁷⁸⁹⁰]"
+
+
+@R.query("h10_heading_labels", f"""{WITH}, m AS (SELECT doc_id, list_sort(list(size))[CAST(floor(count(*)/2) AS BIGINT)+1] AS med FROM line GROUP BY 1),
+x AS (SELECT doc_id, line_no, size / med AS ratio, bold, regexp_replace({LABEL_TEXT}, '^\\s+|\\s+$', '', 'g') AS t FROM line JOIN m USING (doc_id)),
+y AS (SELECT *, length(t) AS n, [w FOR w IN string_split_regex(regexp_replace(t, '{_RAISED}+', '', 'g'), '[\\s,]+') IF w <> ''] AS tokens FROM x)
+SELECT doc_id, line_no, CASE WHEN n = 0 THEN NULL
+  WHEN n <= 80 AND regexp_matches(t, '{labels.HEADINGS}') THEN CASE WHEN regexp_matches(t, '^(?i:abstract|要約|要旨)') THEN 'abstract_heading' ELSE 'heading' END
+  WHEN regexp_matches(t, {HEAD}) THEN 'caption'
+  WHEN ratio >= 1.05::DOUBLE AND bold THEN 'title' WHEN ratio >= 1.10::DOUBLE THEN 'title'
+  WHEN bold AND n <= 60 AND NOT regexp_matches(t, '[.。:：]$') AND NOT regexp_matches(t, {_WORD_SQL(labels.HEADING_VERBS)}) THEN 'subheading'
+  WHEN regexp_matches(t, '^(?i:correspond(ence|ing)|to\\s+whom\\s+correspondence|\\*\\s*corresponding)') THEN 'contact'
+  WHEN n <= 80 AND regexp_matches(t, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\\.[A-Za-z0-9_]+') THEN 'contact'
+  WHEN regexp_matches(t, '^(?:{_RAISED}+|\\*|†|‡|§|¶)\\s*[A-Z]') AND regexp_matches(t, '(?i)(?:{labels.AFFILIATIONS})') THEN 'affiliation'
+  WHEN len(regexp_extract_all(t, '{_RAISED}')) >= 3 AND len(regexp_extract_all(t, ',')) >= 2 AND n <= 400 AND NOT regexp_matches(t, {_WORD_SQL(labels.AUTHOR_VERBS)})
+    AND len(tokens) > 0 AND CAST(len([w FOR w IN tokens IF regexp_matches(w, '^[A-Z]')]) AS DOUBLE) / len(tokens) >= 0.6::DOUBLE THEN 'authors' END AS label FROM y""")
 def _(s, d):
-    from vellum.operators.labels import font_labels
-
     x = line(s, d)
     med = x.groupBy("doc_id").agg(layout.upper_median(F.col("size")).alias("med"))
-    return x.join(med, "doc_id").select("doc_id", "line_no", font_labels(F.col("text"), F.col("size") / F.col("med"), F.col("bold")).alias("label"))
+    x = x.withColumn("text", F.expr(LABEL_TEXT)).join(med, "doc_id")
+    return x.select("doc_id", "line_no", labels.font_labels(F.col("text"), F.col("size") / F.col("med"), F.col("bold")).alias("label"))
 
 
 @R.query("h27_pixel_boxes", f"{WITH} SELECT doc_id, line_no, round_even(x0 * 150.0::DOUBLE / 72.0::DOUBLE, 1) AS px0, greatest(0.0::DOUBLE, least(y1 * 2.0::DOUBLE + 4.0::DOUBLE, 1600.0::DOUBLE)) AS py1 FROM line")

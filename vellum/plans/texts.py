@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vellum import streaming
 from vellum.functions import text as T
 from vellum.operators import runs
-from vellum.operators.layout import upper_median
+from vellum.operators.layout import upper_middle
 from vellum.registry import Registry, table
 from vellum.sources import derived
 from vellum.sources.derived import ANSWER_SQL, CAPTION_SQL
@@ -73,10 +73,9 @@ def related(s, d, n=8):
 
 
 def scored(x, column):
-    """Adds how many of the question's pairs a text has. The small letters are bound once, else each pair would make them anew."""
-    pairs = F.array(*[F.lit(g) for g in SCORE])
-    count = F.transform(F.array(F.lower(column)), lambda t: F.size(F.filter(pairs, lambda g: F.contains(t, g))))
-    return x.withColumn("score", F.element_at(count, 1).cast("long"))
+    """Adds how many of the question's pairs a text has: a sum of plain conditions on one column of small letters."""
+    low = x.withColumn("low", F.lower(column))
+    return low.withColumn("score", sum((F.contains("low", F.lit(g)).cast("long") for g in SCORE), F.lit(0).cast("long"))).drop("low")
 
 
 SCORE_SQL = " + ".join(f"CASE WHEN contains(lower({PLAIN('p')}), '{g}') THEN 1 ELSE 0 END" for g in SCORE)
@@ -223,7 +222,7 @@ def _(s, d):
 
 @R.query("d1_upper_median_by_source", "SELECT source, list_sort(list(n_chars))[CAST(floor(count(*)/2) AS BIGINT)+1] AS middle FROM documents GROUP BY source")
 def _(s, d):
-    return docs(s, d).groupBy("source").agg(upper_median(F.col("n_chars")).alias("middle"))
+    return docs(s, d).groupBy("source").agg(upper_middle("n_chars").alias("middle"))
 
 
 @R.query("d14_capital_ratio", "SELECT doc_id, CAST(len([x for x in string_split_regex(trim(text), '[\\s,]+') if regexp_matches(x, '^[A-Z]')]) AS DOUBLE) / len(string_split_regex(trim(text), '[\\s,]+')) AS ratio FROM documents")
@@ -610,8 +609,11 @@ def _(s, d):
     x = table(s, d, "part")
     m = x.where("p_partkey % 2 = 0").select("p_partkey", "p_brand", "p_name")
     p = x.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("k"), "p_brand", F.col("p_name").alias("other"))
-    j = m.join(p, "p_brand").withColumn("lcp", T.common_prefix(F.col("p_name"), F.col("other")))
-    return j.withColumn("rn", F.row_number().over(W.partitionBy("p_partkey").orderBy(F.desc("lcp"), "k"))).where("rn = 1").select("p_partkey", "k", "lcp")
+    # every beginning of every name, the least key of each: the longest that both have decides, with no pair of parts
+    begins = lambda df, c: df.withColumn("lcp", F.explode(F.sequence(F.lit(0).cast("long"), F.length(c).cast("long")))).withColumn("begin", F.left(F.col(c), F.col("lcp")))
+    least = begins(p, "other").groupBy("p_brand", "lcp", "begin").agg(F.min("k").alias("k"))
+    j = begins(m, "p_name").join(least, ["p_brand", "lcp", "begin"])
+    return j.groupBy("p_partkey").agg(F.max_by(F.struct("k", "lcp"), "lcp").alias("best")).select("p_partkey", "best.k", "best.lcp")
 
 
 @R.query("g10_distinct_paths", "SELECT p_brand, p_type, min(p_partkey) AS first FROM part GROUP BY 1, 2")

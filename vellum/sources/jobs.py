@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 
@@ -17,6 +18,8 @@ STATE = f"id string, filename string, model string, lang string, status string,
 #: Fields of a job that are neither saved nor shown (fixed values).
 RUNTIME = ("event_queue", "task", "supplement_task")
 JOB_ID = re.compile(r"[A-Za-z0-9_-]{1,64}")
+#: An absolute path, a drive or a step upwards in a bundle's file name.
+OUTSIDE = re.compile(r"^[/\\]|:|(^|[/\\])\.\.([/\\]|$)")
 MOST_BYTES = 4 << 30
 
 
@@ -72,19 +75,26 @@ def export_bundle(state: bytes, job_id: str, files: dict[str, bytes]) -> bytes:
 
 
 def open_bundle(data: bytes) -> tuple[str, dict[str, bytes]]:
-    """A10: the job id and files of a bundle that holds exactly one state.json, at most one folder deep, and no path out of it."""
+    """A10: the job id and files of a bundle with one state.json, at most one folder deep.
+
+    The id is the one that the state gives, else the folder's. Files beside the folder are left out. A bundle that is too
+    large, has no or several states, an unreadable one, a bad id or a path out of its folder is a ValueError.
+    """
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = [i for i in z.infolist() if not i.is_dir()]
-        if sum(i.file_size for i in names) > MOST_BYTES:
-            raise ValueError("the bundle is too large")
-        for i in names:
-            if i.filename.startswith(("/", "\\")) or ".." in re.split(r"[/\\]", i.filename) or ":" in i.filename:
-                raise ValueError(f"path {i.filename!r} leaves the bundle")
-        states = [i.filename for i in names if i.filename.rsplit("/", 1)[-1] == "state.json" and i.filename.count("/") <= 1]
-        if len(states) != 1:
-            raise ValueError(f"{len(states)} state files")
-        folder = states[0][: -len("state.json")]
-        job_id = folder.rstrip("/") or "job"
-        if not JOB_ID.fullmatch(job_id):
-            raise ValueError(f"bad job id {job_id!r}")
-        return job_id, {i.filename[len(folder) :]: z.read(i) for i in names if i.filename.startswith(folder)}
+        entries = {i.filename: i.file_size for i in z.infolist() if not i.is_dir()}
+        states = [m["folder"] or "" for m in map(re.compile(r"(?P<folder>[^/]*/)?state\.json").fullmatch, entries) if m]
+        folder = states[0] if states else ""
+        inside = {name.removeprefix(folder): name for name in entries if name.startswith(folder)}
+        faults = {
+            "too large": sum(entries.values()) > MOST_BYTES,
+            f"{len(states)} state files": len(states) != 1,
+            "a path leaves the folder": any(OUTSIDE.search(name) for name in inside),
+        }
+        if wrong := [text for text, found in faults.items() if found]:
+            raise ValueError(f"bad bundle: {', '.join(wrong)}")
+        files = {name: z.read(full) for name, full in inside.items()}
+    saved = json.loads(files["state.json"])  # broken JSON is a ValueError too
+    job_id = str((saved.get("id") if isinstance(saved, dict) else None) or folder.rstrip("/"))
+    if not JOB_ID.fullmatch(job_id):
+        raise ValueError(f"bad bundle: job id {job_id!r}")
+    return job_id, files
