@@ -37,7 +37,7 @@ def _(s, d):
     return pieces(s, d)
 
 
-@R.query("h2_piece_listing", f"WITH {PIECE_SQL} SELECT doc_id, string_agg('[' || (k + 1) || '] ' || trim(p), chr(10) ORDER BY k) AS listing FROM piece WHERE k < 20 GROUP BY doc_id")
+@R.query("h2_piece_listing", f"WITH {PIECE_SQL} SELECT doc_id, string_agg('[' || (k + 1) || '] ' || trim(p), chr(10) ORDER BY k) AS listing FROM piece GROUP BY doc_id")
 def _(s, d):
     x = pieces(s, d).select("doc_id", "k", F.concat(F.lit("["), F.col("k") + 1, F.lit("] "), F.trim("p")).alias("t"))
     parts = F.array_sort(F.collect_list(F.struct("k", "t")))
@@ -51,7 +51,7 @@ def _(s, d):
     return runs.glue(pieces(s, d), "k % 3 = 1")
 
 
-@R.query("c16_join_set", f"WITH {PIECE_SQL} SELECT doc_id, k, EXISTS (SELECT 1 FROM events e WHERE e.event_id = doc_id AND e.user_id % 7 = k) AS glued FROM piece WHERE k < 7")
+@R.query("c16_join_set", f"WITH {PIECE_SQL} SELECT doc_id, k, EXISTS (SELECT 1 FROM events e WHERE e.event_id = doc_id AND e.user_id % 7 = k) AS glued FROM piece")
 def _(s, d):
     join = table(s, d, "events").select(F.col("event_id").alias("doc_id"), (F.col("user_id") % 7).alias("k"), F.lit(True).alias("hit")).distinct()
     return pieces(s, d).join(join, ["doc_id", "k"], "left").select("doc_id", "k", F.coalesce("hit", F.lit(False)).alias("glued"))
@@ -135,7 +135,7 @@ def _(s, d):
     return ends.where(~F.col("tail").rlike(r"[.!?]\s*$")).join(after, "doc_id").select("doc_id", F.concat(F.rtrim("tail"), F.lit(" "), F.ltrim("next")).alias("merged"))
 
 
-@R.query("c8_stitch_write_back", f"WITH {PIECE_SQL} SELECT a.doc_id, a.k, coalesce(b.t, a.p) AS target FROM piece a LEFT JOIN (SELECT doc_id + 1 AS doc_id, 0 AS k, max(p) AS t FROM piece WHERE k = 0 GROUP BY 1) b USING (doc_id, k) WHERE k < 3")
+@R.query("c8_stitch_write_back", f"WITH {PIECE_SQL} SELECT a.doc_id, a.k, coalesce(b.t, a.p) AS target FROM piece a LEFT JOIN (SELECT doc_id + 1 AS doc_id, 0 AS k, max(p) AS t FROM piece WHERE k = 0 GROUP BY 1) b USING (doc_id, k)")
 def _(s, d):
     x = pieces(s, d)
     mate = x.where("k = 0").select((F.col("doc_id") + 1).alias("doc_id"), F.lit(0).cast("long").alias("k"), F.col("p").alias("t"))
@@ -231,7 +231,7 @@ def _(s, d):
     return docs(s, d).select("doc_id", (F.size(F.filter(t, lambda x: x.rlike("^[A-Z]"))) / F.size(t)).alias("ratio"))
 
 
-@R.query("d21_ordered_text", f"WITH {PIECE_SQL} SELECT doc_id, string_agg(p, '|' ORDER BY k) AS text FROM piece WHERE k < 10 GROUP BY doc_id")
+@R.query("d21_ordered_text", f"WITH {PIECE_SQL} SELECT doc_id, string_agg(p, '|' ORDER BY k) AS text FROM piece GROUP BY doc_id")
 def _(s, d):
     return pieces(s, d).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "p"))), lambda z: z["p"]), "|").alias("text"))
 
@@ -265,7 +265,7 @@ def _(s, d):
     return docs(s, d).where("not (source = 'src3')").select("doc_id")
 
 
-@R.query("g5_bigram_sets", "SELECT doc_id, len(list_intersect(list_distinct(string_split(lower(left(text, 300)), ' ')), list_distinct(string_split(lower(right(text, 300)), ' ')))) AS shared FROM documents")
+@R.query("g5_bigram_sets", f"SELECT doc_id, CAST({' + '.join(f"CASE WHEN contains(lower({PLAIN('text')}), '{g}') THEN 1 ELSE 0 END" for g in SCORE)} AS BIGINT) AS shared FROM documents")
 def _(s, d):
     # the question's pairs of characters that the whole text has
     return scored(docs(s, d).select("doc_id", T.plain(F.col("text")).alias("t")), "t").select("doc_id", F.col("score").alias("shared"))
@@ -531,7 +531,7 @@ def _(s, d):
     return table(s, d, "events").select("event_id", F.coalesce(F.when(F.col("event_id") % 3 > 0, F.col("event_type")), F.lit("ja")).alias("lang"), "value")
 
 
-@R.query("f3_jobs_newest_first", "SELECT event_id, row_number() OVER (ORDER BY coalesce(CASE WHEN event_id % 4 > 0 THEN value END, 0) DESC, event_id) AS rank FROM events ORDER BY rank LIMIT 50")
+@R.query("f3_jobs_newest_first", "SELECT event_id, row_number() OVER (ORDER BY coalesce(CASE WHEN event_id % 4 > 0 THEN value END, 0) DESC, event_id) AS rank FROM events")
 def _(s, d):
     at = F.coalesce(F.when(F.col("event_id") % 4 > 0, F.col("value")), F.lit(0.0))
     return runs.numbered(table(s, d, "events").select("event_id", at.alias("at")), "rank", F.desc("at"), F.asc("event_id")).select("event_id", "rank").orderBy("rank")

@@ -61,4 +61,4 @@ CAPTION_SQL = """cap AS (SELECT p_partkey, concat(CASE p_partkey % 7 WHEN 0 THEN
   WHEN 4 THEN 'Scheme ' WHEN 5 THEN 'Tab. ' ELSE 'See Fig. ' END, p_partkey % 13 + 1,
   CASE p_partkey % 4 WHEN 0 THEN '. ' WHEN 1 THEN ': ' WHEN 2 THEN ' ' ELSE ' shows ' END, p_name) AS text FROM part)"""
 ANSWER_SQL = "ans AS (SELECT conv_id, '===BLOCK 0===' || text || '<think>x' || text || '</think>===BLOCK 1===tail' AS text FROM conversations WHERE turn = 0)"
-EDGE_SQL = "edge AS (SELECT doc_id, line_no AS a, line_no + 1 AS b FROM line WHERE length(text) % 3 = 0 AND line_no < 60)"
+EDGE_SQL = "edge AS (SELECT doc_id, line_no AS a, line_no + 1 AS b FROM line WHERE length(text) % 3 = 0)"
