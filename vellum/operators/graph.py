@@ -5,11 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def merge_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def merge_roots(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest member (doc_id, node, root) of each node's component; edges (doc_id, a, b) never leave a document.
 
     Nodes and edges of a document meet once and its labels are lowered in numpy until they settle, in about the logarithm
