@@ -9,9 +9,16 @@ from pyspark.sql import functions as F
 from vellum.functions import text as T
 
 
-def pieces(docs: DataFrame) -> DataFrame:
-    """H1 and H2: rows (doc_id, k, p, start, end) of the sentence pieces; places count characters from 0."""
-    x = docs.select("doc_id", F.posexplode(T.sentence_pieces(F.col("text"))).alias("k", "p"))
+def pieces(docs: DataFrame, places: bool = True) -> DataFrame:
+    """H1 and H2: rows (doc_id, k, p, start, end) of the sentence pieces; places count characters from 0.
+
+    Places need the pieces of a text in one partition: the texts are dealt out before they are cut, so that nothing moves
+    after. Without them nothing moves at all.
+    """
+    docs = docs.select("doc_id", "text")
+    x = (docs.repartition("doc_id") if places else docs).select("doc_id", F.posexplode(T.sentence_pieces(F.col("text"))).alias("k", "p"))
+    if not places:
+        return x.withColumn("k", F.col("k").cast("long"))
     order = W.partitionBy("doc_id").orderBy("k")
     end = F.sum(F.length("p")).over(order.rowsBetween(W.unboundedPreceding, 0))
     return x.select("doc_id", F.col("k").cast("long").alias("k"), "p", (end - F.length("p")).alias("start"), end.alias("end"))

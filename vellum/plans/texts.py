@@ -28,8 +28,8 @@ def docs(s, d):
     return table(s, d, "documents")
 
 
-def pieces(s, d):
-    return runs.pieces(docs(s, d))
+def pieces(s, d, places=True):
+    return runs.pieces(docs(s, d), places)
 
 
 @R.query("h1_candidate_cuts", f'WITH {PIECE_SQL} SELECT doc_id, k, p, start, "end" FROM piece')
@@ -59,7 +59,7 @@ def _(s, d):
 
 @R.query("b10_minimum_length", f"WITH {PIECE_SQL} SELECT doc_id, k FROM piece WHERE length({PLAIN('p')}) >= 20")
 def _(s, d):
-    return pieces(s, d).where(F.length(T.plain(F.col("p"))) >= 20).select("doc_id", "k")
+    return pieces(s, d, places=False).where(F.length(T.plain(F.col("p"))) >= 20).select("doc_id", "k")
 
 
 SCORE = [QUESTION[i : i + 2] for i in range(len(QUESTION) - 1) if QUESTION[i : i + 2].strip() and not all(not c.isalnum() for c in QUESTION[i : i + 2])]
@@ -68,8 +68,9 @@ SCORE = list(dict.fromkeys(SCORE))
 
 def related(s, d, n=8):
     """the sentences that share most pairs of characters with the question; ties in document order."""
-    x = scored(pieces(s, d).select("doc_id", "k", T.plain(F.col("p")).alias("sentence")).where(F.length("sentence") >= 20), "sentence")
-    return x.where("score > 0").orderBy(F.desc("score"), "doc_id", "k").limit(n)
+    x = scored(pieces(s, d, places=False).select("doc_id", "k", T.plain(F.col("p")).alias("sentence")).where(F.length("sentence") >= 20), "sentence")
+    # the condition comes last: below the limit it would be pushed down to the texts and each score made twice
+    return x.orderBy(F.desc("score"), "doc_id", "k").limit(n).where("score > 0")
 
 
 def scored(x, column):
@@ -89,14 +90,14 @@ def flagship(s, d):
 
 @R.query("c15_question_scores", f"WITH {PIECE_SQL} SELECT doc_id, CAST(sum({SCORE_SQL}) AS BIGINT) AS score FROM piece GROUP BY doc_id")
 def _(s, d):
-    x = scored(pieces(s, d).select("doc_id", T.plain(F.col("p")).alias("sentence")), "sentence")
+    x = scored(pieces(s, d, places=False).select("doc_id", T.plain(F.col("p")).alias("sentence")), "sentence")
     return x.groupBy("doc_id").agg(F.sum("score").alias("score"))
 
 
 @R.query("h20_citation_tags", f"WITH {PIECE_SQL} SELECT doc_id, k, '[P' || doc_id || 'S' || k || CASE k % 3 WHEN 0 THEN '' WHEN 1 THEN ':L10' ELSE ':L10-12' END || ']' AS tag FROM piece")
 def _(s, d):
     first = F.when(F.col("k") % 3 > 0, 10)
-    return pieces(s, d).select("doc_id", "k", T.citation(F.col("doc_id"), F.col("k"), first, F.when(F.col("k") % 3 == 1, 10).otherwise(12)).alias("tag"))
+    return pieces(s, d, places=False).select("doc_id", "k", T.citation(F.col("doc_id"), F.col("k"), first, F.when(F.col("k") % 3 == 1, 10).otherwise(12)).alias("tag"))
 
 
 @R.query("e5_budgeted_prefix", f"WITH {PIECE_SQL}, c AS (SELECT *, CASE WHEN length(p) > 60 THEN substr(p, 1, 60) || '…' ELSE p END AS text FROM piece) SELECT doc_id, k, text, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) <= 500 AS kept FROM c")
@@ -203,13 +204,13 @@ def _(s, d):
 q AS (SELECT *, lower(regexp_replace(regexp_replace(tgt, '<[^>]+>', '', 'g'), '\\s+', '', 'g')) AS a, lower(regexp_replace(regexp_replace(src, '<[^>]+>', '', 'g'), '\\s+', '', 'g')) AS b FROM t)
 SELECT doc_id, k, a <> '' AND b <> '' AND (a = b OR (length(b) >= 20 AND left(a, 40) = left(b, 40)) OR (lang = 'ja' AND NOT regexp_matches(tgt, '[ぁ-んァ-ヴ一-龥]'))) AS untranslated FROM q""")
 def _(s, d):
-    x = pieces(s, d).selectExpr("doc_id", "k", "p src", "case k % 4 when 0 then upper(p) when 1 then concat('<b>', p, '</b>') when 2 then 'はい' else concat('xx ', p) end tgt", "case when k % 2 = 0 then 'ja' else 'fr' end lang")
+    x = pieces(s, d, places=False).selectExpr("doc_id", "k", "p src", "case k % 4 when 0 then upper(p) when 1 then concat('<b>', p, '</b>') when 2 then 'はい' else concat('xx ', p) end tgt", "case when k % 2 = 0 then 'ja' else 'fr' end lang")
     return x.select("doc_id", "k", T.untranslated(F.col("tgt"), F.col("src"), F.col("lang")).alias("untranslated"))
 
 
 @R.query("b17_hallucinated", f"WITH {PIECE_SQL} SELECT doc_id, k, length(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) > n * 3 + 100 OR contains(t, '翻訳のみ') AS hallucinated FROM (SELECT doc_id, k, CASE WHEN k % 5 = 0 THEN repeat('ab', 40 + CAST(k AS INT)) WHEN k % 5 = 1 THEN p || '翻訳のみ' ELSE p END AS t, 10 AS n FROM piece)")
 def _(s, d):
-    x = pieces(s, d).selectExpr("doc_id", "k", "case when k % 5 = 0 then repeat('ab', cast(40 + k as int)) when k % 5 = 1 then concat(p, '翻訳のみ') else p end t")
+    x = pieces(s, d, places=False).selectExpr("doc_id", "k", "case when k % 5 = 0 then repeat('ab', cast(40 + k as int)) when k % 5 = 1 then concat(p, '翻訳のみ') else p end t")
     return x.select("doc_id", "k", T.hallucinated(F.col("t"), F.lit(10)).alias("hallucinated"))
 
 
@@ -217,7 +218,7 @@ def _(s, d):
 def _(s, d):
     label = "element_at(array('body', 'references', 'footnote', 'title', 'formula', 'caption'), cast(k % 6 + 1 as int)) label"
     skip = F.col("label").isin("references", "footnote", "authors", "affiliation", "contact", "formula")
-    return pieces(s, d).selectExpr("doc_id", "k", "p", label).select("doc_id", "k", F.when(skip, F.col("p")).alias("target"))
+    return pieces(s, d, places=False).selectExpr("doc_id", "k", "p", label).select("doc_id", "k", F.when(skip, F.col("p")).alias("target"))
 
 
 @R.query("d1_upper_median_by_source", "SELECT source, list_sort(list(n_chars))[CAST(floor(count(*)/2) AS BIGINT)+1] AS middle FROM documents GROUP BY source")
