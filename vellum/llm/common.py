@@ -390,6 +390,10 @@ class Encoder:
         order = np.argsort(begins, kind="stable")
         return begins[order], ends[order]
 
+    def _place(self, low: np.ndarray, high: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = mix(low * BASE ^ (high + long.astype(np.uint64)) * SECOND_BASE)
+        return h, (h & np.uint64(len(self.low) - 1)).astype(np.int64)
+
     def _find(self, low: np.ndarray, high: np.ndarray, long: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Numbers of keys, -1 for those that are new."""
         out = np.full(len(low), -1, np.int32)
@@ -402,8 +406,13 @@ class Encoder:
             todo, at = todo[on], at[on] + 1 & len(self.low) - 1
         return out
 
-    def _store(self, low: np.ndarray, high: np.ndarray, long: np.ndarray, place: np.ndarray, number: np.ndarray) -> None:
-        todo, at = np.arange(len(low)), place
+    def _store(self, low: np.ndarray, high: np.ndarray, long: np.ndarray, number: np.ndarray) -> None:
+        held = np.flatnonzero(self.long)
+        if 2 * (len(held) + len(low)) > len(self.low):  # one long text may bring more than the table was made for
+            low, high, long, number = (np.concatenate([x[held], y]) for x, y in ((self.low, low), (self.high, high), (self.long, long), (self.number, number)))
+            size = 1 << (2 * len(low)).bit_length()
+            self.low, self.high, self.long, self.number = (np.zeros(size, x.dtype) for x in (self.low, self.high, self.long, self.number))
+        todo, at = np.arange(len(low)), self._place(low, high, long)[1]
         while len(todo):
             free = np.flatnonzero(self.long[at] == 0)
             _, one = np.unique(at[free], return_index=True)
@@ -423,8 +432,7 @@ class Encoder:
         n = long[short]
         key = np.lib.stride_tricks.sliding_window_view(x, _KEY)[begin[short]].view("<u8") & _KEEP[n]
         low, high = np.ascontiguousarray(key[:, 0]), np.ascontiguousarray(key[:, 1])
-        h = mix(low * BASE ^ (high + n.astype(np.uint64)) * SECOND_BASE)
-        place = (h & np.uint64(len(self.low) - 1)).astype(np.int64)
+        h, place = self._place(low, high, n)
         found = self._find(low, high, n, place)
         fresh = np.flatnonzero(found < 0)
         _, one, back = np.unique(h[fresh], return_index=True, return_inverse=True)
@@ -446,7 +454,7 @@ class Encoder:
         if new:
             k = fresh[one]
             self._learn(new)
-            self._store(low[k], high[k], n[k].astype(np.uint8), place[k], known + np.arange(len(k), dtype=np.int32))
+            self._store(low[k], high[k], n[k].astype(np.uint8), known + np.arange(len(k), dtype=np.int32))
         return out
 
     def encode(self, texts: list[str] | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
