@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from vellum.functions import text as T
 from vellum.operators import layout, models, runs
 from vellum.plans import texts
-from vellum.plans.layout import RANGES, WITH, line, ranges
+from vellum.plans.layout import PARAGRAPH_SQL, RANGES, WITH, line, ranges
 from vellum.plans.texts import PIECE_SQL, PLAIN, QUESTION, SCORE_SQL
 from vellum.registry import Registry, table
 from vellum.sources import derived, jobs
@@ -183,13 +183,22 @@ def _(s, d):
     return table(s, d, "events").groupBy("user_id").agg(F.round((F.max(us) - F.min(us)).cast("double") / 1e6, 2).alias("elapsed"))
 
 
-@R.query("h34_page_sentences")
+#: Paragraphs as joined lines, shielded (chr(2) for a full stop that ends no sentence) and cut.
+PAGE_SENTENCES = f"""{WITH}, {PARAGRAPH_SQL}, seam AS (SELECT *, lag(rtrim(text)) OVER (PARTITION BY doc_id, "column", p ORDER BY i) AS b FROM para),
+whole AS (SELECT doc_id, "column", p, string_agg(CASE WHEN b IS NULL OR (regexp_matches(b, '[A-Za-z]-$') AND NOT regexp_matches(b, '--$') AND regexp_matches(ltrim(text), '^[a-z]')) THEN '' ELSE ' ' END || trim(text), '' ORDER BY i) AS joined FROM seam GROUP BY 1, 2, 3),
+shut AS (SELECT doc_id, "column", p, regexp_replace(regexp_replace(joined, '\\b({"|".join(T.ABBREVIATIONS)})\\.', '\\1' || chr(2), 'g'), '\\b([A-Z])\\.(\\s+[a-z])', '\\1' || chr(2) || '\\2', 'g') AS text FROM whole),
+{texts.PIECE_SQL.split("piece AS")[0].replace("SELECT doc_id,", 'SELECT doc_id, "column", p,').replace("FROM documents", "FROM shut")}
+part AS (SELECT doc_id, "column", p, unnest(range(0, len(l))) AS k, unnest(l) AS t FROM cut)
+SELECT doc_id, "column", p, k, regexp_replace(replace(t, chr(2), '.'), '^\\s+|\\s+$', '', 'g') AS sentence FROM part WHERE regexp_matches(t, '\\S')"""
+
+
+@R.query("h34_page_sentences", PAGE_SENTENCES)
 def _(s, d):
     """Lines to columns, paragraphs and sentences: rows (doc_id, column, p, k, sentence)."""
     x = layout.reading_order(layout.columns(line(s, d))).withColumn("block", F.floor(F.col("line_no") / 6))
     para = layout.joined_text(layout.paragraphs(x))
     cut = para.select("doc_id", "column", "p", F.posexplode(T.sentence_pieces(T.shield_abbreviations(F.col("joined")))).alias("k", "sentence"))
-    return cut.where(F.col("sentence").rlike(r"\S")).withColumn("sentence", T.trim(F.translate("sentence", "\u0000", ".")))
+    return cut.where(F.col("sentence").rlike(r"\S")).withColumn("k", F.col("k").cast("long")).withColumn("sentence", T.trim(F.translate("sentence", "\u0000", ".")))
 
 
 # --------------------------------------------------------------------------- saved jobs

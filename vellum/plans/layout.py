@@ -149,9 +149,12 @@ def _(s, d):
     return layout.figure_tops(x.where("bold"), x.where("not bold"))
 
 
-@R.query("c13_table_bottoms", f"{WITH} SELECT doc_id, line_no, y0, lead(y0, 1, 9999.0::DOUBLE) OVER (PARTITION BY doc_id ORDER BY y0, line_no) AS bottom FROM line WHERE bold")
+@R.query("c13_table_bottoms", f"""{WITH}, page AS (SELECT *, max(y1) OVER (PARTITION BY doc_id) AS foot FROM line)
+SELECT doc_id, line_no, y0, coalesce(lead(y0) OVER (PARTITION BY doc_id ORDER BY y0, line_no), foot) AS bottom FROM page WHERE bold""")
 def _(s, d):
-    return line(s, d).where("bold").select("doc_id", "line_no", "y0", F.lead("y0", 1, 9999.0).over(W.partitionBy("doc_id").orderBy("y0", "line_no")).alias("bottom"))
+    """Down to the next caption, the last one's down to the foot of the page."""
+    x = line(s, d).withColumn("foot", F.max("y1").over(W.partitionBy("doc_id"))).where("bold")
+    return x.select("doc_id", "line_no", "y0", F.coalesce(F.lead("y0").over(W.partitionBy("doc_id").orderBy("y0", "line_no")), "foot").alias("bottom"))
 
 
 CLUSTERS = """cl AS (SELECT doc_id, cluster, count(*) AS n, min(x0) AS low, avg(x0) AS centre FROM (SELECT doc_id, x0, sum(new) OVER (PARTITION BY doc_id ORDER BY x0, line_no ROWS UNBOUNDED PRECEDING) AS cluster FROM
@@ -177,7 +180,7 @@ def _(s, d):
     return layout.reading_order(layout.columns(line(s, d))).select("doc_id", "line_no", "i")
 
 
-PARAGRAPHS = f"""{CLUSTERS}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY "column", round_even(y0, 1), x0, line_no) - 1 AS i, line_no // 6 AS block FROM col),
+PARAGRAPH_SQL = f"""{CLUSTERS}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY "column", round_even(y0, 1), x0, line_no) - 1 AS i, line_no // 6 AS block FROM col),
 pt AS (SELECT doc_id, "column", quantile_cont(p, 0.5) AS usual FROM (SELECT doc_id, "column", y - lag(y) OVER (PARTITION BY doc_id, "column" ORDER BY y) AS p FROM (SELECT DISTINCT doc_id, "column", round_even(y0, 1) AS y FROM o)) WHERE p > 0 AND p < 80 GROUP BY 1, 2),
 x AS (SELECT o.*, coalesce(usual, 0) AS usual, max(x1) OVER c AS r, min(x0) OVER c AS l, lag(x0) OVER w AS px0, lag(y0) OVER w AS py0, lag(x1) OVER w AS px1, lag(y1) OVER w AS py1, lag(size) OVER w AS psize, lag(bold) OVER w AS pbold, lag(text) OVER w AS ptext, lag(block) OVER w AS pblock
   FROM o LEFT JOIN pt USING (doc_id, "column") WINDOW c AS (PARTITION BY doc_id, "column"), w AS (PARTITION BY doc_id, "column" ORDER BY i)),
@@ -186,8 +189,9 @@ z AS (SELECT *, CASE WHEN ptext IS NULL THEN 0 WHEN pblock <> block THEN CAST(NO
   AND NOT (regexp_matches(ptext, '[。！？]\\s*$') AND regexp_matches(text, '^[（(]?[０-９]{{1,2}}[)）．、.]'))
   AND ((NOT regexp_matches(ptext, '[.!?:;。！？]['||chr(39)||'"”’)\\]]?\\s*$') AND regexp_matches(text, '^\\s*[a-z(\\[]') AND (usual <= 0 OR (pitch > 0 AND pitch <= usual * 2.2)))
     OR (usual > 0 AND pitch > 0 AND pitch <= usual * 1.25 AND NOT px1 < r - greatest(24.0, h * 1.5) AND NOT x0 > l + 6))) AS INT)
-  ELSE CAST(greatest(0, y0 - py1) > h * 0.55 OR sb OR bb AS INT) END AS new FROM y)
-SELECT doc_id, "column" AS col, i, CAST(sum(new) OVER (PARTITION BY doc_id, "column" ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS p FROM z"""
+  ELSE CAST(greatest(0, y0 - py1) > h * 0.55 OR sb OR bb AS INT) END AS new FROM y),
+para AS (SELECT *, CAST(sum(new) OVER (PARTITION BY doc_id, "column" ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS p FROM z)"""
+PARAGRAPHS = f'{PARAGRAPH_SQL} SELECT doc_id, "column" AS col, i, p FROM para'
 
 
 @R.query("e1_paragraphs", f"{WITH}, {PARAGRAPHS}")
@@ -236,7 +240,10 @@ def _(s, d):
     return layout.near_pairs(line(s, d))
 
 
-@R.query("c11_graphics_bbox")
+@R.query("c11_graphics_bbox", f"""{WITH}, boxes AS (SELECT doc_id, list({{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}} ORDER BY line_no) AS l FROM line GROUP BY doc_id),
+f AS (SELECT doc_id, list_reduce(list_prepend({{'x0': 72.0::DOUBLE, 'y0': 72.0::DOUBLE, 'x1': 100.0::DOUBLE, 'y1': 100.0::DOUBLE}}, l), lambda a, b:
+  CASE WHEN b.x0 < a.x1 AND b.x1 > a.x0 AND b.y0 < a.y1 AND b.y1 > a.y0 THEN {{'x0': least(a.x0, b.x0), 'y0': least(a.y0, b.y0), 'x1': greatest(a.x1, b.x1), 'y1': greatest(a.y1, b.y1)}} ELSE a END) AS box FROM boxes)
+SELECT doc_id, box.x0 AS x0, box.y0 AS y0, box.x1 AS x1, box.y1 AS y1 FROM f""")
 def _(s, d):
     box = F.aggregate(
         F.array_sort(F.collect_list(F.struct("line_no", "x0", "y0", "x1", "y1"))),

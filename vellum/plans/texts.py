@@ -185,7 +185,9 @@ def _(s, d):
     return runs.contexts(x, 70).select(F.col("doc_id").alias("book"), F.col("page_no").alias("doc_id"), "before", "after")
 
 
-@R.query("e18_first_spans")
+@R.query("e18_first_spans", """WITH RECURSIVE x AS (SELECT user_id AS key, event_id % 500 AS start, min(event_type) AS tag FROM events GROUP BY 1, 2),
+one AS (SELECT key, min(start) AS start FROM x GROUP BY key UNION ALL SELECT one.key, min(x.start) FROM one JOIN x ON x.key = one.key AND x.start >= one.start + 40 GROUP BY one.key)
+SELECT key, start, start + 40 AS "end", tag FROM one JOIN x USING (key, start)""")
 def _(s, d):
     x = table(s, d, "events").selectExpr("user_id key", "event_id % 500 start", "event_id % 500 + 40 end", "event_type tag")
     return runs.first_spans(x)
@@ -373,10 +375,13 @@ def _(s, d):
     return table(s, d, "pages").select("page_id", T.plain(F.col("html")).alias("text"))
 
 
-@R.query("h15_ranges_from_offsets", f'WITH {PIECE_SQL} SELECT doc_id, start, lead(start, 1, 999999) OVER (PARTITION BY doc_id ORDER BY start) AS "end" FROM (SELECT DISTINCT doc_id, CASE WHEN k < 2 THEN 0 ELSE start END AS start FROM piece)')
+@R.query("h15_ranges_from_offsets", f'''WITH {PIECE_SQL}, x AS (SELECT doc_id, CASE WHEN k < 2 THEN 0 ELSE start END AS start, max("end") AS n FROM piece GROUP BY 1, 2)
+SELECT doc_id, start, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start), n) AS "end" FROM x''')
 def _(s, d):
-    x = pieces(s, d).select("doc_id", F.when(F.col("k") < 2, F.lit(0).cast("long")).otherwise(F.col("start")).alias("start")).distinct()
-    return x.withColumn("end", F.lead("start", 1, 999999).over(W.partitionBy("doc_id").orderBy("start")))
+    """The last range ends with the text."""
+    start = F.when(F.col("k") < 2, F.lit(0).cast("long")).otherwise(F.col("start"))
+    x = pieces(s, d).groupBy("doc_id", start.alias("start")).agg(F.max("end").alias("n"))
+    return x.select("doc_id", "start", F.coalesce(F.lead("start").over(W.partitionBy("doc_id").orderBy("start")), "n").alias("end"))
 
 
 @R.query("h16_manual_split", "SELECT p_partkey, k - 1 AS k, part FROM (SELECT p_partkey, unnest(range(1, len(l) + 1)) AS k, unnest(l) AS part FROM (SELECT p_partkey, [x for x in [trim(x) for x in string_split(replace(p_name, ' ', ' | '), '|')] if x <> ''] AS l FROM part))")
@@ -434,11 +439,14 @@ def _(s, d):
     return x.select("doc_id", F.replace(F.coalesce("t", "lang"), F.lit("{n}"), F.col("n_chars").cast("string")).alias("message"))
 
 
-@R.query("h30_signature")
+@R.query("h30_signature", """WITH r AS (SELECT source, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '-') || ',' || coalesce(CAST(n_chars AS VARCHAR), '-')), 1, 15) AS BIGINT) AS h FROM documents)
+SELECT source, md5(concat_ws(',', count(*), sum(h), bit_xor(h))) AS signature FROM r GROUP BY source""")
 def _(s, d):
-    # count, sum and xor of the rows' hashes do not depend on their order; xxhash64 alone passes over nulls
-    row = docs(s, d).select("source", F.xxhash64("doc_id", "n_chars", F.col("doc_id").isNull(), F.col("n_chars").isNull()).alias("h"))
-    return row.groupBy("source").agg(F.xxhash64(F.count(F.lit(1)), F.sum(F.col("h").cast("decimal(20,0)")), F.bit_xor("h")).alias("signature"))
+    # count, sum and xor of the rows' hashes (60 bits) do not depend on their order
+    row = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(","), F.coalesce(F.col("n_chars").cast("string"), F.lit("-")))
+    h = F.conv(F.substring(F.md5(row.cast("binary")), 1, 15), 16, 10).cast("long")
+    total = F.sum(F.col("h").cast("decimal(20,0)")).cast("string")
+    return docs(s, d).select("source", h.alias("h")).groupBy("source").agg(F.md5(F.concat_ws(",", F.count(F.lit(1)).cast("string"), total, F.bit_xor("h").cast("string")).cast("binary")).alias("signature"))
 
 
 def answers(s, d):
