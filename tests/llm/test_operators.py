@@ -257,6 +257,14 @@ def test_token_orc(spark, docs, rows, empty, monkeypatch, tmp_path):
     assert token_orc.positions(spark, f"{tmp_path}/none", scratch(spark)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("texts", [["\u3000"], ["\u2003\u2003", ""], ["", "\u00a0"], ["\0"], ["\u3000", "some words", "\u3000x"]])
+def test_encoder_of_wide_white_space(name, texts):
+    ids, n = common.Encoder(public_tokenizers.path(name)).encode(texts)
+    want = ids_of(name, texts, 7)
+    assert n.tolist() == [len(x) - 1 for x in want] and ids.tolist() == [i for x in want for i in list(x)[:-1]]
+
+
 def test_packing(spark, docs, rows, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     got = packing.pack(spark, packing.pieces(docs, path, 2), scratch(spark)).collect()

@@ -478,9 +478,10 @@ class Encoder:
                 mine = [c.encode() for c in self.chunks(raw[i].decode())]
                 chunks += mine
                 own += [i] * len(mine)
-            ends = np.cumsum([len(c) for c in chunks], dtype=np.int64)
+            long = np.array([len(c) for c in chunks], np.int64)  # none at all if the texts are white space
+            ends = np.cumsum(long)
             y = np.frombuffer(b"".join(chunks) + bytes(_KEY), np.uint8)
-            number, of = self._numbers(y, ends - [len(c) for c in chunks], ends), np.array(own, np.int64)
+            number, of = self._numbers(y, ends - long, ends), np.array(own, np.int64)
         begin, end = self._cut(x)
         chunk, owner = self._numbers(x, begin, end), np.searchsorted(first, begin, "right") - 1
         if odd:
