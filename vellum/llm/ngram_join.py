@@ -7,8 +7,8 @@ lists of single tokens. The boundary between small and large is where the counte
 
 Lists are not expanded into pairs: each member is first compared with the smallest of its list, and of the
 lists in which more than one component is left only pairs of different components are compared, short lists
-as rows, long ones in tiles of bounded size. Components are all that is asked for, so a pair within one may
-be left out; no pair across two is.
+as rows, long ones in tiles of bounded size. For components a pair within one may be left out; no pair across two
+is. The number of links, if asked for, comes from all pairs within the components (`ngram_links`).
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import Scratch, blocks_of, components, pack_sorted, release, rolling, slices, total_chars, unpack_sorted, word_hashes
+from vellum.llm.ngram_links import link_counts
 
 #: Characters of text in a block, and in a token range.
 BLOCK_CHARS, RANGE_CHARS = 4_000_000, 16_000_000
@@ -266,8 +267,8 @@ def tiled(known: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: in
     return rows.groupBy("key", "band", "i", "j").applyInArrow(_tile_edges(num, den), "a long, b long").distinct()
 
 
-def linked(cands: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
-    """Rows (node, component) of the sets that are linked with another."""
+def linked(cands: DataFrame, scratch: Scratch, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (node, component) of the sets that are linked with another, and the members (key, id, n) of the lists."""
     sets = cands.select("id", "shingles")
     members = scratch.keep(lists(cands, boundary(cands), num, den))
     fits = F.least("n", "m") * F.lit(den) >= F.greatest("n", "m") * F.lit(num)
@@ -287,7 +288,40 @@ def linked(cands: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
     more = scratch.keep(verified(short, sets, num, den))
     long = known.join(mixed.where(F.col("long") > SHORT_LIST).select("key"), "key")
     tiles = scratch.keep(tiled(long, sets, scratch, num, den))
-    return components(edges.unionByName(more).unionByName(tiles), scratch)
+    return components(edges.unionByName(more).unionByName(tiles), scratch), members
+
+
+def _joined(docs: DataFrame, scratch: Scratch, size: int, num: int, den: int, id_col: str, text_col: str, with_links: bool) -> DataFrame:
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    chars = total_chars(docs)
+    sized = scratch.keep(set_sizes(docs, size))
+    full = sized.where("n > 0 and id is not null")
+    names = None
+    if full.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").limit(1).count():
+        # rows are told apart by a number; the names come back at the end
+        docs = scratch.keep(docs.select(F.col("id").alias("doc"), F.when(F.col("id").isNotNull(), F.monotonically_increasing_id()).alias("id"), "text"))
+        names, docs = docs.select("id", "doc"), docs.select("id", "text")
+        sized = scratch.keep(set_sizes(docs, size))
+        full = sized.where("n > 0 and id is not null")
+    classes = scratch.keep(full.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    cands = scratch.keep(candidates(docs, classes.select(F.col("rep").alias("id")), size, num, den, chars))
+    found, members = linked(cands, scratch, num, den)
+    found = scratch.keep(found)
+    top = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    if with_links:
+        copies = classes.select(F.col("rep").alias("id"), "copies")
+        links = link_counts(found, members, cands, copies, scratch, num, den)
+        top = top.join(links.withColumnRenamed("id", "rep"), "rep", "left")
+    else:
+        top = top.withColumn("links", F.lit(None).cast("long"))
+    top = top.select("f1", "f2", F.coalesce("component", "rep").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    none = sized.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component"), F.lit(0).cast("long").alias("links"))
+    out = full.join(top, ["f1", "f2"]).select("id", "n", "component", "links").unionByName(none)
+    if names is not None:
+        out = scratch.keep(out.join(names, "id", "left"))
+        least = out.groupBy("component").agg(F.min("doc").alias("least"))
+        out = out.join(least, "component", "left").select(F.col("doc").alias("id"), "n", F.col("least").alias("component"), "links")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("links").alias("n_links"))
 
 
 def ngram_components(docs: DataFrame, scratch: Scratch, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -299,15 +333,13 @@ def ngram_components(docs: DataFrame, scratch: Scratch, size: int = 5, num: int
     copies; rows that share an id but not the text are each judged by their own text. Shingles are compared by 64-bit
     hashes.
     """
-    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    chars = total_chars(docs)
-    sized = scratch.keep(set_sizes(docs, size))
-    full = sized.where("n > 0 and id is not null")
-    classes = scratch.keep(full.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    reps = classes.select(F.col("rep").alias("id")).distinct()
-    cands = scratch.keep(candidates(docs, reps, size, num, den, chars))
-    found = scratch.keep(linked(cands, scratch, num, den))
-    top = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
-    known = full.join(top, ["f1", "f2"])
-    none = sized.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))
-    return known.select("id", "n", "component").unionByName(none).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    return _joined(docs, scratch, size, num, den, id_col, text_col, False).drop("n_links")
+
+
+def ngram_join(docs: DataFrame, scratch: Scratch, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The join whole: what `ngram_components` gives, and n_links, the number of other rows that a row is linked with.
+
+    Rows of equal sets are linked with each other, repeated rows and rows that share an id among them; a row with an
+    empty set or without an id has 0 links.
+    """
+    return _joined(docs, scratch, size, num, den, id_col, text_col, True)

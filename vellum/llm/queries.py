@@ -61,7 +61,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query("op3_ngram_jaccard_join")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_components(table(spark, sf_dir, "documents"), Scratch(spark, "op3"))
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"), Scratch(spark, "op3"))
 
 
 @REGISTRY.query("op4_language_id")
