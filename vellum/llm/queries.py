@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import chat, langid, matroska, mixing, near_vectors, ngram_join, packing, suffix_dedup, token_orc
+from vellum.llm import chat, langid, matroska, mixing, near_vectors, ngram_join, packing, suffix_dedup, token_counts, token_orc
 from vellum.llm.common import Scratch
 from vellum.llm.substring_dedup import substring_dedup
 from vellum.registry import Registry, table
@@ -157,6 +157,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"), Scratch(spark, "op10"))
 
 
+#: A document with more tokens is over the limit.
+TOKEN_LIMIT = 512
+
+
+@REGISTRY.query("op11_token_counts")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = token_counts.prefix_tables(table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer("byte_bpe_50k.json"))
+    return token_counts.token_counts(tables, TOKEN_LIMIT).select("doc_id", "n_bytes", "n_tokens", "over_limit", "n_chars", "fit_chars")
+
+
 def queries() -> dict:
     return dict(REGISTRY.queries)
 
