@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import chat, langid, matroska, mixing, near_vectors, ngram_join, packing, suffix_dedup, token_counts, token_orc
+from vellum.llm import chat, langid, manifest, matroska, mixing, near_vectors, ngram_join, packing, spelling, suffix_dedup, token_counts, token_orc
 from vellum.llm.common import Scratch
 from vellum.llm.substring_dedup import substring_dedup
 from vellum.registry import Registry, table
@@ -167,6 +167,75 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(tables, TOKEN_LIMIT).select("doc_id", "n_bytes", "n_tokens", "over_limit", "n_chars", "fit_chars")
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Lookup of CRC-32 and the checksum of a text of single-byte characters, in DuckDB's terms.
+CRC_SQL = """crc AS (SELECT list_transform(range(0, 256), lambda i: list_reduce([CAST(i AS BIGINT)] || CAST(range(0, 8) AS BIGINT[]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+CRC = "xor(list_reduce([4294967295::BIGINT] || {bytes}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+_FIELD = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+_LEAF = lambda text: "sha256(" + " || ".join(map(_FIELD, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+OP12_SQL = f"""
+WITH RECURSIVE {CRC_SQL},
+d AS (SELECT doc_id, coalesce('=' || source, '-') AS src, {_LEAF("text")} AS leaf,
+  CASE WHEN {CRC.format(bytes="list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))")} % 5 = 0 THEN {_LEAF(f"translate(text, '{UPPER}', '{LOWER}')")} END AS tampered FROM documents, crc),
+r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, count(*) OVER (PARTITION BY src) AS n FROM d),
+up AS (SELECT src, 0 AS lvl, r, n, leaf AS h FROM r UNION ALL SELECT src, lvl + 1, r // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY r)) FROM up WHERE n > 1 GROUP BY src, lvl, n, r // 16),
+s AS (SELECT src, row_number() OVER (ORDER BY src) - 1 AS r, count(*) OVER () AS n, h AS subroot FROM up WHERE n = 1),
+top AS (SELECT 100 AS lvl, r, n, subroot AS h FROM s UNION ALL SELECT lvl + 1, r // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY r)) FROM top WHERE n > 1 GROUP BY lvl, n, r // 16),
+node AS (SELECT src, lvl, r, h FROM up WHERE n > 1 UNION ALL SELECT src, lvl, top.r, h FROM top, (SELECT DISTINCT src FROM s) WHERE n > 1),
+own AS (SELECT DISTINCT r.src, r.r AS doc, node.lvl, CASE WHEN node.lvl < 100 THEN r.r // CAST(pow(16, node.lvl) AS BIGINT) ELSE s.r // CAST(pow(16, node.lvl - 100) AS BIGINT) END AS pos FROM r JOIN s USING (src) JOIN (SELECT DISTINCT src, lvl FROM node) node USING (src)),
+beside AS (SELECT own.src, doc, lvl, coalesce(string_agg(h, '' ORDER BY r) FILTER (WHERE r < pos), '') AS l, coalesce(string_agg(h, '' ORDER BY r) FILTER (WHERE r > pos), '') AS rt,
+  row_number() OVER (PARTITION BY own.src, doc ORDER BY lvl) AS k FROM own JOIN node USING (src, lvl) WHERE r // 16 = pos // 16 GROUP BY own.src, doc, lvl),
+proof AS (SELECT src, doc, sha256(string_agg(l || rt, '' ORDER BY k)) AS proof FROM beside GROUP BY src, doc),
+fold AS (SELECT src, r AS doc, 0 AS k, coalesce(tampered, leaf) AS h FROM r UNION ALL SELECT fold.src, fold.doc, fold.k + 1, sha256(l || h || rt) FROM fold JOIN beside ON fold.src = beside.src AND fold.doc = beside.doc AND fold.k + 1 = beside.k),
+last AS (SELECT src, doc, arg_max(h, k) AS h FROM fold GROUP BY src, doc)
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, last.h AS folded_root, last.h = root AS verified
+FROM r JOIN s USING (src) JOIN last ON r.src = last.src AND r.r = last.doc LEFT JOIN proof ON r.src = proof.src AND r.r = proof.doc, (SELECT h AS root FROM top WHERE n = 1)
+"""
+
+
+@REGISTRY.query("op12_merkle_manifest", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    leaf = lambda text: manifest.record(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    lowered = F.translate("text", UPPER, LOWER)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, leaf(lowered))
+    records = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("grp"), leaf(F.col("text")).alias("hash"), tampered.alias("rest"))
+    out = manifest.manifest(records, Scratch(spark, "op12"))
+    root = manifest.folded(F.coalesce("rest", "hash"), F.col("path"))
+    out = out.select(F.col("id").alias("doc_id"), F.col("hash").alias("leaf"), "subroot", "root", F.sha2(manifest.siblings(F.col("path")), 256).alias("proof_sha256"), root.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+OP13_SQL = f"""
+WITH RECURSIVE {CRC_SQL},
+occ AS (SELECT w, CASE WHEN h % 97 = 0 THEN h % length(w) END AS k FROM (SELECT w, {CRC.format(bytes="flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w, ''), lambda x: CASE WHEN ord(x) < 128 THEN [CAST(ord(x) AS BIGINT)] ELSE [195, CAST(ord(x) - 64 AS BIGINT)] END))")} AS h
+  FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')), '{UPPER}', '{LOWER}') AS w FROM documents), crc WHERE length(w) >= 5)),
+word AS (SELECT w, count(*) AS n FROM (SELECT CASE WHEN k IS NULL THEN w ELSE w[:k] || w[k + 2:] END AS w FROM occ) WHERE length(w) >= 5 GROUP BY w HAVING count(*) >= 3),
+hole AS (SELECT w, n, i, w[:i - 1] AS l, w[i + 1:] AS r FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM word)),
+less AS (SELECT DISTINCT w, n, l || r AS s FROM hole),
+pair AS (SELECT a.w, a.n, b.w AS near, b.n AS near_n FROM hole a JOIN hole b ON a.i = b.i AND a.l = b.l AND a.r = b.r AND a.w <> b.w
+  UNION ALL SELECT less.w, less.n, word.w, word.n FROM less JOIN word ON s = word.w UNION ALL SELECT word.w, word.n, less.w, less.n FROM less JOIN word ON s = word.w),
+best AS (SELECT w, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM pair GROUP BY w),
+f AS (SELECT word.w, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n THEN near END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n FROM word LEFT JOIN best USING (w)),
+walk AS (SELECT w, form AS at FROM f WHERE form IS NOT NULL UNION ALL SELECT walk.w, f.form FROM walk JOIN f ON walk.at = f.w WHERE f.form IS NOT NULL),
+root AS (SELECT walk.w, walk.at FROM walk JOIN f ON walk.at = f.w WHERE f.form IS NULL)
+SELECT f.w AS word, form, coalesce(root.at, f.w) AS root, CAST(n AS BIGINT) AS n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM f LEFT JOIN root USING (w)
+"""
+
+
+@REGISTRY.query("op13_spelling_variants", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row without an id counts as one whose id is the empty text."""
+    scratch = Scratch(spark, "op13")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z\u00C0-\u00FF]+"), F.lit(0))).alias("run"))
+    runs = docs.where(F.length("run") >= 5).select("doc_id", F.translate("run", UPPER, LOWER).alias("run"))
+    runs = runs.withColumn("h", F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "run")))
+    gone = (F.col("h") % F.length("run")).cast("int")
+    word = F.when(F.col("h") % 97 == 0, F.concat(F.substring("run", F.lit(1), gone), F.substring("run", gone + 2, F.length("run")))).otherwise(F.col("run"))
+    return spelling.variants(spelling.word_counts(runs.select(word.alias("word")), 5, 3), scratch)
+
+
 def queries() -> dict:
     return dict(REGISTRY.queries)
 
