@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from vellum.operators import models, runs
+from vellum.operators import align, models
 from vellum.sources import jobs
 
 
@@ -92,5 +92,5 @@ def test_chosen_sentences_keep_their_target_when_the_call_fails(spark):
     ],
 )
 def test_realigned(spark, text, copied, places):
-    row = spark.createDataFrame([(copied, text)], "copied string, text string").select(runs.realigned(F.col("copied"), F.col("text")).alias("x")).first()
+    row = spark.createDataFrame([(copied, text)], "copied string, text string").select(align.realigned(F.col("copied"), F.col("text")).alias("x")).first()
     assert (row.x or None) == (places or None)

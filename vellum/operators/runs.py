@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
+from vellum.operators.greedy import SLICE_ROWS, chain
+from vellum.sources.scratch import kept
 
 
 def pieces(docs: DataFrame, places: bool = True) -> DataFrame:
@@ -33,34 +35,6 @@ def glue(piece: DataFrame, joined: str) -> DataFrame:
     return x.groupBy("doc_id", F.col("s").cast("long").alias("s")).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_join(F.transform(parts, lambda z: z["p"]), "").alias("text"))
 
 
-def realigned(copied: Column, text: Column) -> Column:
-    """Where the parts of a copy, set apart by |, begin in the text; places count from 0.
-
-    Each part is sought behind the one before by its first 30 characters, then in the text with white space squeezed,
-    then by five characters; one that is not found is passed over. The first part begins at 0.
-    """
-    squeeze = lambda c: F.regexp_replace(c, r"(?U)\s+", " ")
-    bare = lambda c: F.regexp_replace(c, r"(?U)^\s+", "")
-    parts = F.filter(F.split(copied, r"\|"), lambda p: p.rlike(r"\S"))
-    probes = F.transform(parts, lambda p, i: F.struct(i.alias("i"), T.trim(squeeze(F.substring(bare(p), 1, 30))).alias("t")))
-    none = F.lit(None).cast("int")
-    found = lambda at: F.when(at > 0, at - 1)
-
-    def step(acc: Column, probe: Column) -> Column:
-        begin, t = acc["begin"], probe["t"]
-        rest = F.substring(text, begin + 1, F.length(text))
-        near = found(F.position(t, squeeze(rest))) + begin
-        short = F.when(F.length(t) >= 5, found(F.position(F.substring(t, 1, 5), text, begin + 1)))
-        at = F.coalesce(found(F.position(t, text, begin + 1)), near, short)
-        at = F.when((probe["i"] == 0) & at.isNotNull(), 0).otherwise(at)
-        # bound once, else each use would search anew
-        bound = F.transform(F.array(F.when(at < F.length(text), at).otherwise(none)), lambda x: F.when(x.isNull(), acc).otherwise(F.struct((x + F.greatest(F.lit(1), F.length(t))).alias("begin"), F.concat(acc["places"], F.array(x)).alias("places"))))
-        return F.element_at(bound, 1)
-
-    start = F.struct(F.lit(0).alias("begin"), F.array().cast("array<int>").alias("places"))
-    return F.aggregate(probes, start, step, lambda acc: acc["places"])
-
-
 def reference_section(rows: DataFrame) -> DataFrame:
     """Rows (doc_id, i, text, label) get the label references from a starting heading up to an ending one.
 
@@ -123,35 +97,34 @@ def contexts(pages: DataFrame, chars: int = 700) -> DataFrame:
 def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
     """Rows with their number, from 1, in an order over all of them: ranks within ranges, after the rows of the ranges before.
 
-    The ranges are kept, lest another run cut them elsewhere. They are checkpointed where the session names a folder.
+    The ranges are written, lest another run cut them elsewhere.
     """
-    lasting = rows.sparkSession.conf.get("spark.checkpoint.dir", None) is not None
-    x = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
-    x = x.checkpoint() if lasting else x.cache()
+    x = kept(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
     before = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))  # one row to a range
     base = x.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("base"))
     rank = F.row_number().over(W.partitionBy("part").orderBy(*order))
     return x.withColumn(name, rank).join(F.broadcast(base), "part").withColumn(name, F.col(name) + F.col("base")).drop("part", "base")
 
 
-def first_spans(spans: DataFrame) -> DataFrame:
+def throttled(events: DataFrame, gap: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Of events (key, at, ...) those that a throttle lets through: the first at least `gap` after the key's beginning, then each at
+    least `gap` after the one before it. The beginning is the key's first event. Of events at one time one is looked at, the least
+    row; those without a time are left out.
+    """
+    rest = [c for c in events.columns if c not in ("key", "at")]
+    one = events.where("at is not null").groupBy("key", "at").agg(F.min(F.struct(*rest) if rest else F.lit(0)).alias("rest"))
+    begin = one.groupBy("key").agg((F.min("at") + gap).alias("from"))
+    out = chain(one.select("key", F.col("at").alias("start"), (F.col("at") + gap).alias("end"), "rest"), slice_rows, begin)
+    return out.select("key", F.col("start").alias("at"), *([f"rest.{c}" for c in rest]))
+
+
+def first_spans(spans: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Of overlapping spans of a key, in order of start, the first wins; skipped ones do not count.
 
-    Of the spans of one start that are not empty only the least can win, so a key's fold sees one of them: at most one
-    to each place of its text, besides empty spans. Those without a start or an end are left out.
+    Of the spans of one start that are not empty only the least can win, so one of them is looked at. Those without a start
+    or an end are left out, and those that begin below 0. A key of many spans is worked out in slices: see `greedy.chain`.
     """
     spans = spans.select("key", "start", "end", "tag").where("start is not null and end is not null")
     some = F.col("end") > F.col("start")
     least = spans.where(some).groupBy("key", "start").agg(F.min(F.struct("end", "tag")).alias("s")).select("key", "start", "s.*")
-    kind = spans.schema["key"].dataType.simpleString()
-
-    def fold(t):
-        at, keep = 0, []
-        t = t.sort_by([("start", "ascending"), ("end", "ascending")])
-        for i, (start, end) in enumerate(zip(t["start"].to_pylist(), t["end"].to_pylist(), strict=True)):
-            if start >= at:
-                at = end
-                keep.append(i)
-        return t.take(keep)
-
-    return least.unionByName(spans.where(~some)).groupBy("key").applyInArrow(fold, f"key {kind}, start long, end long, tag string")
+    return chain(least.unionByName(spans.where(~some)), slice_rows).select("key", "start", "end", "tag")

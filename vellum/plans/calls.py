@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.operators import layout, models, runs
+from vellum.operators import align, layout, models, runs
 from vellum.plans import texts
 from vellum.plans.layout import PARAGRAPH_SQL, RANGES, WITH, line, ranges
 from vellum.plans.texts import PIECE_SQL, PLAIN, QUESTION, SCORE_SQL
@@ -174,7 +174,7 @@ def _(s, d):
 @R.query("h14_realigned_copy")
 def _(s, d):
     copied = pieces(s, d).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "p"))), lambda z: T.trim(z["p"])), "|").alias("copied"))
-    return texts.docs(s, d).select("doc_id", "text").join(copied, "doc_id").select("doc_id", F.posexplode(runs.realigned(F.col("copied"), F.col("text"))).alias("n", "start"))
+    return texts.docs(s, d).select("doc_id", "text").join(copied, "doc_id").select("doc_id", F.posexplode(align.realigned(F.col("copied"), F.col("text"))).alias("n", "start"))
 
 
 @R.query("h31_elapsed", "SELECT user_id, round(CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS DOUBLE) / 1000000.0::DOUBLE, 2) AS elapsed FROM events GROUP BY user_id")

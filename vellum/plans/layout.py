@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vellum.operators import graph, labels, layout
+from vellum.operators import align, captions, graph, labels, layout, tables
 from vellum.plans.texts import HEAD
 from vellum.registry import Registry, table
 from vellum.sources import derived
@@ -69,6 +69,29 @@ def _(s, d):
     return x.join(region, "doc_id").groupBy("doc_id").agg((F.sum(meets.cast("int")) >= 5).alias("has_graphics"))
 
 
+SHOWN = f"""{WITH}, page AS (SELECT doc_id, max(x1) * max(y1) AS area FROM line GROUP BY 1),
+region AS (SELECT doc_id, line_no // 10 AS region, min(x0) AS x0, min(y0) AS y0, CASE WHEN line_no // 10 % 5 = 3 THEN min(x0) ELSE max(x1) END AS x1, max(y1) AS y1 FROM line GROUP BY 1, 2),
+image AS (SELECT doc_id, x0 + 30 AS x0, y0 - 20 AS y0, CASE WHEN length(text) % 2 = 0 THEN x1 ELSE x0 + 33 END AS x1, y1 + 30 AS y1 FROM line WHERE bold),
+drawing AS (SELECT doc_id, x0 + 5 AS x0, y1 AS y0, x1 AS x1, CASE WHEN line_no % 2 = 0 THEN y1 ELSE y1 + 25 END AS y1 FROM line WHERE line_no % 3 > 0 UNION ALL SELECT doc_id, 0, 0, max(x1), max(y1) FROM line GROUP BY 1)"""
+
+
+@R.query("b12_graphics_by_area", f"""{SHOWN}, i AS (SELECT DISTINCT r.doc_id, region FROM region r JOIN image i ON i.doc_id = r.doc_id AND least(i.x1, r.x1) >= greatest(i.x0, r.x0) AND least(i.y1, r.y1) >= greatest(i.y0, r.y0)
+  AND (least(i.x1, r.x1) - greatest(i.x0, r.x0)) * (least(i.y1, r.y1) - greatest(i.y0, r.y0)) > (r.x1 - r.x0) * (r.y1 - r.y0) * 0.03::DOUBLE),
+n AS (SELECT r.doc_id, region, count(*) AS n FROM region r JOIN drawing d ON d.doc_id = r.doc_id AND least(d.x1, r.x1) >= greatest(d.x0, r.x0) AND least(d.y1, r.y1) >= greatest(d.y0, r.y0) AND (least(d.x1, r.x1) - greatest(d.x0, r.x0) > 2 OR least(d.y1, r.y1) - greatest(d.y0, r.y0) > 2)
+  JOIN page ON page.doc_id = r.doc_id WHERE (d.x1 - d.x0) * (d.y1 - d.y0) < area * 0.9::DOUBLE GROUP BY 1, 2)
+SELECT doc_id, region, r.x1 > r.x0 AND r.y1 > r.y0 AND (i.doc_id IS NOT NULL OR coalesce(n, 0) >= 5) AS has_graphics FROM region r LEFT JOIN i USING (doc_id, region) LEFT JOIN n USING (doc_id, region)""")
+def _(s, d):
+    """Regions of ten lines (some without width), images at bold lines (every other one narrow), rules under lines, and the page's ground."""
+    x = line(s, d)
+    page = x.groupBy("doc_id").agg(F.max("x1").alias("w"), F.max("y1").alias("h"))
+    ground = page.selectExpr("doc_id", "0.0D x0", "0.0D y0", "w x1", "h y1")
+    region = x.groupBy("doc_id", F.expr("line_no div 10 region")).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("r"), F.max("y1").alias("y1"))
+    region = region.withColumn("x1", F.when(F.col("region") % 5 == 3, F.col("x0")).otherwise(F.col("r")))
+    image = x.where("bold").selectExpr("doc_id", "x0 + 30 x0", "y0 - 20 y0", "case when length(text) % 2 = 0 then x1 else x0 + 33 end x1", "y1 + 30 y1")
+    drawing = x.where("line_no % 3 > 0").selectExpr("doc_id", "x0 + 5 x0", "y1 y0", "x1", "case when line_no % 2 = 0 then y1 else y1 + 25 end y1").unionByName(ground)
+    return tables.region_graphics(region, image, drawing, page.selectExpr("doc_id", "w * h area"))
+
+
 @R.query("b13_mostly_figure", f"{WITH} SELECT doc_id, bool_or(bold AND length(text) > 80) OR (sum(length(text)) < 400 AND count(*) FILTER (WHERE bold) >= 1) AS mostly FROM line GROUP BY doc_id")
 def _(s, d):
     image = F.bool_or(F.col("bold") & (F.length("text") > 80))
@@ -99,6 +122,36 @@ def _(s, d):
     return x.where(prose).groupBy("doc_id").agg(F.min("y0").alias("top"))
 
 
+BLOCKS = f"""{WITH}, ln AS (SELECT doc_id, line_no, line_no // 4 AS block, x0, y0, x1, y1, CASE WHEN line_no // 4 % 3 = 1 AND line_no % 4 < 2 THEN replace(text, ',', '   ') ELSE text END AS text FROM line),
+page AS (SELECT doc_id, max(x1) - CASE WHEN doc_id % 2 = 0 THEN 200.0 ELSE 60.0 END AS width FROM line GROUP BY 1),
+block AS (SELECT doc_id, block, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, trim(string_agg(text, ' ' ORDER BY line_no)) AS text, count(*) FILTER (WHERE len(regexp_extract_all(text, '\\S {{2,}}\\S')) >= 2) AS gaps FROM ln GROUP BY 1, 2),
+range AS (SELECT doc_id, block AS r, y0 - 10 * (block % 3) AS top, y0 + 150 AS bottom FROM block)"""
+_COLUMNS = "(SELECT count(*) FROM (SELECT 1 FROM ln WHERE ln.doc_id = {r}.doc_id AND ln.y1 > {top} AND ln.y0 < {bottom} AND regexp_matches(text, '\\S') GROUP BY round_even(ln.x0 / 8, 0) HAVING count(DISTINCT round_even((ln.y0 + ln.y1) / 2 / 4, 0)) >= 3))"
+
+
+def blocks(s, d):
+    """Lines, blocks of four lines, pages and vertical ranges; every third block has lines whose commas have become gaps."""
+    x = line(s, d).withColumn("block", F.expr("line_no div 4"))
+    x = x.withColumn("text", F.when((F.col("block") % 3 == 1) & (F.col("line_no") % 4 < 2), F.replace("text", F.lit(","), F.lit("   "))).otherwise(F.col("text")))
+    block = x.groupBy("doc_id", "block").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.array_join(F.collect_list("text"), " ").alias("text"))
+    page = x.groupBy("doc_id").agg(F.max("x1").alias("w")).selectExpr("doc_id", "w - case when doc_id % 2 = 0 then 200.0D else 60.0D end width")
+    return x, block, page, block.selectExpr("doc_id", "block r", "y0 - 10 * (block % 3) top", "y0 + 150 bottom")
+
+
+@R.query("b20_prose_in_ranges", f"""{BLOCKS}, prose AS (SELECT doc_id, y0 FROM block JOIN page USING (doc_id) WHERE length(block.text) >= 200 AND x1 - x0 >= greatest(width, 1) * 0.6::DOUBLE AND gaps < 2 AND {_COLUMNS.format(r='block', top='block.y0', bottom='block.y1')} < 3)
+SELECT range.doc_id, r, min(y0) AS prose_top FROM range JOIN prose ON prose.doc_id = range.doc_id AND y0 >= top AND y0 < bottom GROUP BY 1, 2""")
+def _(s, d):
+    x, block, page, ranges = blocks(s, d)
+    return tables.first_prose_top(ranges, block, x, page)
+
+
+@R.query("b14_table_ranges", f"""{BLOCKS}, hit AS (SELECT range.doc_id, r, count(*) AS n, avg(CASE WHEN length(text) < 60 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS short FROM range JOIN block ON block.doc_id = range.doc_id AND y1 > top AND y0 < bottom AND regexp_matches(text, '\\S') GROUP BY 1, 2)
+SELECT range.doc_id, range.r, {_COLUMNS.format(r='range', top='range.top', bottom='range.bottom')} >= 3 OR coalesce(n >= 3 AND short >= 0.5, false) AS tabular FROM range LEFT JOIN hit USING (doc_id, r)""")
+def _(s, d):
+    x, block, _, ranges = blocks(s, d)
+    return tables.looks_like_table(ranges, block, x)
+
+
 @R.query("b21_vertical_range", f"{WITH} SELECT doc_id, line_no FROM line WHERE y1 > 100 AND y0 < 200")
 def _(s, d):
     return line(s, d).where("y1 > 100 and y0 < 200").select("doc_id", "line_no")
@@ -232,6 +285,25 @@ def _(s, d):
     return line(s, d).select("doc_id", "line_no", (end - F.length(F.trim("text")) - 1).cast("long").alias("start"))
 
 
+#: Lines with other white space, a strange beginning (not found), a strange end (found by twenty characters), or nothing; the same expression in both dialects.
+ALTERED = "CASE line_no % 7 WHEN 0 THEN replace(text, ' ', '  ') WHEN 1 THEN concat({tab}, text, ' ') WHEN 2 THEN concat('ZZ', text) WHEN 3 THEN concat(text, 'QQ') WHEN 4 THEN ' ' ELSE text END"
+
+
+@R.query("e15_lines_found", f"""{WITH.replace("WITH", "WITH RECURSIVE")}, l AS (SELECT doc_id, line_no // 5 AS p, line_no, row_number() OVER (PARTITION BY doc_id, line_no // 5 ORDER BY line_no) AS k, text, trim(regexp_replace({ALTERED.format(tab="chr(9)")}, '[ \t\r\n]+', ' ', 'g')) AS t FROM line),
+j AS (SELECT doc_id, p, string_agg(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')), ' ' ORDER BY line_no) AS joined FROM l GROUP BY 1, 2),
+walk AS (SELECT doc_id, p, 0::BIGINT AS k, 0::BIGINT AS cursor, NULL::BIGINT AS start FROM j
+  UNION ALL SELECT doc_id, p, k, CASE WHEN pos > 0 THEN cursor + pos - 1 + n ELSE cursor END, CASE WHEN pos > 0 THEN cursor + pos - 1 END FROM (
+    SELECT w.doc_id, w.p, l.k, cursor, length(t) AS n, CASE WHEN t = '' THEN 0 WHEN instr(joined[cursor + 1:], t) > 0 THEN instr(joined[cursor + 1:], t) WHEN length(t) >= 20 THEN instr(joined[cursor + 1:], t[1:20]) ELSE 0 END AS pos
+    FROM walk w JOIN j USING (doc_id, p) JOIN l ON l.doc_id = w.doc_id AND l.p = w.p AND l.k = w.k + 1))
+SELECT doc_id, p, line_no, start, start + length(t) AS "end" FROM walk JOIN l USING (doc_id, p, k) WHERE start IS NOT NULL""")
+def _(s, d):
+    x = line(s, d).selectExpr("doc_id", "line_no div 5 p", "line_no", "text", ALTERED.format(tab="'\t'") + " altered")
+    rows = F.array_sort(F.collect_list(F.struct("line_no", "text", "altered")))
+    para = x.groupBy("doc_id", "p").agg(rows.alias("rows"))
+    joined = F.array_join(F.transform("rows", lambda r: F.trim(F.regexp_replace(r["text"], "[ \t\r\n]+", " "))), " ")
+    return align.lines_in_paragraphs(para.select("doc_id", "p", joined.alias("joined"), F.transform("rows", lambda r: F.struct(r["line_no"], r["altered"].alias("text"))).alias("lines")))
+
+
 NEAR = """greatest(a.y0, b.y0) - least(a.y1, b.y1) <= 0.8::DOUBLE * greatest(least(a.y1-a.y0, b.y1-b.y0), 1.0::DOUBLE) AND greatest(a.x0, b.x0) - least(a.x1, b.x1) <= 1.5::DOUBLE * greatest(least(a.y1-a.y0, b.y1-b.y0), 1.0::DOUBLE)"""
 
 
@@ -345,6 +417,26 @@ def _(s, d):
     return x.withColumn("run", F.min("ok").over(order.rowsBetween(W.unboundedPreceding, 0))).where("run = 1").select("doc_id", "line_no")
 
 
+#: Sentences of pages with several captions, titles inside captions, smaller and larger text; the same expressions in both dialects.
+SPREAD_LABEL = "CASE WHEN line_no % 12 = 4 THEN 'caption' WHEN line_no % 24 IN (3, 5) THEN 'title' WHEN line_no % 30 = 22 THEN 'heading' WHEN line_no % 7 = 2 THEN '' END"
+SPREAD_SIZE = "CASE (line_no {div} 3) % 4 WHEN 0 THEN 10.0 WHEN 1 THEN 8.0 WHEN 2 THEN 9.0 - length(text) % 4 ELSE 7.0 + length(text) % 3 END"
+SPREAD_SQL = f"""{WITH.replace("WITH", "WITH RECURSIVE")}, s AS (SELECT doc_id, line_no AS i, line_no // 3 AS p, {SPREAD_LABEL} AS label, CAST({SPREAD_SIZE.format(div='//')} AS DOUBLE) AS size, x1 - x0 AS width, x1 FROM line),
+para AS (SELECT doc_id, p, list_sort(list(size))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS size, max(width) AS width, coalesce(bool_or(label = 'caption'), false) AS cap, bool_or(coalesce(label, '') <> '') AS lab FROM s GROUP BY 1, 2),
+page AS (SELECT doc_id, list(p ORDER BY p) AS ps, list(size ORDER BY p) AS sizes, list(width ORDER BY p) AS widths, list(cap ORDER BY p) AS cap, list(lab ORDER BY p) AS lab, (SELECT max(x1) FROM s WHERE s.doc_id = para.doc_id) AS w FROM para GROUP BY doc_id),
+walk AS (SELECT doc_id, 1 AS k, cap, lab, 0::BIGINT AS stop FROM page
+  UNION ALL SELECT doc_id, k + 1, CASE WHEN cap[k] THEN [cap[x] OR (x > k AND x < stop) FOR x IN range(1, len(cap) + 1)] ELSE cap END, CASE WHEN cap[k] THEN [lab[x] OR x = k OR (x > k AND x < stop) FOR x IN range(1, len(cap) + 1)] ELSE lab END, stop FROM (
+    SELECT walk.doc_id, k, walk.cap, walk.lab, coalesce(list_min([x FOR x IN range(k + 1, len(walk.cap) + 1) IF walk.lab[x] OR sizes[x] > sizes[k] + 0.6 OR CASE WHEN abs(sizes[x] - sizes[k]) <= 0.6
+      THEN NOT sizes[k] < coalesce(list_max([sizes[y] FOR y IN range(1, len(walk.cap) + 1) IF NOT walk.lab[y] AND y <> k]), sizes[k]) - 0.5 ELSE widths[x] < w * 0.4 END]), len(walk.cap) + 1) AS stop FROM walk JOIN page USING (doc_id) WHERE k <= len(walk.cap))),
+done AS (SELECT page.doc_id, unnest(ps) AS p, unnest(walk.cap) AS cap FROM walk JOIN page USING (doc_id) WHERE k = len(walk.cap) + 1)
+SELECT doc_id, i, CASE WHEN cap AND coalesce(label, '') IN ('', 'title', 'subheading') THEN 'caption' ELSE label END AS label FROM s JOIN done USING (doc_id, p)"""
+
+
+@R.query("e8_labels_after_spread", SPREAD_SQL)
+def _(s, d):
+    x = line(s, d).selectExpr("doc_id", "line_no i", "line_no div 3 p", f"{SPREAD_LABEL} label", f"cast({SPREAD_SIZE.format(div='div')} as double) size", "x1 - x0 width", "x1 right")
+    return captions.spread_captions(x).select("doc_id", "i", "label")
+
+
 @R.query("e10_table_continuation", f"""{WITH}, pg AS (SELECT doc_id, min(y0) AS top, min(x0) AS l, max(x1) AS r FROM line GROUP BY 1), y AS (SELECT *, CAST(top < 80 AND abs(l - 72) <= 20 AS INT) AS ok FROM pg),
 z AS (SELECT *, doc_id // 50 AS g, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) AS n, min(ok) OVER (PARTITION BY doc_id // 50 ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS run FROM y) SELECT doc_id FROM z WHERE run = 1 AND n <= 20""")
 def _(s, d):
@@ -354,6 +446,26 @@ def _(s, d):
     return x.where("run = 1 and n <= 20").select("doc_id")
 
 
+PAGES = f"""{WITH}, raw AS (SELECT doc_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, avg(CASE WHEN length(text) < 60 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) >= 0.5 AS tabular FROM line GROUP BY 1),
+page AS (SELECT doc_id // 50 AS book, doc_id AS page_no, doc_id % 23 = 5 AS caption, CASE WHEN doc_id % 37 <> 9 THEN x0 END AS x0, y0, CASE WHEN doc_id % 4 > 0 THEN greatest(x1, 540.0::DOUBLE) ELSE x1 END AS x1, y1, 0.0::DOUBLE AS top,
+  CASE WHEN doc_id % 29 = 4 THEN 280.0::DOUBLE ELSE 800.0::DOUBLE END AS height, CASE WHEN doc_id % 4 > 0 THEN 72.0::DOUBLE END AS rx0, CASE WHEN doc_id % 4 = 3 THEN 400.0::DOUBLE WHEN doc_id % 4 > 0 THEN 540.0::DOUBLE END AS rx1, tabular FROM raw)"""
+
+
+@R.query("e10_tables_over_pages", f"""{PAGES}, t AS (SELECT book, page_no AS p, x0 AS l, x1 AS r FROM page WHERE page_no % 3 = 0 AND x0 IS NOT NULL), n AS (SELECT *, unnest(range(1, 22)) AS n FROM t),
+x AS (SELECT n.*, CASE WHEN n > 20 THEN 'limit' WHEN page_no IS NULL THEN 'end' WHEN caption THEN 'caption' WHEN x0 IS NULL THEN 'empty' WHEN y0 > top + height * 0.25 THEN 'low' WHEN abs(x0 - l) > 20 OR abs(x1 - r) > 20 THEN 'width'
+  WHEN NOT coalesce(abs(rx0 - l) <= 20 AND abs(rx1 - r) <= 20, false) AND NOT tabular THEN 'prose' END AS why FROM n LEFT JOIN page ON page.book = n.book AND page_no = p + n)
+SELECT book, p AS page_no, min(n) FILTER (WHERE why IS NOT NULL) - 1 AS pages, first(why ORDER BY n) FILTER (WHERE why IS NOT NULL) AS stopped FROM x GROUP BY 1, 2""")
+def _(s, d):
+    """Pages of fifty to a book, three of four with a frame; some have captions, no content, content that begins low, or rules of another width."""
+    x = line(s, d).groupBy("doc_id").agg(F.min("x0").alias("l"), F.min("y0").alias("y0"), F.max("x1").alias("r"), F.max("y1").alias("y1"), (F.avg((F.length("text") < 60).cast("double")) >= 0.5).alias("tabular"))
+    page = x.selectExpr(
+        "doc_id div 50 doc_id", "doc_id page_no", "doc_id % 23 = 5 caption", "case when doc_id % 37 <> 9 then l end x0", "y0", "case when doc_id % 4 > 0 then greatest(r, 540.0D) else r end x1", "y1", "0.0D top",
+        "case when doc_id % 29 = 4 then 280.0D else 800.0D end height", "case when doc_id % 4 > 0 then 72.0D end rule_x0", "case when doc_id % 4 = 3 then 400.0D when doc_id % 4 > 0 then 540.0D end rule_x1", "tabular",
+    )
+    begun = page.where("page_no % 3 = 0 and x0 is not null").select("doc_id", "page_no", "x0", "x1")
+    return tables.continuations(begun, page).selectExpr("doc_id book", "page_no", "pages", "stopped")
+
+
 @R.query("e13_previous_bottom", f"{WITH} SELECT doc_id, line_no, lag(y1, 1, 0.0::DOUBLE) OVER (PARTITION BY doc_id ORDER BY y0, line_no) AS bottom FROM line WHERE bold")
 def _(s, d):
     return line(s, d).where("bold").select("doc_id", "line_no", F.lag("y1", 1, 0.0).over(W.partitionBy("doc_id").orderBy("y0", "line_no")).alias("bottom"))

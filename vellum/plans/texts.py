@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum import streaming
 from vellum.functions import text as T
-from vellum.operators import runs
+from vellum.operators import captions, runs, search
 from vellum.operators.layout import upper_middle
 from vellum.registry import Registry, table
 from vellum.sources import derived
@@ -88,6 +88,29 @@ def flagship(s, d):
     return related(s, d).select("doc_id", "k", T.citation(F.col("doc_id"), F.col("k"), none, none).alias("tag"), "sentence", "score")
 
 
+MATCH_SQL = f"""WITH {PIECE_SQL},
+sent AS (SELECT row_number() OVER () AS si, doc_id, k, lower({PLAIN('p')}) AS t FROM piece WHERE length({PLAIN('p')}) >= 20),
+ask AS (SELECT conv_id, turn, min(lower({PLAIN('text')})) AS t FROM conversations WHERE role = 'user' GROUP BY 1, 2),
+kinds AS (SELECT row_number() OVER () AS qi, t FROM (SELECT DISTINCT t FROM ask)),
+qg AS (SELECT DISTINCT qi, g FROM (SELECT qi, t[i:i + 1] AS g FROM (SELECT qi, t, unnest(range(1, length(t))) AS i FROM kinds)) WHERE NOT regexp_full_match(g, '([぀-ゟ]|[^\\p{{L}}\\p{{N}}_]){{2}}')),
+known AS (SELECT row_number() OVER () AS gi, g FROM (SELECT DISTINCT g FROM qg)), qn AS (SELECT qi, gi FROM qg JOIN known USING (g)),
+sn AS (SELECT DISTINCT si, gi FROM (SELECT si, t[i:i + 1] AS g FROM (SELECT si, t, unnest(range(1, length(t))) AS i FROM sent)) JOIN known USING (g)),
+hit AS (SELECT qi, si, count(*) AS score FROM qn JOIN sn USING (gi) GROUP BY 1, 2),
+best AS (SELECT qi, doc_id, k, score, row_number() OVER (PARTITION BY qi ORDER BY score DESC, doc_id, k) AS rank FROM hit JOIN sent USING (si))
+SELECT conv_id, turn, rank, doc_id, k, '[P' || doc_id || 'S' || k || ']' AS tag, score FROM ask JOIN kinds USING (t) JOIN best USING (qi) WHERE rank <= 8"""
+
+
+@R.query("f2_question_matches", MATCH_SQL)
+def _(s, d):
+    """F2 for every question of a user: equal questions are asked once."""
+    sent = pieces(s, d, places=False).select("doc_id", "k", T.plain(F.col("p")).alias("sentence")).where(F.length("sentence") >= 20)
+    turns = table(s, d, "conversations").where("role = 'user'").groupBy("conv_id", "turn").agg(F.min(F.lower(T.plain(F.col("text")))).alias("question"))
+    turns = turns.withColumn("q", F.xxhash64("question"))
+    none = F.lit(None).cast("long")
+    best = search.best_sentences(sent, turns.select("q", "question").distinct()).withColumn("tag", T.citation(F.col("doc_id"), F.col("k"), none, none))
+    return turns.join(best, "q").select("conv_id", "turn", "rank", "doc_id", "k", "tag", "score")
+
+
 @R.query("c15_question_scores", f"WITH {PIECE_SQL} SELECT doc_id, CAST(sum({SCORE_SQL}) AS BIGINT) AS score FROM piece GROUP BY doc_id")
 def _(s, d):
     x = scored(pieces(s, d, places=False).select("doc_id", T.plain(F.col("p")).alias("sentence")), "sentence")
@@ -356,6 +379,50 @@ def _(s, d):
     return heads(s, d).withColumn("rn", first).where("rn = 1").select("number", "text")
 
 
+#: Sentences with legends of several rows: paragraphs of six, pages of twenty, documents of a hundred parts.
+LEGEND_ROWS = [
+    "p_partkey {div} 100 AS doc_id", "p_partkey {div} 20 AS page_no", "p_partkey {div} 6 AS p", "p_partkey AS i",
+    "CASE WHEN p_partkey % 3 > 0 THEN p_name WHEN p_partkey % 2 = 0 THEN concat('<b>', text, '</b>') ELSE text END AS src",
+    "CASE WHEN p_partkey % 4 = 1 THEN upper(p_name) WHEN p_partkey % 4 = 2 THEN '' END AS tgt",
+]
+_PRE = "(?:supplementary\\s+|suppl?\\.?\\s+|補足\\s*|副\\s*)"
+_SEP = "[a-z]?(?:\\s*[.:：|]|\\s+(?-i:[A-Z])|$)"
+LEGEND_RUN_SQL = f"""WITH {CAPTION_SQL}, s AS (SELECT {', '.join(LEGEND_ROWS).format(div='//')} FROM cap JOIN part USING (p_partkey)),
+b AS (SELECT *, trim(regexp_replace(src, '<[^>]+>', '', 'g')) AS bare, trim(regexp_replace(CASE WHEN coalesce(tgt, '') <> '' THEN tgt ELSE src END, '<[^>]+>', '', 'g')) AS said FROM s),
+w AS (SELECT doc_id, num, kind, CASE kind WHEN 'table' THEN '(?:Table|Tab\\.?|表)' ELSE '(?:Fig(?:ure)?\\.?|図)' END AS word FROM (SELECT DISTINCT doc_id FROM s), (SELECT unnest(['1', '2', '5', '9', '13', 's1', 's4', 's9', 'S12', '77']) AS num), (SELECT unnest(['figure', 'table']) AS kind)),
+x AS (SELECT *, '(?i)^(?:' || CASE WHEN lower(num[1:1]) = 's' THEN '{_PRE}\\s*' || word || '\\s*S?' || num[2:] || '|' || word || '\\s*S' || num[2:] ELSE '{_PRE}?' || word || '\\s*' || num END || '){_SEP}' AS mine, '(?i)^{_PRE}?' || word || '\\s*S?[0-9]+{_SEP}' AS other FROM w),
+hit AS (SELECT x.doc_id, num, kind, other, min(i) AS i FROM x JOIN b USING (doc_id) WHERE regexp_matches(bare, mine) GROUP BY ALL),
+run AS (SELECT hit.doc_id, num, kind, z.i, z.said, bool_or(z.i > hit.i AND (z.p <> h.p OR regexp_matches(z.bare, other))) OVER (PARTITION BY hit.doc_id, num, kind ORDER BY z.i) AS over FROM hit JOIN b h ON h.i = hit.i JOIN b z ON z.doc_id = hit.doc_id AND z.page_no = h.page_no AND z.i >= hit.i)
+SELECT doc_id, num, kind, trim(string_agg(said, ' ' ORDER BY i) FILTER (WHERE said <> '')) AS legend FROM run WHERE NOT over GROUP BY 1, 2, 3"""
+
+
+def legend_sentences(s, d):
+    x = derived.captions(table(s, d, "part")).join(table(s, d, "part").select("p_partkey", "p_name"), "p_partkey")
+    return x.selectExpr(*(e.format(div="div") for e in LEGEND_ROWS))
+
+
+@R.query("c21_legend_runs", LEGEND_RUN_SQL)
+def _(s, d):
+    x = legend_sentences(s, d)
+    wanted = x.select("doc_id").distinct().select("doc_id", F.explode(F.array(*map(F.lit, ["1", "2", "5", "9", "13", "s1", "s4", "s9", "S12", "77"]))).alias("num")).withColumn("kind", F.explode(F.array(F.lit("figure"), F.lit("table"))))
+    return captions.legends_of(x, wanted)
+
+
+_LEGEND_SQL = "(?i)((?:supplementary\\s+|suppl?\\.?\\s+|補足\\s*|副\\s*)?(?:Fig(?:ure)?s?\\.?|Scheme|Table|Tab\\.?|図|表)\\s*S?[0-9]+[A-Za-z]?\\s*[.:：]\\s*)"
+BLOCK_SQL = f"{CAPTION_SQL}, block AS (SELECT p_partkey // 40 AS doc_id, p_partkey // 4 AS b, CASE WHEN p_partkey // 4 % 2 = 0 THEN string_agg(text, '; see ' ORDER BY p_partkey) ELSE string_agg(text, '. ' ORDER BY p_partkey) END AS text FROM cap GROUP BY 1, 2)"
+
+
+@R.query("h7_all_legends", f"""WITH {BLOCK_SQL}, part AS (SELECT doc_id, b, unnest(range(1, len(l))) AS pos, unnest(l[2:]) AS part FROM (SELECT doc_id, b, string_split(regexp_replace(text, '{_LEGEND_SQL}', chr(1) || '\\1', 'g'), chr(1)) AS l FROM block)),
+x AS (SELECT doc_id, b, pos, trim(part) AS legend, CASE WHEN regexp_matches(part, '(?i)^(?:supplementary\\s+|suppl?\\.?\\s+|補足\\s*|副\\s*)?(tab|表)') THEN 'table' ELSE 'figure' END AS kind, regexp_replace(lower(regexp_extract(part, '(?i)(?:Fig(?:ure)?s?\\.?|Scheme|Table|Tab\\.?|図|表)\\s*(S?[0-9]+[A-Za-z]?)\\s*[.:：]', 1)), '[a-z]$', '') AS number FROM part)
+SELECT doc_id, kind, number, first(legend ORDER BY length(legend) DESC, b, pos) AS legend FROM x GROUP BY 1, 2, 3""")
+def _(s, d):
+    x = derived.captions(table(s, d, "part")).selectExpr("p_partkey div 40 doc_id", "p_partkey div 4 b", "p_partkey", "text")
+    sep = F.when(F.col("b") % 2 == 0, "; see ").otherwise(". ")
+    said = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "text"))), lambda z: z["text"])
+    blocks = x.groupBy("doc_id", "b").agg(said.alias("parts")).withColumn("sep", sep)
+    return captions.all_legends(blocks.select("doc_id", "b", F.expr("array_join(parts, sep)").alias("text")))
+
+
 @R.query("h11_span_styles", """SELECT event_id, [x for x in [CASE WHEN event_id % 8 & 2 > 0 OR event_type = 'click' THEN 'italic' END, CASE WHEN event_id % 32 & 16 > 0 THEN 'bold' END,
  CASE WHEN event_id % 2 = 1 THEN 'super' WHEN value < 7.8::DOUBLE AND value - 5 < -1 THEN 'super' END, CASE WHEN event_id % 2 = 0 AND value < 7.8::DOUBLE AND value - 5 > 1 THEN 'sub' END] if x IS NOT NULL] AS styles FROM events""")
 def _(s, d):
@@ -520,6 +587,15 @@ def _(s, d):
     return snap.unionByName(delta).groupBy("user_id").agg(F.sum("a").alias("snapshot"), F.sum("b").alias("deltas"))
 
 
+@R.query("d17_throttled_progress", """WITH RECURSIVE x AS (SELECT user_id AS key, epoch_us(ts) AS at, min(event_id) AS event_id FROM events GROUP BY 1, 2), b AS (SELECT key, min(at) + 86400000000 AS at FROM x GROUP BY 1),
+one AS (SELECT b.key, min(x.at) AS at FROM b JOIN x ON x.key = b.key AND x.at >= b.at GROUP BY 1 UNION ALL SELECT one.key, min(x.at) FROM one JOIN x ON x.key = one.key AND x.at >= one.at + 86400000000 GROUP BY one.key)
+SELECT key, at, event_id FROM one JOIN x USING (key, at)""")
+def _(s, d):
+    """Of a user's events one a day, counted from the last that was let through."""
+    x = table(s, d, "events").select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id")
+    return runs.throttled(x, 86_400_000_000)
+
+
 @R.query("d17_token_rate", "SELECT user_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, count(*) / 3600.0::DOUBLE AS rate FROM events GROUP BY 1, 2")
 def _(s, d):
     x = table(s, d, "events").select("user_id", F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600).alias("hour"))
