@@ -587,9 +587,9 @@ def _(s, d):
     return snap.unionByName(delta).groupBy("user_id").agg(F.sum("a").alias("snapshot"), F.sum("b").alias("deltas"))
 
 
-@R.query("d17_throttled_progress", """WITH RECURSIVE x AS (SELECT user_id AS key, epoch_us(ts) AS at, min(event_id) AS event_id FROM events GROUP BY 1, 2), b AS (SELECT key, min(at) + 86400000000 AS at FROM x GROUP BY 1),
-one AS (SELECT b.key, min(x.at) AS at FROM b JOIN x ON x.key = b.key AND x.at >= b.at GROUP BY 1 UNION ALL SELECT one.key, min(x.at) FROM one JOIN x ON x.key = one.key AND x.at >= one.at + 86400000000 GROUP BY one.key)
-SELECT key, at, event_id FROM one JOIN x USING (key, at)""")
+@R.query("d17_throttled_progress", """WITH RECURSIVE x AS (SELECT user_id AS key, epoch_us(ts) AS t, min(event_id) AS event_id FROM events GROUP BY 1, 2), b AS (SELECT key, min(t) + 86400000000 AS t FROM x GROUP BY 1),
+one AS (SELECT b.key, min(x.t) AS t FROM b JOIN x ON x.key = b.key AND x.t >= b.t GROUP BY 1 UNION ALL SELECT one.key, min(x.t) FROM one JOIN x ON x.key = one.key AND x.t >= one.t + 86400000000 GROUP BY one.key)
+SELECT key, t AS "at", event_id FROM one JOIN x USING (key, t)""")
 def _(s, d):
     """Of a user's events one a day, counted from the last that was let through."""
     x = table(s, d, "events").select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id")
