@@ -54,7 +54,7 @@ def test_mix_takes_sure_documents_first(spark):
     rows = [(1, "w " * 4000, "a"), *((i, "w", "a") for i in range(2, 40)), *((100 + i, "w " * 3900, "b") for i in range(4))]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     out = {r.doc_id: r for r in mixing.mix(df, Scratch(spark, "t"), weights=(1.0, 3.9)).collect()}
-    assert out[1].p == 1.0 or out[1].copies >= 0
+    assert out[1].p == 1.0 and out[1].copies == out[1].taken // out[1].size
     assert all(r.taken <= 3 * r.size for r in out.values())
 
 

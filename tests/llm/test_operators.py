@@ -353,6 +353,46 @@ def test_near_vectors(spark, monkeypatch):
     assert near_vectors.near_vectors(df.limit(0), scratch(spark)).count() == 0
 
 
+def test_packing_keeps_all_columns(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(i % 3, "some words " * i) for i in range(9)], "doc_id long, text string")
+    cut = packing.pieces(docs, path, 2).withColumns({c: F.lit(f"own {c}") for c in ("class", "rank", "part", "before", "place", "n", "other one", "offset", "sequence_id", "class_")})
+    got = packing.pack(spark, cut, scratch(spark))
+    assert sorted(got.columns) == sorted(cut.columns) and got.count() == 9
+    assert all(r[c] == f"own {c}" for r in got.collect() for c in ("class", "rank", "part", "before", "place", "n", "other one", "class_"))
+    assert dict(got.dtypes)["offset"] == dict(got.dtypes)["sequence_id"] == "bigint"
+
+
+def test_more_languages_than_a_model_holds(spark, monkeypatch):
+    r = random.Random(3)
+    rows = [(i, " ".join("".join(r.choices(chr(97 + la) + chr(98 + la) + "xyz", k=5)) for _ in range(20)), f"l{la:02d}") for i, la in enumerate(r.choices(range(23), k=240))] + [(900, None, "l01"), (901, "123", "l02")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("lang_so_far", F.lit("mine"))
+    one = {x.doc_id: (x.lang_pred, x.score, x.lang_so_far) for x in langid.identify(spark, docs).collect()}
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 5)
+    many = {x.doc_id: (x.lang_pred, x.score, x.lang_so_far) for x in langid.identify(spark, docs).collect()}
+    assert one.keys() == many.keys() and all(a[0] == many[i][0] and a[2] == many[i][2] and abs(a[1] - many[i][1]) < 1e-9 for i, a in one.items())
+    assert many[900][:2] == many[901][:2] == ("und", 0.0) and len({a for a, *_ in many.values()}) > 15
+
+
+def test_files_of_one_id(spark):
+    """All rows have one id, or none: they fill several files, and positions go on from file to file."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [f"text number {i} " * (i % 7) for i in range(400)]
+    docs = spark.createDataFrame([(5 if i % 2 else None, t) for i, t in enumerate(texts)] + [(1, "first"), (9, "last")], "doc_id long, text string")
+    made = common.Scratch(spark, "t").path()
+    old, token_orc.FILE_ROWS = token_orc.FILE_ROWS, 40
+    try:
+        token_orc.write(docs, made, path)
+    finally:
+        token_orc.FILE_ROWS = old
+    assert token_orc.read(spark, made).select("file").distinct().count() > 6
+    got = sorted(token_orc.positions(spark, made, scratch(spark)).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(len(got))]
+    assert [r.doc_id for r in got] == [None] * 200 + [1] + [5] * 200 + [9]
+    lib = Tokenizer.from_file(path)
+    assert collections.Counter(r.n_tokens for r in got) == collections.Counter(len(lib.encode(t, add_special_tokens=False).ids) + 1 for t in [*texts, "first", "last"])
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (99, 100), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in common.components(edges, scratch(spark)).collect()}

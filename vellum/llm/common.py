@@ -71,7 +71,7 @@ def remove(spark: SparkSession, path: str) -> None:
 # --------------------------------------------------------------------------- connected components
 
 
-def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest reachable node of every node that has an edge: rows (node, component).
 
     Alternates the large-star and small-star steps of distributed connected components; each step is one
@@ -80,7 +80,7 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", m
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     pairs = scratch.keep(pairs)
-    for _ in range(most_rounds):
+    while True:
         # large star: of all neighbours, the larger ones move to the smallest of the closed neighbourhood
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -95,8 +95,6 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", m
         pairs = new
         if same:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     nodes = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return nodes.unionByName(roots)

@@ -7,12 +7,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import release, slices
+from vellum.llm.common import Scratch, release, slices
 
 #: Orders of the character n-grams, and the bits of a hash bucket: with L languages the model is 4 * L * BUCKETS bytes.
 ORDERS, BITS = (1, 2, 3), 15
 BUCKETS = 1 << BITS
-#: Most languages that a model may have; it bounds what is broadcast (32 MB).
+#: Most languages of a model; it bounds what is broadcast (32 MB). More languages make several models, one after the other.
 MOST_LANGUAGES = 256
 UNKNOWN = "und"
 _CHUNK = 1024
@@ -99,38 +99,45 @@ def counts(labelled: DataFrame) -> DataFrame:
     return labelled.mapInArrow(run, schema).groupBy("lang", "part").applyInArrow(added, schema)
 
 
-def train(labelled: DataFrame, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
-    """Languages and the matrix (bucket, language) of log probabilities; rows of `labelled` are (text, lang).
+def languages(labelled: DataFrame) -> list[str]:
+    """The names of all languages that can be learned, in code point order: one row to each comes to the driver."""
+    return sorted(r[0] for r in labelled.where("lang is not null and text is not null").select("lang").distinct().collect())
+
+
+def train(labelled: DataFrame, smoothing: float = 0.5, langs: list[str] | None = None) -> tuple[list[str], np.ndarray]:
+    """Languages (all, or those that are named) and the matrix (bucket, language) of log probabilities; rows of `labelled` are (text, lang).
 
     All rows are counted. What comes to the driver is the model: one row for each language and 1024 buckets.
     """
     seen = labelled.where("lang is not null and text is not null")
-    langs = sorted(r[0] for r in seen.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if langs is None:
+        langs = languages(labelled)
+    else:
+        seen = seen.where(F.col("lang").isin(langs))
     n = np.full((len(langs), BUCKETS), smoothing)
     at = {lang: i for i, lang in enumerate(langs)}
-    for r in counts(seen).collect():  # at most languages * 32 rows
+    for r in counts(seen).collect() if langs else []:  # at most languages * 32 rows
         n[at[r["lang"]], r["part"] * _CHUNK : (r["part"] + 1) * _CHUNK] += np.frombuffer(r["n"], "<i8")
     return langs, np.log(n / n.sum(axis=1, keepdims=True)).T.astype(np.float32) if langs else np.empty((BUCKETS, 0), np.float32)
 
 
-def predict(spark: SparkSession, docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
+def predict(spark: SparkSession, docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", told: bool = False) -> DataFrame:
     """Adds lang_pred and score, the posterior of lang_pred under equal priors.
 
     A null text, one without a letter, and any text under an empty model get `und` and score 0. The name of an input
     column that is lang_pred or score is replaced. The whole text is scored: a text's n-grams are counted in a sparse
     matrix, in pieces of PIECE characters, whose cells are weighed CELLS numbers at a time, so that neither a long text nor
-    many languages need more memory. Ties fall to the first language in code point order.
+    many languages need more memory. Ties fall to the first language in code point order. With `told`, a column lang_top
+    comes as well, the log probability of lang_pred, for models that are put together.
     """
     langs, logp = model
     shared = spark.sparkContext.broadcast(np.ascontiguousarray(logp))
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    keep = [c for c in docs.columns if c not in ("lang_pred", "score", "lang_top")]
 
     def run(batches):
         for b in batches:
             texts, m = b[text_col].to_pylist(), shared.value
-            lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+            lang, score, top = [UNKNOWN] * len(texts), [0.0] * len(texts), [None] * len(texts)
             use = [i for i, t in enumerate(texts) if len(langs) and has_letter(t)]
             picked = [texts[i] for i in use]
             total = np.zeros((len(use), max(len(langs), 1)))
@@ -142,13 +149,42 @@ def predict(spark: SparkSession, docs: DataFrame, model: tuple[list[str], np.nda
                     total[r[first]] += np.add.reduceat(m[bucket[s : s + step]] * n[s : s + step, None], first, axis=0, dtype=np.float64)
             best = total.argmax(axis=1)
             p = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-            for i, k, q in zip(use, best.tolist(), p.tolist(), strict=True):
-                lang[i], score[i] = langs[k], q
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+            for i, k, q, t in zip(use, best.tolist(), p.tolist(), total.max(axis=1).tolist(), strict=True):
+                lang[i], score[i], top[i] = langs[k], q, t
+            more = [("lang_pred", pa.array(lang, pa.string())), ("score", pa.array(score, pa.float64())), *([("lang_top", pa.array(top, pa.float64()))] if told else [])]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), *(x for _, x in more)], names=[*keep, *(c for c, _ in more)])
         release()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in keep)
-    return docs.select(*[f"`{c}`" for c in keep]).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.select(*[f"`{c}`" for c in keep]).mapInArrow(run, f"{kinds}, lang_pred string, score double" + (", lang_top double" if told else ""))
+
+
+def predict_by_parts(spark: SparkSession, docs: DataFrame, labelled: DataFrame, parts: list[list[str]]) -> DataFrame:
+    """`predict` for any number of languages: each part is trained and asked on its own, and the answers are put together.
+
+    Of each text the best language so far, its log probability and the sum of all probabilities relative to it go on to the next part; a
+    part's documents are written before the next, so that one model at a time is with the workers.
+    """
+    held = "lang_so_far"
+    while held in docs.columns:
+        held += "_"
+    names = [c for c in docs.columns if c not in ("lang_pred", "score", "lang_top")]
+    scratch = Scratch(spark, "langid")
+    out = docs.select(*[f"`{c}`" for c in names], F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(None).cast("double").alias("top"), F.lit(0.0).alias("all")).alias(held))
+    for part in parts:
+        x = predict(spark, out, train(labelled, langs=part), told=True)
+        old, top, mass = F.col(held), F.col("lang_top"), 1 / F.col("score")  # mass: all of the part's probabilities, the best being 1
+        wins = old["top"].isNull() | (top > old["top"])
+        now = F.when(top.isNull(), old).otherwise(
+            F.struct(
+                F.when(wins, F.col("lang_pred")).otherwise(old["lang"]).alias("lang"),
+                F.when(wins, top).otherwise(old["top"]).alias("top"),
+                F.when(old["top"].isNull(), mass).when(wins, mass + old["all"] * F.exp(old["top"] - top)).otherwise(old["all"] + mass * F.exp(top - old["top"])).alias("all"),
+            )
+        )
+        done, out = out, scratch.keep(x.withColumn(held, now).select(*[f"`{c}`" for c in names], held))
+        scratch.drop(done)
+    return out.select(*[f"`{c}`" for c in names], F.col(held)["lang"].alias("lang_pred"), F.when(F.col(held)["all"] > 0, 1 / F.col(held)["all"]).otherwise(0.0).alias("score"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -158,7 +194,10 @@ def held_out(doc_id: Column) -> Column:
 def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Trains on the labelled rows that are not held out and predicts all: docs with lang_pred and score.
 
-    A row without doc_id is not held out; a row without lang or text isn't learned from.
+    A row without doc_id is not held out; a row without lang or text isn't learned from. Any number of languages can be learned.
     """
     labelled = docs.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))).select("text", "lang")
-    return predict(spark, docs, train(labelled))
+    langs = languages(labelled)
+    if len(langs) <= MOST_LANGUAGES:
+        return predict(spark, docs, train(labelled, langs=langs))
+    return predict_by_parts(spark, docs, labelled, [langs[s : s + MOST_LANGUAGES] for s in range(0, len(langs), MOST_LANGUAGES)])

@@ -12,7 +12,7 @@ from vellum.llm.common import Scratch, blocks_of
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Documents for each class, and least classes, into which the ranks of a source are counted before its cut is looked for in one of them.
 CLASS_ROWS, CLASSES = 10_000, 4096
-#: Most sources whose targets are broadcast; with more they are joined by shuffling.
+#: Most rows of chances (up to 63 to a source) that are broadcast; with more they are joined by shuffling.
 MOST_BROADCAST = 100_000
 
 
@@ -82,7 +82,7 @@ def mix(docs: DataFrame, scratch: Scratch, seed: str = "mix-1", weights: tuple[f
 
     Null text: size 0, taken 0. A null source is a source of its own. Ties in rank fall to the smaller doc_id; repeated
     rows count as documents of their own; to tell them apart, `row_col` names a column of row numbers, which comes back
-    and to which ties of equal ids and sizes fall. A source of size 0 has target 0. An empty table gives an empty result.
+    and to which ties of equal ids and sizes fall (it must not be named as one of the result's own columns, nor key, m, q or class). A source of size 0 has target 0. An empty table gives an empty result.
     """
     row = [row_col] if row_col else []
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))  # null is a source too
@@ -92,9 +92,10 @@ def mix(docs: DataFrame, scratch: Scratch, seed: str = "mix-1", weights: tuple[f
     targets = targets.select(key.alias("key"), "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("r"))
     targets = targets.withColumn("whole", F.least(F.floor("r"), F.lit(most_copies)).cast("long"))
     targets = targets.withColumn("lacks", F.col("target") - F.col("whole") * F.col("source_size"))
-    few = targets.count() <= MOST_BROADCAST  # else a large source would meet in one task
+    chances = scratch.keep(inclusion(sizes, targets))
+    few = chances.count() <= MOST_BROADCAST  # rows of sources and measures; the cuts are fewer. Without it a large source is left to Spark's skew join
     hint = F.broadcast if few else lambda x: x
-    ranked = sizes.join(hint(scratch.keep(inclusion(sizes, targets))), ["key", "m"])
+    ranked = sizes.join(hint(chances), ["key", "m"])
     classes = max(CLASSES, blocks_of(sizes.count(), CLASS_ROWS))
     u = uniform(F.col("doc_id"), seed)
     odds = F.when(F.col("p") >= 1, F.lit(0.0)).when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p"))))

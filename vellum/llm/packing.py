@@ -27,7 +27,11 @@ RANKED = 50_000
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
-    """Rows (doc_id, start, length, ids_crc32, doc_tokens) of the whole texts' ids with the end id."""
+    """Rows (doc_id, start, length, ids_crc32, doc_tokens) of the whole texts' ids with the end id.
+
+    A null or empty text is one piece, the end id. Rows are cut each by itself, so repeated rows and rows without an id are
+    documents of their own. Only doc_id and text are read; an empty table gives an empty result.
+    """
 
     def run(batches):
         for b in batches:
@@ -147,42 +151,48 @@ def places(chosen: list[tuple[np.ndarray, int]]) -> dict[int, tuple[np.ndarray,
 
 
 def pack(spark: SparkSession, cut: DataFrame, scratch: Scratch, capacity: int = CAPACITY, unit: int = UNIT) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, start, length, ...) of at most `capacity` tokens.
+    """Adds sequence_id and offset to pieces (doc_id, start, length, ids_crc32, doc_tokens, ...) of at most `capacity` tokens.
 
     The histogram that goes to the driver has capacity / unit numbers. Ranks within a class are made in parts, whose
     sizes are summed first, so that a length which very many documents have is not ranked in one task. Offsets are
     gapless from 0. Ties in rank fall to the smaller doc_id, start and crc; repeated rows are pieces of their own. An
-    empty table gives an empty result.
+    empty table gives an empty result. All columns of the input come back, whatever their names, but those that are named
+    sequence_id or offset, which the new ones replace.
     """
-    cut = scratch.keep(cut.withColumn("class", F.ceil(F.col("length") / unit).cast("int") - 1))
-    n = cut.count()
-    parts = max(1, -(-n // RANKED))
+    mine = [c for c in cut.columns if c not in ("sequence_id", "offset")]
+    own = {}  # names for the work that no column of the caller's has
+    for c in ("class", "part", "rank", "before", "place", "n"):
+        own[c] = c
+        while own[c] in mine:
+            own[c] += "_"
+    cls, part, rank, before, place, n = own.values()
+    cut = scratch.keep(cut.select(*(F.col(f"`{c}`") for c in mine)).withColumn(cls, F.ceil(F.col("length") / unit).cast("int") - 1))
+    parts = max(1, -(-cut.count() // RANKED))
     order = ["doc_id", "start", "ids_crc32", "doc_tokens"]
-    parted = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts)).cast("int"))
-    sizes = parted.groupBy("class", "part").agg(F.count(F.lit(1)).alias("n"))
-    sizes = scratch.keep(sizes.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("class").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))))
+    parted = cut.withColumn(part, F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts)).cast("int"))
+    sizes = parted.groupBy(cls, part).agg(F.count(F.lit(1)).alias(n))
+    sizes = scratch.keep(sizes.withColumn(before, F.coalesce(F.sum(n).over(W.partitionBy(cls).orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))))
     demand = np.zeros(-(-capacity // unit), np.int64)
-    for r in sizes.groupBy("class").agg(F.sum("n").alias("n")).collect():  # at most capacity / unit rows
-        demand[r["class"]] = r["n"]
+    for r in sizes.groupBy(cls).agg(F.sum(n).alias("n")).collect():  # at most capacity / unit rows
+        demand[r[cls]] = r["n"]
     where = spark.sparkContext.broadcast(places(plan(demand)))  # at most patterns * lengths of a pattern numbers
 
     def placed(batches):
         for b in batches:
-            cls, rank = b["class"].to_numpy(), b["rank"].to_numpy()
-            seq, place = np.empty(len(cls), np.int64), np.empty(len(cls), np.int64)
-            for c in np.unique(cls):
-                first, begin, each, at = where.value[int(c)]
-                m = cls == c
-                k = np.searchsorted(first, rank[m], side="right") - 1
-                r = rank[m] - first[k]
-                seq[m], place[m] = begin[k] + r // each[k], at[k] + r % each[k]
-            keep = [x for x in b.schema.names if x not in ("class", "rank")]
-            yield pa.RecordBatch.from_arrays([*(b[x] for x in keep), pa.array(seq), pa.array(place)], names=[*keep, "sequence_id", "place"])
-
-    inside = F.row_number().over(W.partitionBy("class", "part").orderBy(*order)) - 1
-    ranked = parted.withColumn("rank", inside.cast("long")).join(sizes.select("class", "part", "before"), ["class", "part"])
-    ranked = ranked.withColumn("rank", F.col("rank") + F.col("before")).drop("part", "before")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields if f.name not in ("class", "rank"))
-    out = ranked.mapInArrow(placed, f"{kinds}, sequence_id long, place long")
-    before = W.partitionBy("sequence_id").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
-    return out.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("place")
+            kind, at = b[cls].to_numpy(), b[rank].to_numpy()
+            seq, spot = np.empty(len(kind), np.int64), np.empty(len(kind), np.int64)
+            for c in np.unique(kind):
+                first, begin, each, start = where.value[int(c)]
+                m = kind == c
+                k = np.searchsorted(first, at[m], side="right") - 1
+                r = at[m] - first[k]
+                seq[m], spot[m] = begin[k] + r // each[k], start[k] + r % each[k]
+            yield pa.RecordBatch.from_arrays([*(b[x] for x in mine), pa.array(seq), pa.array(spot)], names=[*mine, "sequence_id", place])
+
+    inside = F.row_number().over(W.partitionBy(cls, part).orderBy(*order)) - 1
+    ranked = parted.withColumn(rank, inside.cast("long")).join(sizes.select(cls, part, before), [cls, part])
+    ranked = ranked.withColumn(rank, F.col(rank) + F.col(before)).drop(part, before)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields if f.name in mine)
+    out = ranked.select(*(F.col(f"`{c}`") for c in [*mine, cls, rank])).mapInArrow(placed, f"{kinds}, sequence_id long, `{place}` long")
+    ahead = W.partitionBy("sequence_id").orderBy(place).rowsBetween(W.unboundedPreceding, -1)
+    return out.withColumn("offset", F.coalesce(F.sum("length").over(ahead), F.lit(0))).drop(place)

@@ -46,13 +46,15 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame:
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 0) -> None:
     """Writes (doc_id, row, ids) in ascending doc_id order: every file holds a range of ids, its stripes are sorted.
 
-    The texts are dealt out by range before they are encoded. Null ids come first. Equal ids stay in one file, in the
-    order of their texts; `row` is a row's place in its file.
+    The texts are dealt out by range of id and text's hash before they are encoded, so that rows without an id, or with one and
+    the same, fill as many files as they need. Null ids come first; of equal ids the smaller hash comes first, repeated rows in any
+    order. `row` is a row's place in its file. Other columns are not written. An empty table gives an empty folder of files.
     """
     n, chars = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text").cast("long"))).first()
     spread = docs.sparkSession.sparkContext.defaultParallelism * 8
     files = max(blocks_of(chars, FILE_CHARS), min(blocks_of(n, FILE_ROWS), spread))
-    ranged = docs.select("doc_id", "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text")]
+    ranged = docs.select("doc_id", "text").repartitionByRange(files, *order).sortWithinPartitions(*order)
     encode(ranged, tokenizer, end_id).write.options(**ORC).orc(path)
 
 
@@ -65,7 +67,7 @@ def positions(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
     """Rows (doc_id, start, n_tokens, ids_crc32) from the files alone.
 
     A row's start is the ids of its file's rows before it and of the files of smaller ids: one row to a file of some 64
-    million characters, which one task adds up. The crc is of the ids as little-endian unsigned 32-bit integers.
+    million characters, which one task adds up; files of one id alone follow by name, which Spark numbers by range. The crc is of the ids as little-endian unsigned 32-bit integers.
     """
 
     def run(batches):
@@ -77,7 +79,7 @@ def positions(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
 
     rows = scratch.keep(read(spark, path).mapInArrow(run, "doc_id long, row long, file string, n_tokens long, ids_crc32 long"))
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.min("doc_id").alias("low"), F.count("doc_id").alias("known"))
-    before = W.orderBy(F.col("low").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    before = W.orderBy(F.col("low").asc_nulls_first(), "file").rowsBetween(W.unboundedPreceding, -1)
     files = files.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select("file", "base")
     inside = W.partitionBy("file").orderBy("row").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
