@@ -25,10 +25,14 @@ def with_rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose language stays open, go."""
+    """Documents without a letter, or whose language stays open, go; so do null and empty texts, and all where nothing can be learned.
+
+    Rows without an id, and repeated ones, are judged as any other. What stays is numbered and written, so that whoever reads it
+    twice sees the same numbers. Other columns than those of documents are left out; an empty table gives an empty result.
+    """
     found = langid.identify(spark, docs.select(*COLUMNS))
     found = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return found.select(*COLUMNS).withColumn(ROW, F.monotonically_increasing_id())
+    return Scratch(spark, "language").keep(found.select(*COLUMNS).withColumn(ROW, F.monotonically_increasing_id()))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +52,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that a smaller document has go; a document of which no word is left goes with them.
 
-    A row without an id keeps all and removes nothing; rows of one id do not remove each other's passages.
+    A row without an id keeps all and removes nothing; rows of one id do not remove each other's passages. A null text comes back empty.
     """
     docs = with_rows(docs, Scratch(spark, "passages"))
     out = substring_dedup(docs, keep_unchanged=True).where("n_removed = 0 or n_removed < n_words")
@@ -65,6 +69,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows, repeated ones as documents of their own; a null or empty text is its end id. No rows give no pieces."""
     return pack_documents(spark, docs, Scratch(spark, "pack"))
 
 
