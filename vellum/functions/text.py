@@ -112,6 +112,15 @@ def strip_fence(c: Column) -> Column:
     return trim(F.regexp_replace(F.regexp_replace(trim(c), r"^```(?:json)?\s*", ""), r"\s*```$", ""))
 
 
+def json_answer(c: Column) -> Column:
+    """The JSON object in a model's answer, as a variant: from the first brace to the last, or else the first pair of braces with none inside.
+
+    Null if neither can be parsed.
+    """
+    whole, short = (F.try_parse_json(F.nullif(F.regexp_extract(c, p, 0), F.lit(""))) for p in (r"(?s)\{.*\}", r"\{[^{}]*\}"))
+    return F.coalesce(whole, short)
+
+
 def cut_off(c: Column, most: int) -> Column:
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("…"))).otherwise(c)
 

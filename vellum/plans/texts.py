@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum import streaming
 from vellum.functions import text as T
-from vellum.operators import captions, runs, search
+from vellum.operators import captions, nearest, runs, search
 from vellum.operators.layout import upper_middle
 from vellum.registry import Registry, table
-from vellum.sources import derived
+from vellum.sources import derived, jobs, scratch
 from vellum.sources.derived import ANSWER_SQL, CAPTION_SQL
+from vellum.streaming import snapshots
 
 R = Registry()
 QUESTION = "how do the results change"
@@ -464,6 +467,18 @@ def _(s, d):
     return x.select("event_id", F.from_json("j", "kind string")["kind"].alias("kind"))
 
 
+#: Answers with no object, one, two, a broken one around a whole one, a nested one, and a broken one before a whole one; the same expression in both dialects.
+JSON_ANSWER = """CASE event_id % 6 WHEN 0 THEN 'none here' WHEN 1 THEN concat('Sure! {"kind": "', event_type, '"} done') WHEN 2 THEN concat('{"kind": "', event_type, '"} or {"kind": "b"}')
+  WHEN 3 THEN '{"kind": {"kind": "deep"} broken' WHEN 4 THEN concat('{"list": [1, {"a": 2}], "kind": "', event_type, '", "n": ', event_id, '}') ELSE '{broken} {"kind": "z"}' END"""
+
+
+@R.query("h17_shorter_candidate", f"""WITH a AS (SELECT event_id, {JSON_ANSWER} AS t FROM events), c AS (SELECT event_id, regexp_extract(t, '\\{{.*\\}}', 0, 's') AS l, regexp_extract(t, '\\{{[^{{}}]*\\}}') AS s FROM a),
+j AS (SELECT event_id, CASE WHEN l <> '' AND json_valid(l) THEN l WHEN s <> '' AND json_valid(s) THEN s END AS j FROM c) SELECT event_id, j IS NOT NULL AS parsed, j->>'$.kind' AS kind, CAST(j->>'$.n' AS BIGINT) AS n FROM j""")
+def _(s, d):
+    x = table(s, d, "events").select("event_id", T.json_answer(F.expr(JSON_ANSWER)).alias("j"))
+    return x.select("event_id", F.col("j").isNotNull().alias("parsed"), F.try_variant_get("j", "$.kind", "string").alias("kind"), F.try_variant_get("j", "$.n", "bigint").alias("n"))
+
+
 @R.query("h18_join_line", "SELECT event_id, [event_id % 9, user_id % 4] AS nums FROM events")
 def _(s, d):
     answer = F.concat(F.lit("JOIN: "), F.col("event_id") % 9, F.lit(", "), F.col("user_id") % 4)
@@ -579,6 +594,20 @@ def _(s, d):
     return streaming.before_terminal(table(s, d, "events"), "user_id", "event_id", "event_type", ("purchase",)).select("event_id")
 
 
+FOLLOWED = ["user_id AS key", "event_id AS seq", "CASE WHEN event_id % 97 = 5 THEN 'done' WHEN event_id % 89 = 7 THEN 'error' ELSE event_type END AS kind", "concat(event_type, event_id % 10) AS value"]
+
+
+@R.query("i1_followed_jobs", f"""WITH e AS (SELECT {', '.join(FOLLOWED)} FROM events), s AS (SELECT key, min(seq) AS seq FROM e WHERE seq % 5 = 2 AND key % 3 < 2 GROUP BY 1), k AS (SELECT e.* FROM s JOIN e USING (key, seq)),
+t AS (SELECT e.*, k.seq AS base FROM e LEFT JOIN k USING (key) WHERE (k.seq IS NULL OR e.seq > k.seq) AND coalesce(k.kind, '') NOT IN ('done', 'error')),
+u AS (SELECT *, min(seq) FILTER (WHERE kind IN ('done', 'error')) OVER (PARTITION BY key) AS last FROM t)
+SELECT key, 0 AS n, seq, 'snapshot' AS kind, value FROM k UNION ALL SELECT key, row_number() OVER (PARTITION BY key ORDER BY seq) - CASE WHEN base IS NULL THEN 1 ELSE 0 END, seq, kind, value FROM u WHERE last IS NULL OR seq <= last""")
+def _(s, d):
+    """Two of three users have a snapshot; each shows it, then its events up to the first that ends it."""
+    x = table(s, d, "events").selectExpr(*FOLLOWED)
+    known = x.where("seq % 5 = 2 and key % 3 < 2").groupBy("key").agg(F.min(F.struct("seq", "kind", "value")).alias("s")).select("key", "s.*")
+    return snapshots.snapshot_then_deltas(x, known)
+
+
 @R.query("i1_snapshot_then_deltas", "SELECT user_id, count(*) FILTER (WHERE event_id < 500) AS snapshot, count(*) FILTER (WHERE event_id >= 500) AS deltas FROM events GROUP BY 1")
 def _(s, d):
     x = table(s, d, "events")
@@ -687,6 +716,21 @@ def _(s, d):
     return x.select("p_partkey", (F.col("model").isNotNull() & F.col("projector").isNotNull()).alias("installed"))
 
 
+#: Models in folders, some in a folder below, and projectors beside them or one folder up; the same expressions in both dialects.
+MODEL_ROWS = ["p_partkey AS id", "concat('m/d', p_partkey % 41, CASE WHEN p_partkey % 3 = 0 THEN '/q4' WHEN p_partkey % 7 = 0 THEN '/q8' ELSE '' END) AS folder", "lower(concat(p_name, '-', p_partkey % 9)) AS name"]
+PROJECTOR_ROWS = ["concat('m/d', p_partkey % 41, CASE WHEN p_partkey % 10 = 0 THEN '/q4' ELSE '' END) AS key", "lower(concat(p_name, CASE WHEN p_partkey % 4 = 0 THEN '-f16' ELSE '' END)) AS name", "p_partkey AS item"]
+
+
+@R.query("c10_projectors_in_folders", f"""WITH m AS (SELECT {', '.join(MODEL_ROWS)} FROM part), p AS (SELECT {', '.join(PROJECTOR_ROWS)} FROM part WHERE p_partkey % 5 = 0 AND p_partkey % 41 <> 3),
+f AS (SELECT m.*, EXISTS (SELECT 1 FROM p WHERE key = folder) AS own FROM m), g AS (SELECT *, CASE WHEN own THEN folder ELSE regexp_replace(folder, '/?[^/]*$', '') END AS look FROM f),
+x AS (SELECT id, folder, own, g.name, p.item, p.name AS pn, len([i FOR i IN range(1, least(length(g.name), length(p.name)) + 1) IF g.name[:i] = p.name[:i]]) AS shared FROM g JOIN p ON key = look),
+b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY shared DESC, pn, item) AS rn FROM x)
+SELECT m.id, m.folder, m.name, item, shared, CASE WHEN item IS NOT NULL THEN CASE WHEN own THEN 0 ELSE 1 END END AS tier FROM m LEFT JOIN (SELECT * FROM b WHERE rn = 1) b ON b.id = m.id""")
+def _(s, d):
+    part = table(s, d, "part")
+    return nearest.best_in_folders(part.selectExpr(*MODEL_ROWS), part.where("p_partkey % 5 = 0 and p_partkey % 41 <> 3").selectExpr(*PROJECTOR_ROWS))
+
+
 @R.query("c10_best_projector", """WITH m AS (SELECT p_partkey, p_brand, p_name FROM part WHERE p_partkey % 2 = 0), p AS (SELECT p_partkey AS k, p_brand, p_name AS pn FROM part WHERE p_partkey % 2 = 1),
 j AS (SELECT m.p_partkey, k, CAST(len([n for n in range(1, least(length(p_name), length(pn)) + 1) if p_name[1:n] = pn[1:n]]) AS BIGINT) AS lcp FROM m JOIN p USING (p_brand))
 SELECT p_partkey, k, lcp FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY lcp DESC, k) AS rn FROM j) WHERE rn = 1""")
@@ -731,6 +775,17 @@ def _(s, d):
     return x.select("doc_id", (F.row_number().over(order).cast("long") - 1).alias("i"), F.col("k").alias("parent"), "text")
 
 
+@R.query("k6_jobs_left", "SELECT source AS job, doc_id, n_chars + CASE WHEN source = 'src5' THEN 1000000 ELSE 0 END AS n_chars FROM documents WHERE source NOT IN ('src1', 'src4') UNION ALL SELECT 'new-job', doc_id, 0 FROM documents WHERE source = 'src4' AND doc_id % 2 = 0")
+def _(s, d):
+    """Jobs by source in a folder; one is replaced, one is added, two are deleted, and what is left is read again."""
+    x = docs(s, d).where("source is not null").selectExpr("source job", "doc_id", "n_chars")
+    folder = jobs.JobFolder(s, f"{scratch.root(s)}/jobs-{uuid.uuid4().hex}")
+    folder.replace(x)
+    folder.replace(x.where("job = 'src5'").selectExpr("job", "doc_id", "n_chars + 1000000 n_chars").unionByName(x.where("job = 'src4' and doc_id % 2 = 0").selectExpr("'new-job' job", "doc_id", "0L n_chars")))
+    folder.delete(["src1", "src4", "no-such-job"])
+    return folder.read("doc_id bigint, n_chars bigint").select("job", "doc_id", "n_chars")
+
+
 @R.query("k6_delete_job", "SELECT count(*) AS n FROM documents WHERE source <> 'src5'")
 def _(s, d):
     return docs(s, d).where("source <> 'src5'").agg(F.count(F.lit(1)).alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import re
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +64,73 @@ def replace_jobs(jobs: DataFrame, path: str) -> None:
     jobs.withColumn("job", F.col("id")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job").json(path)
 
 
+class JobFolder:
+    """A folder with a partition `job=<id>` to each job, in which jobs are replaced and deleted as a whole.
+
+    New partitions are written aside and moved into place when all of them are complete; what they replace, and what is deleted, is first
+    moved aside, then removed. A move is one rename. Whoever stops between two steps leaves jobs that are old, new or, for
+    the time between two renames, absent: `recover` finishes what was complete and forgets what was not. Readers don't see what lies aside.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, kind: str = "parquet") -> None:
+        self.spark, self.path, self.kind = spark, path.rstrip("/"), kind
+        self.jvm = spark.sparkContext._jvm
+        self.fs = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, path: str):
+        return self.jvm.org.apache.hadoop.fs.Path(path)
+
+    def _names(self, path: str) -> list[str]:
+        return sorted(f.getPath().getName() for f in self.fs.listStatus(self._at(path))) if self.fs.exists(self._at(path)) else []
+
+    def _move(self, source: str, target: str) -> None:
+        self.fs.mkdirs(self._at(target).getParent())
+        if not self.fs.rename(self._at(source), self._at(target)):
+            raise OSError(f"{source} could not be moved to {target}")
+
+    def _aside(self, name: str) -> None:
+        if self.fs.exists(self._at(f"{self.path}/{name}")):
+            self._move(f"{self.path}/{name}", f"{self.path}/_gone/{uuid.uuid4().hex}/{name}")
+
+    def replace(self, jobs: DataFrame) -> None:
+        """Rows (job, ...) take the place of all rows of the same jobs; other jobs stay. Rows without a job are an error."""
+        if not jobs.where("job is null").isEmpty():
+            raise ValueError("a row without a job")
+        run = f"{self.path}/_staged/{uuid.uuid4().hex}"
+        jobs.write.partitionBy("job").format(self.kind).save(run)  # its _SUCCESS file says that it is complete
+        self._settle(run)
+        self._purge()
+
+    def delete(self, ids: list[str]) -> None:
+        """K6: the jobs of these ids go; ids that no job has are passed over."""
+        for i in ids:
+            if not JOB_ID.fullmatch(i):
+                raise ValueError(f"bad job id {i!r}")
+            self._aside(f"job={i}")
+        self._purge()
+
+    def recover(self) -> None:
+        """After a stop: complete runs are moved into place, others are removed, and so is what was moved aside."""
+        for run in self._names(f"{self.path}/_staged"):
+            if self.fs.exists(self._at(f"{self.path}/_staged/{run}/_SUCCESS")):
+                self._settle(f"{self.path}/_staged/{run}")
+        self._purge()
+
+    def _settle(self, run: str) -> None:
+        for name in self._names(run):
+            if name.startswith("job="):
+                self._aside(name)
+                self._move(f"{run}/{name}", f"{self.path}/{name}")
+
+    def _purge(self) -> None:
+        for name in ("_staged", "_gone"):
+            self.fs.delete(self._at(f"{self.path}/{name}"), True)
+
+    def read(self, schema: str) -> DataFrame:
+        """All jobs; `schema` without the partition, which comes as the column job."""
+        return self.spark.read.schema(f"{schema}, job string").format(self.kind).load(self.path)
+
+
 def export_bundle(state: bytes, job_id: str, files: dict[str, bytes]) -> bytes:
     """A zip with <id>/state.json and the job's files; images are stored, the rest deflated."""
     out = io.BytesIO()
