@@ -11,6 +11,7 @@ CAPTION_HEAD = (
     r"^\s*(?:<[^>]+>\s*)*(?:(?i:supplementary)\s+|(?i:suppl?)\.?\s+|補足\s*|副\s*)?((?i:Fig(?:ure)?s?\.?|Scheme|Table|Tab\.?)|図|表)\s*"
     r"([Ss]?[0-9]+[A-Za-z]?(?:[-–][Ss]?[0-9]+[A-Za-z]?)?)(?:\s*[.:：|]|\s+[A-Z]|\s*$)"
 )
+CAPTION_START = r"^(?i:(?:supplementary\s+|extended\s+data\s+)?(?:fig(?:ure)?s?\.?|table|図|表)\s*S?[0-9])"
 LEGEND_MARK = r"((?i:Fig(?:ure)?s?\.?|Scheme|Table|Tab\.?)|図|表)\s*([Ss]?[0-9]+[A-Za-z]?)\s*[.:：]\s*"
 REFERENCES_START = r"^(?i:references?|bibliography|参考文献)[\s.:：]*$"
 REFERENCES_END = (
@@ -32,7 +33,8 @@ def trim(c: Column) -> Column:
 
 def plain(c: Column) -> Column:
     """Without markup, white space runs as one space, trimmed; a null is empty."""
-    bare = F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", "")
+    text = F.coalesce(c, F.lit(""))
+    bare = F.when(F.contains(text, F.lit("<")), F.regexp_replace(text, "<[^>]+>", "")).otherwise(text)
     return trim(F.regexp_replace(bare, r"\s+", " "))
 
 
@@ -49,11 +51,10 @@ def sentence_pieces(c: Column) -> Column:
     full-width stops always. An initial ends no sentence: such pieces are joined with what follows.
     """
     close = r"[\"'”’)\]]*(?:<sup>[^<]{0,40}</sup>)?(?:</(?:i|b|sup|sub)>)?"
-    cut = F.regexp_replace(c, r"([.!?]" + close + r"\s+)(?=\S)", "$1" + MARK)
-    cut = F.regexp_replace(cut, r"(?<=[a-z]{2})([.!?]" + close + r")(?=[A-Z])", "$1" + MARK)
-    cut = F.regexp_replace(cut, r"([。！？]\s*)(?=\S)", "$1" + MARK)
-    # no cut after an initial, nor before white space alone
-    cut = F.regexp_replace(cut, r"((?:^|[\s(\[.\-" + MARK + r"])[A-Z]\." + close + r"\s*)" + MARK, "$1")
+    cut = F.regexp_replace(c, rf"(?:[.!?]{close}\s+|(?<=[a-z]{{2}})[.!?]{close}(?=[A-Z])|[。！？]\s*)(?=\S)", "$0" + MARK)
+    # no cut after an initial; of initials in a row every other one is found, so twice
+    for _ in range(2):
+        cut = F.regexp_replace(cut, rf"((?:^|[\s(\[.\-{MARK}])[A-Z]\.{close}\s*){MARK}", "$1")
     return F.filter(F.split(cut, MARK), lambda p: p != "")
 
 
@@ -131,10 +132,13 @@ def wrap_styles(text: Column, styles: Column) -> Column:
     return text
 
 
-def span_styles(flags: Column, font: Column, size: Column, base: Column, y_mid: Column, line_mid: Column) -> Column:
+def span_styles(flags: Column, font: Column, size: Column, base: Column, y_mid: Column, line_mid: Column, text: Column | None = None) -> Column:
+    """Styles of a span, the inner first. A size of 0 or null counts as the base; a span whose text is given and blank has none."""
     raised = flags.bitwiseAND(1) > 0
+    size = F.coalesce(F.nullif(size, F.lit(0.0)), base)
+    solid = F.lit(True) if text is None else F.coalesce(text.rlike(r"\S"), F.lit(False))
     small = ~raised & (size < base * F.lit(0.78))
-    return F.array_compact(
+    styles = F.array_compact(
         F.array(
             F.when((flags.bitwiseAND(2) > 0) | font.rlike("[Ii]talic|[Oo]blique"), "italic"),
             F.when((flags.bitwiseAND(16) > 0) | font.rlike("[Bb]old|BOLD|Black|Heavy|Semi[Bb]old|Demi"), "bold"),
@@ -142,6 +146,7 @@ def span_styles(flags: Column, font: Column, size: Column, base: Column, y_mid:
             F.when(small & (y_mid - line_mid > base * F.lit(0.1)), "sub"),
         )
     )
+    return F.when(solid, styles).otherwise(F.array().cast("array<string>"))
 
 
 def common_prefix(a: Column, b: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Window as W
@@ -32,7 +33,11 @@ def docs(s, d):
 
 
 def pieces(s, d, places=True):
-    return runs.pieces(docs(s, d), places)
+    x = docs(s, d)
+    cores = s.sparkContext.defaultParallelism
+    if not places and x.rdd.getNumPartitions() < cores:  # a small file of one row group: cutting costs more than dealing it out
+        x = x.select("doc_id", "text").repartition(cores)
+    return runs.pieces(x, places)
 
 
 @R.query("h1_candidate_cuts", f'WITH {PIECE_SQL} SELECT doc_id, k, p, start, "end" FROM piece')
@@ -40,6 +45,20 @@ def _(s, d):
     return pieces(s, d)
 
 
+#: Texts that take every branch of the cutting rule, and the whole rule in SQL: marks at all candidates, then those after initials go.
+CUT_TEXT = """CASE doc_id % 6 WHEN 0 THEN concat(text, ' He met J. K. L. Smith (A. Bee) there.Then v3.14 ended. . "So." Yes!') WHEN 1 THEN concat('はい。次へ！ えっ？', text, '終。') WHEN 2 THEN concat('It rose.<sup>1,2</sup> Then <i>fell.</i> Up?”Down ab.”Cd. ', text)
+  WHEN 3 THEN concat(replace(text, '. ', '.'), ' U.S.A policy. [B. c] -D. e S.L. F.  ') WHEN 4 THEN concat('X. ', text, '.  ') ELSE text END"""
+WHOLE_SQL = f"""src AS (SELECT doc_id, {CUT_TEXT} AS text FROM documents),
+m AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([.!?]{CLOSE}\\s+)', '\\1' || chr(1), 'g'), '([a-z]{{2}}[.!?]{CLOSE})([A-Z])', '\\1' || chr(1) || '\\2', 'g'), '([。！？]\\s*)', '\\1' || chr(1), 'g'), chr(1) || '\\s*$', ''), chr(1)) AS l FROM src),
+c AS (SELECT doc_id, n, l[n] AS p, n = 1 OR NOT regexp_matches(right(array_to_string(l[1:n - 1], ''), 150), '(?:^|[\\s(\\[.\\-])[A-Z]\\.{CLOSE}\\s*$') AS begins FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS n FROM m)),
+g AS (SELECT *, sum(begins::INT) OVER (PARTITION BY doc_id ORDER BY n) - 1 AS k FROM c)"""
+
+
+@R.query("h1_all_cuts", f"WITH {WHOLE_SQL} SELECT doc_id, CAST(k AS BIGINT) AS k, string_agg(p, '' ORDER BY n) AS p FROM g GROUP BY 1, 2")
+def _(s, d):
+    return runs.pieces(docs(s, d).select("doc_id", F.expr(CUT_TEXT).alias("text")), places=False)
+
+
 @R.query("h2_piece_listing", f"WITH {PIECE_SQL} SELECT doc_id, string_agg('[' || (k + 1) || '] ' || trim(p), chr(10) ORDER BY k) AS listing FROM piece GROUP BY doc_id")
 def _(s, d):
     x = pieces(s, d).select("doc_id", "k", F.concat(F.lit("["), F.col("k") + 1, F.lit("] "), F.trim("p")).alias("t"))
@@ -139,12 +158,12 @@ def _(s, d):
 
 @R.query("d8_sentences_by_paragraph", f"WITH {PIECE_SQL} SELECT doc_id, k // 5 AS p, min(k) AS first, count(*) AS n FROM piece GROUP BY 1, 2")
 def _(s, d):
-    return pieces(s, d).groupBy("doc_id", F.expr("k div 5 p")).agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("n"))
+    return pieces(s, d, places=False).groupBy("doc_id", F.expr("k div 5 p")).agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("n"))
 
 
 @R.query("d9_paragraph_histogram", f"WITH {PIECE_SQL} SELECT n, count(*) AS paragraphs FROM (SELECT doc_id, k // 5, count(*) AS n FROM piece GROUP BY 1, 2) GROUP BY n")
 def _(s, d):
-    return pieces(s, d).groupBy("doc_id", F.expr("k div 5 p")).agg(F.count(F.lit(1)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("paragraphs"))
+    return pieces(s, d, places=False).groupBy("doc_id", F.expr("k div 5 p")).agg(F.count(F.lit(1)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("paragraphs"))
 
 
 @R.query("c1_translation_join", f"WITH {PIECE_SQL} SELECT a.doc_id, a.k, coalesce(b.t, '[translation failed]') AS target FROM piece a LEFT JOIN (SELECT doc_id, k, reverse(p) AS t FROM piece WHERE k % 7 <> 3) b USING (doc_id, k)")
@@ -180,14 +199,14 @@ def _(s, d):
 
 @R.query("c19_dense_index", f"WITH {PIECE_SQL}, m AS (SELECT doc_id, k, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS dense FROM piece WHERE k % 3 > 0) SELECT doc_id, dense, k AS original FROM m WHERE dense IN (0, 2, 99)")
 def _(s, d):
-    m = pieces(s, d).where("k % 3 > 0").withColumn("dense", F.row_number().over(W.partitionBy("doc_id").orderBy("k")).cast("long") - 1)
+    m = pieces(s, d, places=False).where("k % 3 > 0").withColumn("dense", F.row_number().over(W.partitionBy("doc_id").orderBy("k")).cast("long") - 1)
     asked = s.createDataFrame([(0,), (2,), (99,)], "dense long")
     return m.join(asked, "dense").select("doc_id", "dense", F.col("k").alias("original"))
 
 
 @R.query("e7_renumber", f"WITH {PIECE_SQL} SELECT doc_id, k, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS i FROM piece WHERE k % 4 <> 2")
 def _(s, d):
-    return pieces(s, d).where("k % 4 <> 2").select("doc_id", "k", (F.row_number().over(W.partitionBy("doc_id").orderBy("k")).cast("long") - 1).alias("i"))
+    return pieces(s, d, places=False).where("k % 4 <> 2").select("doc_id", "k", (F.row_number().over(W.partitionBy("doc_id").orderBy("k")).cast("long") - 1).alias("i"))
 
 
 @R.query("e4_reference_section", f"""WITH {PIECE_SQL}, r AS (SELECT doc_id, k AS i, CASE WHEN k % 11 = 3 THEN 'References' WHEN k % 11 = 7 THEN 'Methods' ELSE p END AS text, CASE WHEN k % 5 = 0 THEN 'caption' END AS label FROM piece),
@@ -222,7 +241,7 @@ def _(s, d):
 @R.query("b4_exclude_paragraphs", f"""WITH {PIECE_SQL}, p AS (SELECT DISTINCT doc_id, k // 5 AS p FROM piece), x AS (SELECT doc_id, count(*) FILTER (WHERE p % 3 = 0) <= 0.5 * count(*) AS ok FROM p GROUP BY 1)
 SELECT doc_id, p FROM p JOIN x USING (doc_id) WHERE NOT (ok AND p % 3 = 0)""")
 def _(s, d):
-    p = pieces(s, d).selectExpr("doc_id", "k div 5 p").distinct()
+    p = pieces(s, d, places=False).selectExpr("doc_id", "k div 5 p").distinct()
     drop = p.where("p % 3 = 0")
     ok = p.groupBy("doc_id").agg((F.count(F.when(F.col("p") % 3 == 0, 1)) <= 0.5 * F.count(F.lit(1))).alias("ok"))
     return p.join(drop.join(ok.where("ok"), "doc_id").select("doc_id", "p"), ["doc_id", "p"], "left_anti")
@@ -331,6 +350,20 @@ def _(s, d):
     return heads(s, d).select("p_partkey", "word", "kind", "number")
 
 
+#: Heads in all their words and separators; the same expression in both dialects.
+HEAD_TEXT = """concat(element_at(array('', ' ', '<b>', '補足 ', '副', 'Suppl. ', 'SUPPLEMENTARY '), cast(p_partkey % 7 + 1 as int)), element_at(array('図', '表', 'Scheme ', 'figs. ', 'TAB', 'Table ', 'fig'), cast(p_partkey div 7 % 7 + 1 as int)),
+  element_at(array('', 'S', 's'), cast(p_partkey % 3 + 1 as int)), p_partkey % 13, element_at(array('', 'a', 'b-4', 'c–S5d', '-'), cast(p_partkey % 5 + 1 as int)), element_at(array('：', ' | ', '. ', ' Next', ' next', '', ':', '  '), cast(p_partkey div 5 % 8 + 1 as int)))"""
+HEAD_TEXT_SQL = re.sub(r"element_at\(array\(([^()]*)\), cast\(([^()]*) as int\)\)", r"[\1][CAST(\2 AS INT)]", HEAD_TEXT).replace(" div ", " // ")
+WHOLE_HEAD = "'^\\s*(?:<[^>]+>\\s*)*(?:(?i:supplementary)\\s+|(?i:suppl?)\\.?\\s+|補足\\s*|副\\s*)?((?i:Fig(?:ure)?s?\\.?|Scheme|Table|Tab\\.?)|図|表)\\s*([Ss]?[0-9]+[A-Za-z]?(?:[-–][Ss]?[0-9]+[A-Za-z]?)?)(?:\\s*[.:：|]|\\s+[A-Z]|\\s*$)'"
+
+
+@R.query("h6_all_heads", f"""WITH t AS (SELECT p_partkey, {HEAD_TEXT_SQL} AS t FROM part) SELECT p_partkey, t, CASE WHEN h THEN w END AS word, CASE WHEN h THEN CASE WHEN lower(w[1:3]) = 'tab' OR w = '表' THEN 'table' ELSE 'figure' END END AS kind, CASE WHEN h THEN n END AS number, starts
+  FROM (SELECT *, regexp_matches(t, {WHOLE_HEAD}) AS h, regexp_extract(t, {WHOLE_HEAD}, 1) AS w, regexp_extract(t, {WHOLE_HEAD}, 2) AS n, regexp_matches(t, '^(?i:(?:supplementary\\s+|extended\\s+data\\s+)?(?:fig(?:ure)?s?\\.?|table|図|表)\\s*S?[0-9])') AS starts FROM t)""")
+def _(s, d):
+    x = table(s, d, "part").select("p_partkey", F.expr(HEAD_TEXT).alias("t"))
+    return x.select("p_partkey", "t", T.caption_head(F.col("t")).alias("h"), F.col("t").rlike(T.CAPTION_START).alias("starts")).select("p_partkey", "t", "h.word", "h.kind", "h.number", "starts")
+
+
 @R.query("h7_legend_scan", f"WITH {CAPTION_SQL} SELECT p_partkey, regexp_extract(text, '((?i:Fig(?:ure)?s?\\.?|Scheme|Table|Tab\\.?))\\s*([Ss]?[0-9]+[A-Za-z]?)\\s*[.:：]\\s*', 2) AS number FROM cap WHERE regexp_matches(text, '((?i:Fig(?:ure)?s?\\.?|Scheme|Table|Tab\\.?))\\s*([Ss]?[0-9]+[A-Za-z]?)\\s*[.:：]\\s*')")
 def _(s, d):
     x = derived.captions(table(s, d, "part"))
@@ -344,7 +377,7 @@ def _(s, d):
 
 @R.query("h9_caption_start", f"WITH {CAPTION_SQL} SELECT p_partkey, regexp_matches(text, '^(?i:(?:supplementary\\s+|extended\\s+data\\s+)?(?:fig(?:ure)?s?\\.?|table)\\s*S?[0-9])') AS starts FROM cap")
 def _(s, d):
-    return derived.captions(table(s, d, "part")).select("p_partkey", F.col("text").rlike(r"^(?i:(?:supplementary\s+|extended\s+data\s+)?(?:fig(?:ure)?s?\.?|table|図|表)\s*S?[0-9])").alias("starts"))
+    return derived.captions(table(s, d, "part")).select("p_partkey", F.col("text").rlike(T.CAPTION_START).alias("starts"))
 
 
 @R.query("d12_longest_legend", f"WITH {HEAD_SQL} SELECT kind, number, p_partkey, text FROM (SELECT *, row_number() OVER (PARTITION BY kind, number ORDER BY length(text) DESC, p_partkey) AS rn FROM (SELECT *, CASE WHEN lower(word[1:3]) = 'tab' THEN 'table' ELSE 'figure' END AS kind FROM head)) WHERE rn = 1")
@@ -376,6 +409,15 @@ def _(s, d):
     return y.select("p_partkey", F.coalesce(F.nullif(F.col("tr"), F.lit("")), F.nullif(F.col("legend"), F.lit("")), "text").alias("caption"))
 
 
+@R.query("c3_legends_by_kind", f"WITH {HEAD_SQL}, h AS (SELECT *, CASE WHEN lower(word[1:3]) = 'tab' THEN 'table' ELSE 'figure' END AS kind FROM head), b AS (SELECT kind, number, max(text) FILTER (WHERE p_partkey % 5 = 0) AS legend, max(upper(text)) FILTER (WHERE p_partkey % 11 = 0) AS tr FROM h GROUP BY 1, 2) SELECT p_partkey, kind, coalesce(nullif(tr, ''), nullif(legend, ''), text) AS caption FROM h JOIN b USING (kind, number)")
+def _(s, d):
+    """C3 by kind and number: the translation, or else the legend, or else the caption's own text; one aggregate for both, joined once."""
+    x = heads(s, d)
+    best = x.groupBy("kind", "number").agg(F.max(F.when(F.col("p_partkey") % 5 == 0, F.col("text"))).alias("legend"), F.max(F.when(F.col("p_partkey") % 11 == 0, F.upper("text"))).alias("tr"))
+    y = x.join(best, ["kind", "number"])
+    return y.select("p_partkey", "kind", F.coalesce(F.nullif(F.col("tr"), F.lit("")), F.nullif(F.col("legend"), F.lit("")), "text").alias("caption"))
+
+
 @R.query("c21_first_legend", f"WITH {HEAD_SQL} SELECT number, arg_min(text, p_partkey) AS text FROM head GROUP BY number")
 def _(s, d):
     first = F.row_number().over(W.partitionBy("number").orderBy("p_partkey"))
@@ -434,6 +476,14 @@ def _(s, d):
     return x.select("event_id", T.span_styles(F.col("flags"), F.col("font"), F.col("value"), ten, F.col("value"), F.lit(5.0)).alias("styles"))
 
 
+@R.query("h11_blank_spans", """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN [] ELSE [x for x in [CASE WHEN event_id % 8 & 2 > 0 THEN 'italic' END, CASE WHEN event_id % 32 & 16 > 0 THEN 'bold' END, CASE WHEN event_id % 2 = 1 OR (s < 7.8::DOUBLE AND value - 5 < -1) THEN 'super' END,
+  CASE WHEN event_id % 2 = 0 AND s < 7.8::DOUBLE AND value - 5 > 1 THEN 'sub' END] if x IS NOT NULL] END AS styles FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN 10.0::DOUBLE ELSE value END AS s FROM events)""")
+def _(s, d):
+    """Spans without text have no style; a size of 0 or null is the line's."""
+    x = table(s, d, "events").selectExpr("event_id", "cast(event_id % 32 as int) flags", "case when event_id % 5 = 0 then element_at(array('', ' \\t', null), cast(event_id % 3 + 1 as int)) else 'x' end text", "case when event_id % 6 = 0 then 0.0D when event_id % 3 > 0 then value end size", "value")
+    return x.select("event_id", T.span_styles(F.col("flags"), F.lit("Times"), F.col("size"), F.lit(10.0), F.col("value"), F.lit(5.0), F.col("text")).alias("styles"))
+
+
 @R.query("h12_wrapped_styles", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '<b>' ELSE '' END || CASE WHEN event_id % 2 = 0 THEN '<i>' || event_type || '</i>' ELSE event_type END || CASE WHEN event_id % 3 = 0 THEN '</b>' ELSE '' END AS html FROM events")
 def _(s, d):
     styles = F.array_compact(F.array(F.when(F.col("event_id") % 2 == 0, "italic"), F.when(F.col("event_id") % 3 == 0, "bold")))
