@@ -44,7 +44,7 @@ def region_graphics(region: DataFrame, image: DataFrame, drawing: DataFrame, pag
     two points across or down; drawings of nine tenths of the page (doc_id, area) are its ground. An empty region has none.
     """
     box = lambda *more: F.struct(*more, *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
-    inked = drawing.join(page.select("doc_id", "area"), "doc_id").where((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) < F.col("area") * 0.9)
+    inked = _inked(drawing, page)
     shown = image.select("doc_id", box(F.lit(True).alias("image")).alias("b")).unionByName(inked.select("doc_id", box(F.lit(False).alias("image")).alias("b")))
     pair = meeting_boxes(region.select("doc_id", box("region").alias("a")), shown)
     across, down = F.least("a.x1", "b.x1") - F.greatest("a.x0", "b.x0"), F.least("a.y1", "b.y1") - F.greatest("a.y0", "b.y0")
@@ -126,3 +126,65 @@ def continuations(table: DataFrame, page: DataFrame, most: int = 20) -> DataFram
     box = F.when(F.col("n") < F.col("stop.n"), F.struct("at", "x0", "y0", "x1", "y1"))
     out = x.groupBy("doc_id", "page_no", "left", "right").agg(F.array_sort(F.collect_list(box)).alias("boxes"), F.max("stop").alias("stop"))
     return out.select("doc_id", "page_no", (F.col("stop.n") - 1).cast("long").alias("pages"), "boxes", F.col("stop.why").alias("stopped"))
+
+
+def _inked(drawing: DataFrame, page: DataFrame) -> DataFrame:
+    """Drawings without those that are a page's ground."""
+    return drawing.join(page.select("doc_id", "area"), "doc_id").where((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) < F.col("area") * 0.9).drop("area")
+
+
+def content_boxes(ranges: DataFrame, block: DataFrame, drawing: DataFrame, page: DataFrame, step: float = 64.0) -> DataFrame:
+    """Rows (doc_id, r, x0, y0, x1, y1): the box of text and rules in vertical ranges (doc_id, r, top, bottom), cut to them; none where there is nothing."""
+    box = ["doc_id", "x0", "y0", "x1", "y1"]
+    rects = block.where(F.col("text").rlike(r"\S")).select(*box).unionByName(_inked(drawing, page).select(*box))
+    hit = overlapping(ranges.select("doc_id", "r", "top", "bottom"), rects, "doc_id", "top", "bottom", "y0", "y1", step)
+    return hit.groupBy("doc_id", "r").agg(F.min("x0").alias("x0"), F.greatest(F.min("y0"), F.max("top")).alias("y0"), F.max("x1").alias("x1"), F.least(F.max("y1"), F.max("bottom")).alias("y1"))
+
+
+def graphics_boxes(ranges: DataFrame, image: DataFrame, drawing: DataFrame, block: DataFrame, page: DataFrame, step: float = 64.0) -> DataFrame:
+    """C11: rows (doc_id, r, x0, y0, x1, y1): the box of what is drawn in vertical ranges, with the text that lies on it.
+
+    One image is enough, drawings (more than two points wide or high, not the ground) count beside it, or alone if there are
+    three. Blocks of text then extend the box one after the other, in order of their numbers: what overlaps the box so far is taken
+    in, so the order matters; a range's blocks are folded together, as many as a page has. Boxes are cut to their range.
+    """
+    box = ["doc_id", "x0", "y0", "x1", "y1"]
+    inked = _inked(drawing, page).where("x1 - x0 > 2 or y1 - y0 > 2")
+    rects = image.select(*box, F.lit(1).alias("image")).unionByName(inked.select(*box, F.lit(0).alias("image")))
+    span = ranges.where("bottom > top").select("doc_id", "r", "top", "bottom")
+    seed = overlapping(span, rects, "doc_id", "top", "bottom", "y0", "y1", step).groupBy("doc_id", "r", "top", "bottom").agg(
+        F.min("x0").alias("x0"), F.greatest(F.col("top"), F.min("y0")).alias("y0"), F.max("x1").alias("x1"), F.least(F.col("bottom"), F.max("y1")).alias("y1"), F.sum("image").alias("images"), F.count(F.lit(1)).alias("n")
+    )
+    seed = seed.where("images > 0 or n >= 3").select("doc_id", "r", "top", "bottom", F.struct("x0", "y0", "x1", "y1").alias("seed"))
+    text = overlapping(span, block.select("block", *box), "doc_id", "top", "bottom", "y0", "y1", step)
+    text = text.groupBy("doc_id", "r").agg(F.array_sort(F.collect_list(F.struct("block", "x0", "y0", "x1", "y1"))).alias("texts"))
+
+    def extended(b: Column, t: Column) -> Column:
+        on = (t["x1"] > b["x0"]) & (t["x0"] < b["x1"]) & (t["y1"] > b["y0"]) & (t["y0"] < b["y1"])
+        grown = F.struct(F.least(b["x0"], t["x0"]).alias("x0"), F.greatest(F.col("top"), F.least(b["y0"], t["y0"])).alias("y0"), F.greatest(b["x1"], t["x1"]).alias("x1"), F.least(F.col("bottom"), F.greatest(b["y1"], t["y1"])).alias("y1"))
+        return F.when(on, grown).otherwise(b)
+
+    x = seed.join(text, ["doc_id", "r"], "left")
+    return x.select("doc_id", "r", F.aggregate(F.coalesce("texts", F.array()), F.col("seed"), extended).alias("b")).select("doc_id", "r", "b.*")
+
+
+def table_regions(caption: DataFrame, block: DataFrame, line: DataFrame, drawing: DataFrame, page: DataFrame) -> DataFrame:
+    """Rows (doc_id, caption, x0, y0, x1, y1): the regions of tables under their captions.
+
+    `caption` has (doc_id, caption, is_table, y0, y1), `page` (doc_id, width, height, area). Below a table's caption its region ends at
+    the next caption that begins lower, or at the page's foot; before that where prose begins, if 30 points of room are left
+    above it. A region of less than 30 points goes, and so does one that does not look like a table. What is left is cut to its
+    content and widened by a margin inside the page.
+    """
+    asks = caption.select("doc_id", "caption", "is_table", (F.col("y1") + 2).alias("at"), F.lit(None).cast("double").alias("start"), F.lit(0).alias("kind"))
+    starts = caption.select("doc_id", F.lit(None).cast(asks.schema["caption"].dataType).alias("caption"), F.lit(False).alias("is_table"), F.col("y0").alias("at"), F.col("y0").alias("start"), F.lit(1).alias("kind"))
+    below = F.first("start", ignorenulls=True).over(W.partitionBy("doc_id").orderBy("at", F.desc("kind")).rowsBetween(1, W.unboundedFollowing))
+    x = asks.unionByName(starts).withColumn("below", below).where("kind = 0 and is_table").join(page, "doc_id")
+    foot = F.col("height") - 10
+    ranges = x.select("doc_id", F.col("caption").alias("r"), F.col("at").alias("top"), F.least(foot, F.coalesce(F.col("below") - 2, foot)).alias("bottom"))
+    prose = first_prose_top(ranges, block, line, page)
+    stop = F.when(F.col("prose_top") - F.col("top") >= 30, F.col("prose_top") - 2).otherwise(F.col("bottom"))
+    ranges = ranges.join(prose, ["doc_id", "r"], "left").withColumn("bottom", stop).drop("prose_top").where("bottom - top >= 30")
+    ranges = ranges.join(looks_like_table(ranges, block, line).where("tabular"), ["doc_id", "r"], "left_semi")
+    found = content_boxes(ranges, block, drawing, page).join(page, "doc_id")
+    return found.select("doc_id", F.col("r").alias("caption"), F.greatest(F.lit(0.0), F.col("x0") - 6).alias("x0"), F.greatest(F.lit(0.0), F.col("y0") - 4).alias("y0"), F.least(F.col("width"), F.col("x1") + 6).alias("x1"), F.least(F.col("height"), F.col("y1") + 4).alias("y1"))

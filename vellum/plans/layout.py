@@ -152,6 +152,55 @@ def _(s, d):
     return tables.looks_like_table(ranges, block, x)
 
 
+REGIONS = f"""{BLOCKS}, cells AS (SELECT doc_id, line_no, block, x0 + CASE WHEN line_no // 16 % 2 = 0 THEN line_no % 3 * 50 ELSE 0 END AS x0, y0, x1, y1, text FROM ln), pg AS (SELECT doc_id, max(x1) AS width, max(y1) + 40 AS height, max(x1) * max(y1) AS area FROM line GROUP BY 1),
+drawing AS (SELECT doc_id, x0 + 5 AS x0, y1 AS y0, x1 + 20 AS x1, CASE WHEN line_no % 2 = 0 THEN y1 ELSE y1 + 25 END AS y1 FROM line WHERE line_no % 5 = 2 UNION ALL SELECT doc_id, 0, 0, max(x1), max(y1) FROM line GROUP BY 1),
+ink AS (SELECT d.* FROM drawing d JOIN pg USING (doc_id) WHERE (x1 - x0) * (y1 - y0) < area * 0.9::DOUBLE)"""
+
+
+def regions(s, d):
+    """Lines (in every other stretch of sixteen shifted into three more columns), blocks, ranges, pages with their areas, and drawings: rules under every fifth line, and the ground."""
+    x, block, _, ranges = blocks(s, d)
+    x = x.withColumn("x0", F.col("x0") + F.when(F.expr("line_no div 16 % 2 = 0"), F.col("line_no") % 3 * 50).otherwise(0))
+    page = line(s, d).groupBy("doc_id").agg(F.max("x1").alias("width"), F.max("y1").alias("h")).selectExpr("doc_id", "width", "h + 40 height", "width * h area")
+    ground = page.selectExpr("doc_id", "0.0D x0", "0.0D y0", "width x1", "height - 40 y1")
+    drawing = line(s, d).where("line_no % 5 = 2").selectExpr("doc_id", "x0 + 5 x0", "y1 y0", "x1 + 20 x1", "case when line_no % 2 = 0 then y1 else y1 + 25 end y1")
+    return x, block, page, ranges, drawing.unionByName(ground)
+
+
+_MEETS = "CASE WHEN b.x1 > a.x0 AND b.x0 < a.x1 AND b.y1 > a.y0 AND b.y0 < a.y1 THEN {'x0': least(a.x0, b.x0), 'y0': greatest(b.t, least(a.y0, b.y0)), 'x1': greatest(a.x1, b.x1), 'y1': least(b.b, greatest(a.y1, b.y1)), 't': b.t, 'b': b.b} ELSE a END"
+
+
+@R.query("c11_graphics_of_ranges", f"""{REGIONS}, image AS (SELECT doc_id, x0 + 30 AS x0, y0 - 20 AS y0, x0 + 90 AS x1, y1 + 10 AS y1 FROM line WHERE bold AND line_no % 2 = 0),
+rects AS (SELECT *, 1 AS image FROM image UNION ALL SELECT *, 0 FROM ink WHERE x1 - x0 > 2 OR y1 - y0 > 2),
+seed AS (SELECT doc_id, r, top, bottom, {{'x0': min(x0), 'y0': greatest(top, min(y0)), 'x1': max(x1), 'y1': least(bottom, max(y1)), 't': top, 'b': bottom}} AS seed FROM range JOIN rects USING (doc_id) WHERE y1 > top AND y0 < bottom GROUP BY 1, 2, 3, 4 HAVING sum(image) > 0 OR count(*) >= 3),
+txt AS (SELECT range.doc_id, r, list({{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 't': top, 'b': bottom}} ORDER BY block) AS l FROM range JOIN block ON block.doc_id = range.doc_id AND y1 > top AND y0 < bottom GROUP BY 1, 2),
+f AS (SELECT doc_id, r, list_reduce(list_prepend(seed, coalesce(l, [])), lambda a, b: {_MEETS}) AS b FROM seed LEFT JOIN txt USING (doc_id, r)) SELECT doc_id, r, b.x0 AS x0, b.y0 AS y0, b.x1 AS x1, b.y1 AS y1 FROM f""")
+def _(s, d):
+    x, block, page, ranges, drawing = regions(s, d)
+    image = line(s, d).where("bold and line_no % 2 = 0").selectExpr("doc_id", "x0 + 30 x0", "y0 - 20 y0", "x0 + 90 x1", "y1 + 10 y1")
+    return tables.graphics_boxes(ranges, image, drawing, block, page)
+
+
+_CELLS = _COLUMNS.replace("FROM ln ", "FROM cells ln ")
+
+
+@R.query("e10_table_regions", f"""{REGIONS}, cap AS (SELECT doc_id, line_no AS caption, line_no % 32 < 16 AS is_table, y0, y1 FROM line WHERE line_no % 16 IN (1, 2)),
+prose AS (SELECT doc_id, y0 FROM block JOIN pg USING (doc_id) WHERE length(block.text) >= 200 AND x1 - x0 >= greatest(width, 1) * 0.6::DOUBLE AND gaps < 2 AND {_CELLS.format(r='block', top='block.y0', bottom='block.y1')} < 3),
+a AS (SELECT doc_id, caption, y1 + 2 AS top, least(height - 10, coalesce((SELECT min(o.y0) - 2 FROM cap o WHERE o.doc_id = cap.doc_id AND o.y0 > cap.y1 + 2), height - 10)) AS bottom FROM cap JOIN pg USING (doc_id) WHERE is_table),
+p AS (SELECT a.*, (SELECT min(y0) FROM prose WHERE prose.doc_id = a.doc_id AND y0 >= top AND y0 < bottom) AS prose_top FROM a),
+q AS (SELECT doc_id, caption, top, CASE WHEN prose_top - top >= 30 THEN prose_top - 2 ELSE bottom END AS bottom FROM p),
+hit AS (SELECT q.doc_id, caption, count(*) AS n, avg(CASE WHEN length(text) < 60 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS short FROM q JOIN block ON block.doc_id = q.doc_id AND y1 > top AND y0 < bottom AND regexp_matches(text, '\\S') GROUP BY 1, 2),
+t AS (SELECT q.* FROM q LEFT JOIN hit USING (doc_id, caption) WHERE bottom - top >= 30 AND ({_CELLS.format(r='q', top='q.top', bottom='q.bottom')} >= 3 OR coalesce(n >= 3 AND short >= 0.5, false))),
+rects AS (SELECT doc_id, x0, y0, x1, y1 FROM block WHERE regexp_matches(text, '\\S') UNION ALL SELECT doc_id, x0, y0, x1, y1 FROM ink),
+c AS (SELECT t.doc_id, caption, min(x0) AS x0, greatest(min(y0), max(top)) AS y0, max(x1) AS x1, least(max(y1), max(bottom)) AS y1 FROM t JOIN rects ON rects.doc_id = t.doc_id AND y1 > top AND y0 < bottom GROUP BY 1, 2)
+SELECT doc_id, caption, greatest(0.0::DOUBLE, x0 - 6) AS x0, greatest(0.0::DOUBLE, y0 - 4) AS y0, least(width, x1 + 6) AS x1, least(height, y1 + 4) AS y1 FROM c JOIN pg USING (doc_id)""")
+def _(s, d):
+    """Captions every sixteenth line, by turns of tables and of figures, two beside each other: prose, columns and content decide where their tables are."""
+    x, block, page, _, drawing = regions(s, d)
+    caption = line(s, d).where("line_no % 16 in (1, 2)").selectExpr("doc_id", "line_no caption", "line_no % 32 < 16 is_table", "y0", "y1")
+    return tables.table_regions(caption, block, x, drawing, page)
+
+
 @R.query("b21_vertical_range", f"{WITH} SELECT doc_id, line_no FROM line WHERE y1 > 100 AND y0 < 200")
 def _(s, d):
     return line(s, d).where("y1 > 100 and y0 < 200").select("doc_id", "line_no")
