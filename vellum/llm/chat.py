@@ -97,7 +97,8 @@ def format_chats(turns: DataFrame, t: Template | None = None) -> DataFrame:
     text or role is empty. The machine gives each turn its state; the state decides the turn's segments and which of
     them bears the loss. `state` is the last one, `out_of_order` counts turns without a move. Invalid conversations
     are formatted all the same, the caller decides. Repeated rows are turns of their own. A null conv_id is one
-    conversation. A conversation is one output value, so its turns meet in one row.
+    conversation. A conversation is one output value, so its turns meet in one row. Other columns are not read and don't
+    come back; an empty table gives an empty result.
     """
     t = t or Template()
     empty = F.lit("")

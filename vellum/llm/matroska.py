@@ -181,7 +181,11 @@ def padded(text: str | None) -> bytes:
 
 
 def media(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n_bytes, media): the whole text as a Matroska file. A null text is empty, one frame of padding."""
+    """Rows (doc_id, n_bytes, media): the whole text as a Matroska file. A null text is empty, one frame of padding.
+
+    Each row is a file of its own, repeated rows and rows without an id too. Other columns are not read and don't come back; an
+    empty table gives an empty result. A text and its file are in a task's memory as a whole.
+    """
 
     def run(batches):
         for b in batches:

@@ -331,7 +331,8 @@ def ngram_components(docs: DataFrame, scratch: Scratch, size: int = 5, num: int
     whole sequence if it is shorter. Two sets link if den * |intersection| >= num * |union|. Null and blank texts have an
     empty set and link with nothing; so does a row without an id, whose component is null. Repeated rows are
     copies; rows that share an id but not the text are each judged by their own text. Shingles are compared by 64-bit
-    hashes.
+    hashes. Other columns are not read and don't come back, whatever their names; an empty table gives an empty result. A
+    document is one row of a task, however long.
     """
     return _joined(docs, scratch, size, num, den, id_col, text_col, False).drop("n_links")
 
@@ -340,6 +341,6 @@ def ngram_join(docs: DataFrame, scratch: Scratch, size: int = 5, num: int = 80,
     """The join whole: what `ngram_components` gives, and n_links, the number of other rows that a row is linked with.
 
     Rows of equal sets are linked with each other, repeated rows and rows that share an id among them; a row with an
-    empty set or without an id has 0 links.
+    empty set or without an id has 0 links. Other columns don't come back.
     """
     return _joined(docs, scratch, size, num, den, id_col, text_col, True)

@@ -338,7 +338,8 @@ def suffix_dedup(docs: DataFrame, scratch: Scratch, size: int = 400, id_col: str
     removed runs as starts and ends by turns, `kept` the other bytes, which need not be valid UTF-8. A null text is
     empty; texts shorter than `size` keep all. Rows are matched to their text by id; of rows that share an id, or have
     none, each counts as a text of its own: they are told apart by a number of the row. Surroundings of 736 bytes that are
-    equal by a 128-bit digest are one class; the common extensions of different classes are verified by their bytes.
+    equal by a 128-bit digest are one class; the common extensions of different classes are verified by their bytes. Other
+    columns are not read and don't come back, whatever their names; an empty table gives an empty result.
     """
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text"))
     own = docs.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc is null").limit(1).count() > 0
