@@ -94,6 +94,53 @@ def contexts(pages: DataFrame, chars: int = 700) -> DataFrame:
     return pages.withColumn("before", F.right(F.lag("text").over(order), F.lit(chars))).withColumn("after", F.left(F.lead("text").over(order), F.lit(chars)))
 
 
+def paragraph_contexts(para: DataFrame, pages: DataFrame, chars: int = 700) -> DataFrame:
+    """E11 for paragraphs (doc_id, page_no, p, ...): adds `before`, the end of the page before, to the first of each page, and `after`, the beginning
+    of the page after, to the last; empty elsewhere. `pages` has (doc_id, page_no, text)."""
+    page = W.partitionBy("doc_id", "page_no")
+    x = para.withColumns({"first": F.min("p").over(page), "last": F.max("p").over(page)}).join(contexts(pages, chars).drop("text"), ["doc_id", "page_no"], "left")
+    only = lambda c, end: F.when(F.col("p") == F.col(end), F.coalesce(c, F.lit(""))).otherwise("")
+    return x.withColumns({"before": only("before", "first"), "after": only("after", "last")}).drop("first", "last")
+
+
+def paragraph_batches(sentence: DataFrame, budget: int = 6500, each: int = 2500) -> DataFrame:
+    """E5 in paragraphs: rows (doc_id, p, i, src, tgt, label) get `piece`, what is sent of a sentence, and `failed`, whether there was no room for it.
+
+    Sentences that have a translation already, or a label that is not translated, are not sent: their piece is null. The others are cut
+    off at `each` and sent under a head with their number, until the pieces so far exceed the budget; the one that crosses it is sent.
+    """
+    skip = F.coalesce(F.col("label").isin("references", "footnote", "authors", "affiliation", "contact", "formula"), F.lit(False))
+    asks = (F.coalesce("tgt", F.lit("")) == "") & ~skip
+    piece = F.when(asks, F.concat(F.lit("===INPUT BLOCK "), F.col("i"), F.lit("===\n"), T.cut_off(F.col("src"), each)))
+    before = F.coalesce(F.sum(F.length("piece")).over(W.partitionBy("doc_id", "p").orderBy("i").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    x = sentence.withColumn("piece", piece).withColumn("used", before)
+    failed = F.col("piece").isNotNull() & (F.col("used") > budget)
+    return x.withColumn("failed", failed).withColumn("piece", F.when(~F.col("failed"), F.col("piece"))).drop("used")
+
+
+#: Labels whose sentences don't go on over the page (fixed values).
+NO_MERGE = ("title", "heading", "subheading", "abstract_heading", "authors", "affiliation", "contact", "keywords", "caption", "references", "footnote")
+
+
+def page_stitches(sentence: DataFrame) -> DataFrame:
+    """Rows (doc_id, page_no, i, mate_i, merged) where a page's last sentence goes on in the first of the next page.
+
+    `sentence` has (doc_id, page_no, i, src, label). The last must not end a sentence, and both must be body text; a caption goes on too if it
+    ends in mid-sentence and is no mere title, into body text or a caption, but not into the head of another figure.
+    """
+    last = sentence.groupBy("doc_id", "page_no").agg(F.max(F.struct("i", "src", "label")).alias("a"))
+    first = sentence.groupBy("doc_id", (F.col("page_no") - 1).alias("page_no")).agg(F.min(F.struct("i", "src", "label")).alias("b"))
+    bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", "")
+    x = last.join(first, ["doc_id", "page_no"]).withColumns({"end": F.regexp_replace(bare(F.col("a.src")), r"\s+$", ""), "begin": F.regexp_replace(bare(F.col("b.src")), r"^\s+", "")})
+    label = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("body"))
+    title = F.col("end").rlike(T.CAPTION_START) & (F.length("end") < 100) & ~F.contains("end", F.lit(","))
+    goes_on = (label(F.col("a.label")) == "caption") & ~title & F.col("end").rlike(r"[a-z0-9,;:(\-–]$")
+    open_end = (F.col("end") != "") & ~F.col("end").rlike("[.!?。！？]$") & (~label(F.col("a.label")).isin(*NO_MERGE) | goes_on)
+    takes = (~label(F.col("b.label")).isin(*NO_MERGE) | (goes_on & (label(F.col("b.label")) == "caption"))) & ~(goes_on & F.col("begin").rlike(T.CAPTION_START))
+    merged = F.concat(F.regexp_replace("a.src", r"\s+$", ""), F.lit(" "), F.regexp_replace("b.src", r"^\s+", ""))
+    return x.where(open_end & takes).select("doc_id", "page_no", F.col("a.i").alias("i"), F.col("b.i").alias("mate_i"), merged.alias("merged"))
+
+
 def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
     """Rows with their number, from 1, in an order over all of them: ranks within ranges, after the rows of the ranges before.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vellum import streaming
 from vellum.functions import text as T
-from vellum.operators import captions, nearest, runs, search
+from vellum.operators import captions, catalogue, nearest, runs, search
 from vellum.operators.layout import upper_middle
 from vellum.registry import Registry, table
 from vellum.sources import derived, jobs, scratch
@@ -181,6 +181,41 @@ def _(s, d):
     return ends.where(~F.col("tail").rlike(r"[.!?]\s*$")).join(after, "doc_id").select("doc_id", F.concat(F.rtrim("tail"), F.lit(" "), F.ltrim("next")).alias("merged"))
 
 
+#: Pages of twenty to a book; ends without a full stop, captions and headings at both ends; the same expressions in both dialects.
+STITCHED = ["doc_id {div} 20 AS book", "doc_id AS page_no", "k AS i", "CASE WHEN k > 0 AND doc_id % 4 = 3 THEN p WHEN k = 0 AND doc_id % 9 = 2 THEN concat('Fig. 2. ', p) WHEN doc_id % 4 = 2 THEN concat('<b>', {bare}, '</b>') WHEN doc_id % 8 = 1 THEN concat('Fig. 3 ', {bare}) ELSE {bare} END AS src",
+            "CASE (doc_id + k) % 5 WHEN 0 THEN 'caption' WHEN 1 THEN CASE WHEN k % 2 = 0 THEN 'heading' ELSE '' END END AS label"]
+_BARE_SQL = "regexp_replace(p, '[.!?]\\s*$', '')"
+STITCH_SQL = f"""WITH {PIECE_SQL}, s AS (SELECT {', '.join(STITCHED).format(div='//', bare=_BARE_SQL)} FROM piece), a AS (SELECT book, page_no, max(i) AS i, arg_max(src, i) AS src, coalesce(nullif(arg_max(coalesce(label, ''), i), ''), 'body') AS label FROM s GROUP BY 1, 2),
+b AS (SELECT book, page_no - 1 AS page_no, min(i) AS i, arg_min(src, i) AS src, coalesce(nullif(arg_min(coalesce(label, ''), i), ''), 'body') AS label FROM s GROUP BY 1, 2),
+x AS (SELECT a.book, a.page_no, a.i, b.i AS mate_i, a.src, b.src AS next, a.label, b.label AS nl, regexp_replace(regexp_replace(a.src, '<[^>]+>', '', 'g'), '\\s+$', '') AS e, regexp_replace(regexp_replace(b.src, '<[^>]+>', '', 'g'), '^\\s+', '') AS f FROM a JOIN b USING (book, page_no)),
+y AS (SELECT *, label = 'caption' AND NOT (regexp_matches(e, '{{start}}') AND length(e) < 100 AND NOT contains(e, ',')) AND regexp_matches(e, '[a-z0-9,;:(\\-–]$') AS goes FROM x)
+SELECT book, page_no, i, mate_i, regexp_replace(src, '\\s+$', '') || ' ' || regexp_replace(next, '^\\s+', '') AS merged FROM y WHERE e <> '' AND NOT regexp_matches(e, '[.!?。！？]$') AND (label NOT IN {{no}} OR goes) AND (nl NOT IN {{no}} OR (goes AND nl = 'caption')) AND NOT (goes AND regexp_matches(f, '{{start}}'))"""
+STITCH_SQL = STITCH_SQL.replace("{start}", T.CAPTION_START).replace("{no}", str(runs.NO_MERGE))
+
+
+@R.query("c7_labelled_stitch", STITCH_SQL)
+def _(s, d):
+    bare = "regexp_replace(p, '[.!?]\\\\s*$', '')"
+    x = pieces(s, d, places=False).selectExpr(*(e.format(div="div", bare=bare) for e in STITCHED))
+    return runs.page_stitches(x.withColumnRenamed("book", "doc_id")).withColumnRenamed("doc_id", "book")
+
+
+@R.query("e11_paragraph_contexts", f"""WITH {PIECE_SQL}, para AS (SELECT DISTINCT doc_id, k // 5 AS p FROM piece), page AS (SELECT doc_id, right(lag(text) OVER w, 70) AS before, left(lead(text) OVER w, 70) AS after FROM documents WINDOW w AS (PARTITION BY doc_id // 10 ORDER BY doc_id))
+SELECT doc_id // 10 AS book, doc_id AS page_no, p, CASE WHEN p = min(p) OVER (PARTITION BY doc_id) THEN coalesce(before, '') ELSE '' END AS before, CASE WHEN p = max(p) OVER (PARTITION BY doc_id) THEN coalesce(after, '') ELSE '' END AS after FROM para JOIN page USING (doc_id)""")
+def _(s, d):
+    para = pieces(s, d, places=False).selectExpr("doc_id div 10 doc_id", "doc_id page_no", "k div 5 p").distinct()
+    page = docs(s, d).selectExpr("doc_id div 10 doc_id", "doc_id page_no", "text")
+    return runs.paragraph_contexts(para, page, 70).select(F.col("doc_id").alias("book"), "page_no", "p", "before", "after")
+
+
+@R.query("e5_paragraph_batches", f"""WITH {PIECE_SQL}, s AS (SELECT doc_id, k // 8 AS p, k AS i, CASE WHEN k % 11 = 4 OR k % 6 = 1 THEN NULL ELSE '===INPUT BLOCK ' || k || '===' || chr(10) || CASE WHEN length(p) > 60 THEN substr(p, 1, 60) || '…' ELSE p END END AS piece FROM piece),
+u AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id, p ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM s)
+SELECT doc_id, p, i, CASE WHEN used <= 300 THEN piece END AS piece, piece IS NOT NULL AND used > 300 AS failed FROM u""")
+def _(s, d):
+    x = pieces(s, d, places=False).selectExpr("doc_id", "k div 8 p", "k i", "p src", "case when k % 11 = 4 then 'done' when k % 11 = 5 then '' end tgt", "case when k % 6 = 1 then 'formula' when k % 6 = 2 then 'caption' end label")
+    return runs.paragraph_batches(x, 300, 60).select("doc_id", "p", "i", "piece", "failed")
+
+
 @R.query("c8_stitch_write_back", f"WITH {PIECE_SQL} SELECT a.doc_id, a.k, coalesce(b.t, a.p) AS target FROM piece a LEFT JOIN (SELECT doc_id + 1 AS doc_id, 0 AS k, max(p) AS t FROM piece WHERE k = 0 GROUP BY 1) b USING (doc_id, k)")
 def _(s, d):
     x = pieces(s, d)
@@ -766,6 +801,23 @@ def _(s, d):
     return x.select("p_partkey", (F.col("model").isNotNull() & F.col("projector").isNotNull()).alias("installed"))
 
 
+#: A listing: models, some split in three (one without its first part), repeated paths, projectors, other files; the same expressions in both dialects.
+FILE_ROWS = ["p_partkey AS k", """concat('m/d', p_partkey % 23, CASE WHEN p_partkey % 4 = 1 THEN '/q4' ELSE '' END, '/', CASE WHEN p_partkey % 6 = 0 THEN 'mmproj-' WHEN p_partkey % 18 = 3 THEN 'MMPROJ_' ELSE '' END, p_name,
+  CASE WHEN p_partkey % 5 = 4 THEN concat('-0000', p_partkey {div} 5 % 3 + 1, '-of-00003.gguf') WHEN p_partkey % 31 = 7 THEN '.txt' ELSE '.gguf' END) AS path""", "p_partkey % 1000 AS size"]
+SCAN_SQL = f"""WITH f AS (SELECT path, max(size) AS size FROM (SELECT {', '.join(FILE_ROWS).format(div='//')} FROM part) WHERE path LIKE '%.gguf' GROUP BY 1),
+x AS (SELECT *, regexp_extract(path, '[^/]*$') AS file, regexp_replace(path, '/?[^/]*$', '') AS folder FROM f), y AS (SELECT *, regexp_replace(file, '\\.gguf$', '') AS name, regexp_extract(file, '-([0-9]{{5}})-of-', 1) AS part, regexp_replace(file, '{catalogue.SPLIT}', '') AS whole, contains(lower(file), 'mmproj') AS pr FROM x),
+m AS (SELECT path, name, folder, CASE WHEN part = '' THEN size ELSE (SELECT sum(z.size) FROM y z WHERE z.folder = y.folder AND z.whole = y.whole AND z.part <> '' AND NOT z.pr) END AS size FROM y WHERE NOT pr AND part IN ('', '00001')),
+p AS (SELECT folder AS pf, path AS item, replace(replace(lower(name), 'mmproj-', ''), 'mmproj_', '') AS pn FROM y WHERE pr),
+c AS (SELECT m.path, item, pn, pf = folder AS own, len([i FOR i IN range(1, least(length(name), length(pn)) + 1) IF lower(name)[:i] = pn[:i]]) AS shared FROM m JOIN p ON pf = folder OR pf = regexp_replace(folder, '/?[^/]*$', '')),
+b AS (SELECT path, item, row_number() OVER (PARTITION BY path ORDER BY own DESC, shared DESC, pn, item) AS rn FROM c)
+SELECT m.path, name, folder, CAST(size AS BIGINT) AS size, item AS mmproj, item IS NOT NULL AS vision FROM m LEFT JOIN (SELECT * FROM b WHERE rn = 1) b USING (path)"""
+
+
+@R.query("a16_models_with_projectors", SCAN_SQL)
+def _(s, d):
+    return catalogue.models(table(s, d, "part").selectExpr(*(e.format(div="div") for e in FILE_ROWS)))
+
+
 #: Models in folders, some in a folder below, and projectors beside them or one folder up; the same expressions in both dialects.
 MODEL_ROWS = ["p_partkey AS id", "concat('m/d', p_partkey % 41, CASE WHEN p_partkey % 3 = 0 THEN '/q4' WHEN p_partkey % 7 = 0 THEN '/q8' ELSE '' END) AS folder", "lower(concat(p_name, '-', p_partkey % 9)) AS name"]
 PROJECTOR_ROWS = ["concat('m/d', p_partkey % 41, CASE WHEN p_partkey % 10 = 0 THEN '/q4' ELSE '' END) AS key", "lower(concat(p_name, CASE WHEN p_partkey % 4 = 0 THEN '-f16' ELSE '' END)) AS name", "p_partkey AS item"]
