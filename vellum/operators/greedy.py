@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -51,18 +51,30 @@ def _taken(t: pa.Table, entry: int) -> pa.Table:
     return t.take(pa.array(keep, pa.int64()))
 
 
+def _code(key: Column) -> Column:
+    """The key as a string that is never null, so that a null key is joined as any other."""
+    return F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit("-"))
+
+
 def chain(spans: DataFrame, slice_rows: int = SLICE_ROWS, begin: DataFrame | None = None) -> DataFrame:
     """The selected rows of spans (key, start, end, ...), start and end whole numbers that are not null.
 
     In order of start, then end, a span is taken if it begins where the last one taken has ended, or after. `begin` (key, from)
     says from where a key's first may begin; 0 otherwise. A span that ends before it begins counts as empty. Of rows with
-    one start and end any order will do. A null key is left out. The result has the columns of the input.
+    one start and end any order will do. A null key is a key of its own. The result has the columns of the input.
     """
+    own = "own_key"
+    while own in spans.columns:
+        own += "_"
+    out = _chain(spans.withColumn(own, F.col("key")).withColumn("key", _code(F.col("key"))), slice_rows, None if begin is None else begin.withColumn("key", _code(F.col("key"))))
+    return out.withColumn("key", F.col(own)).select(*[f"`{c}`" for c in spans.columns])
+
+
+def _chain(spans: DataFrame, slice_rows: int, begin: DataFrame | None) -> DataFrame:
     names = spans.columns
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spans.schema.fields)
-    key = spans.schema["key"].dataType.simpleString()
-    x = spans.where("key is not null")
-    x = x.withColumns({"start": F.col("start").cast("long"), "end": F.col("end").cast("long")})
+    key = "string"
+    x = spans.withColumns({"start": F.col("start").cast("long"), "end": F.col("end").cast("long")})
     x = x.withColumn("from", F.lit(0).cast("long")) if begin is None else x.join(begin.select("key", F.col("from").cast("long").alias("from")), "key", "left").fillna({"from": 0})
     x = kept(x)
     sizes = x.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
