@@ -22,12 +22,12 @@ def beside(asked: DataFrame, listed: DataFrame) -> DataFrame:
     x = kept(a.unionByName(b).where("key is not null and name is not null").repartitionByRange("key", "name").withColumn("part", F.spark_partition_id()))
     order = ["key", "name", "mark", "item"]
     entry = F.when(F.col("mark") == 1, F.struct("key", "name", "item"))
-    here = W.partitionBy("part").orderBy(*order)
-    back = F.last(entry, ignorenulls=True).over(here.rowsBetween(W.unboundedPreceding, -1))
-    ahead = F.first(entry, ignorenulls=True).over(here.rowsBetween(1, W.unboundedFollowing))
+    # ahead is looked for in the reverse order: a frame to the end of the range is read anew for every row
+    before, after = (W.partitionBy("part").orderBy(*by).rowsBetween(W.unboundedPreceding, -1) for by in (order, map(F.desc, order)))
+    back, ahead = F.last(entry, ignorenulls=True).over(before), F.last(entry, ignorenulls=True).over(after)
     ends = x.groupBy("part").agg(F.max(entry).alias("high"), F.min(entry).alias("low"))  # one row to a range
-    parts = W.orderBy("part")
-    ends = ends.select("part", F.last("high", ignorenulls=True).over(parts.rowsBetween(W.unboundedPreceding, -1)).alias("before"), F.first("low", ignorenulls=True).over(parts.rowsBetween(1, W.unboundedFollowing)).alias("after"))
+    low, high = (W.orderBy(by).rowsBetween(W.unboundedPreceding, -1) for by in (F.asc("part"), F.desc("part")))
+    ends = ends.select("part", F.last("high", ignorenulls=True).over(low).alias("before"), F.last("low", ignorenulls=True).over(high).alias("after"))
     x = x.withColumns({"back": back, "ahead": ahead}).where("mark = 0").join(F.broadcast(ends), "part")
     own = lambda c: F.when(c["key"] == F.col("key"), F.struct(c["name"].alias("name"), c["item"].alias("item")))
     found = x.select("key", "name", "row", own(F.coalesce("back", "before")).alias("below"), own(F.coalesce("ahead", "after")).alias("above"))
