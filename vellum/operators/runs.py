@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,14 +13,14 @@ from vellum.operators.greedy import SLICE_ROWS, chain
 from vellum.sources.scratch import kept
 
 
-def pieces(docs: DataFrame, places: bool = True) -> DataFrame:
-    """H1 and H2: rows (doc_id, k, p, start, end) of the sentence pieces; places count characters from 0.
+def pieces(docs: DataFrame, places: bool = True, cut: Callable[[Column], Column] = T.sentence_pieces) -> DataFrame:
+    """H1 and H2: rows (doc_id, k, p, start, end) of the sentence pieces that `cut` makes; places count characters from 0.
 
     Places need the pieces of a text in one partition: the texts are dealt out before they are cut, so that nothing moves
     after. Without them nothing moves at all.
     """
     docs = docs.select("doc_id", "text")
-    x = (docs.repartition("doc_id") if places else docs).select("doc_id", F.posexplode(T.sentence_pieces(F.col("text"))).alias("k", "p"))
+    x = (docs.repartition("doc_id") if places else docs).select("doc_id", F.posexplode(cut(F.col("text"))).alias("k", "p"))
     if not places:
         return x.withColumn("k", F.col("k").cast("long"))
     order = W.partitionBy("doc_id").orderBy("k")
