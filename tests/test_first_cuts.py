@@ -16,7 +16,7 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("name", ["b10_minimum_length", "b16_untranslated", "b17_hallucinated", "b18_edit_validity", "b3_skip_translation", "b4_exclude_paragraphs", "d18_splitter_totals", "d21_ordered_text", "d8_sentences_by_paragraph", "d9_paragraph_histogram", "e12_sentence_context", "e4_reference_section", "e11_paragraph_contexts"])
+@pytest.mark.parametrize("name", ["b10_minimum_length", "b16_untranslated", "b17_hallucinated", "b18_edit_validity", "b3_skip_translation", "b4_exclude_paragraphs", "d18_splitter_totals", "d21_ordered_text", "d8_sentences_by_paragraph", "d9_paragraph_histogram", "e12_sentence_context", "e4_reference_section", "e11_paragraph_contexts", "e2_glued_sentences"])
 def test_same_pieces_as_the_sql(spark, tmp_path, name):
     rows = [(i, t, "en", f"src{i}", len(t or "")) for i, t in enumerate(TEXTS)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
