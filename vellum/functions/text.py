@@ -25,17 +25,35 @@ HALLUCINATION_MARKERS = ("(ブロック", "ブロック0の翻訳", "翻訳の
 SCRIPTS = {"ja": "[ぁ-んァ-ヴ一-龥]", "zh": "[一-鿿]", "ko": "[가-힯]"}
 LANGUAGES = ("ja", "en", "zh", "ko", "de", "fr", "es")
 MARK = "\u0001"
+#: White space as RE2 and so the SQL has it; Java's class also has the vertical tab. And Unicode's space separators, which SQL's trim takes off.
+SPACE = r"\t\n\f\r "
+SEPARATORS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+
+
+def trim_separators(c: Column) -> Column:
+    return F.trim(c, F.lit(SEPARATORS))
 
 
 def plain(c: Column) -> Column:
     """Without markup, white space runs as one space, trimmed; a null is empty."""
     text = F.coalesce(c, F.lit(""))
     bare = F.when(F.contains(text, F.lit("<")), F.regexp_replace(text, "<[^>]+>", "")).otherwise(text)
-    return trim(F.regexp_replace(bare, r"\s+", " "))
+    return trim_separators(F.regexp_replace(bare, rf"[{SPACE}]+", " "))
+
+
+def simple_lower(c: Column) -> Column:
+    """Each code point in small by itself, as SQL has it: Σ becomes σ at the end of a word too, İ becomes i."""
+    return F.lower(F.replace(F.replace(c, F.lit("İ"), F.lit("i")), F.lit("Σ"), F.lit("σ")))
+
+
+def simple_upper(c: Column) -> Column:
+    """Each code point in capitals by itself, as SQL has it: those that would become several, such as ß, stay."""
+    one = lambda x: F.when(F.length(F.upper(x)) == 1, F.upper(x)).otherwise(x)
+    return F.when(c.rlike("[ßŉǰΐΰև\u1e96-\u1e9a\u1f50-\u1fff\ufb00-\ufb17]"), F.array_join(F.transform(F.split(c, ""), one), "")).otherwise(F.upper(c))
 
 
 def shield_abbreviations(c: Column) -> Column:
@@ -61,12 +79,13 @@ def sentence_pieces(c: Column) -> Column:
 def spaced_pieces(c: Column) -> Column:
     """H1's first branch, the rule of PIECE_SQL to the letter: a cut stands after . ! ? with closers and white space only.
 
-    Initials are found in one pass, so of several in a row every other one ends a piece; `sentence_pieces` joins them all. White
-    space is RE2's, without the vertical tab, and an empty text is one empty piece.
+    The character after a cut is taken with it, so a stop that stands there begins no cut of its own (". . x" has one). Initials are found
+    in one pass, so of several in a row every other one ends a piece; `sentence_pieces` joins them all. White space is RE2's, without the
+    vertical tab, and an empty text is one empty piece.
     """
-    close, space = r"[\"'”’)\]]*(?:<sup>[^<]{0,40}</sup>)?(?:</(?:i|b|sup|sub)>)?", r"\t\n\f\r "
-    cut = F.regexp_replace(c, rf"[.!?]{close}[{space}]+(?=[^{space}])", "$0" + MARK)
-    return F.split(F.regexp_replace(cut, rf"((?:^|[{space}(\[.\-{MARK}])[A-Z]\.[{space}]*){MARK}", "$1"), MARK)
+    close = r"[\"'”’)\]]*(?:<sup>[^<]{0,40}</sup>)?(?:</(?:i|b|sup|sub)>)?"
+    cut = F.regexp_replace(c, rf"([.!?]{close}[{SPACE}]+)([^{SPACE}])", f"$1{MARK}$2")
+    return F.split(F.regexp_replace(cut, rf"((?:^|[{SPACE}(\[.\-{MARK}])[A-Z]\.[{SPACE}]*){MARK}", "$1"), MARK)
 
 
 def caption_head(c: Column) -> Column:
@@ -84,7 +103,7 @@ def base_number(number: Column, supplement: Column) -> Column:
 
 def untranslated(target: Column, source: Column, lang: Column) -> Column:
     def squeeze(c: Column) -> Column:
-        return F.lower(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", ""), r"\s+", ""))
+        return simple_lower(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", ""), rf"[{SPACE}]+", ""))
 
     t, s = squeeze(target), squeeze(source)
     same = (t == s) | ((F.length(s) >= 20) & (F.substring(t, 1, 40) == F.substring(s, 1, 40)))
