@@ -15,7 +15,7 @@ TEXTS = [
     "No id. It has. . five pieces. at. least. and. more",
     "\x0b. " + "\x0b" * 20 + ". " + "word " * 25 + "\x0b" * 8 + ". x. y",
 ]
-NAMES = ["b16_untranslated"]
+NAMES = ["b16_untranslated", "b17_hallucinated"]
 
 
 def rows():
