@@ -15,7 +15,7 @@ TEXTS = [
     "No id. It has. . five pieces. at. least. and. more",
     "\x0b. " + "\x0b" * 20 + ". " + "word " * 25 + "\x0b" * 8 + ". x. y",
 ]
-NAMES = ["b16_untranslated", "b17_hallucinated", "b18_edit_validity", "b3_skip_translation", "b4_exclude_paragraphs", "d18_splitter_totals", "d21_ordered_text", "d8_sentences_by_paragraph", "d9_paragraph_histogram", "e11_paragraph_contexts", "e12_sentence_context", "e2_glued_sentences"]
+NAMES = ["b16_untranslated", "b17_hallucinated", "b18_edit_validity", "b3_skip_translation", "b4_exclude_paragraphs", "d18_splitter_totals", "d21_ordered_text", "d8_sentences_by_paragraph", "d9_paragraph_histogram", "e11_paragraph_contexts", "e12_sentence_context", "e2_glued_sentences", "e4_reference_section"]
 
 
 def rows():
