@@ -113,12 +113,15 @@ def untranslated(target: Column, source: Column, lang: Column) -> Column:
     return (t != "") & (s != "") & (same | foreign)
 
 
-def hallucinated(answer: Column, source_length: Column) -> Column:
-    t = trim(answer)
+def hallucinated(answer: Column, source_length: Column, markers: tuple[str, ...] = HALLUCINATION_MARKERS) -> Column:
+    """An answer that holds a marker (none of which begins or ends with white space) or is far longer than its source."""
     marked = F.lit(False)
-    for m in HALLUCINATION_MARKERS:
-        marked = marked | t.contains(m)
-    return (F.coalesce(answer, F.lit("")) != "") & (marked | ((source_length > 0) & (F.length(t) > source_length * 3 + 100)))
+    for m in markers:
+        marked = marked | answer.contains(m)
+    # the trimmed text is no longer than the text, so most are never trimmed
+    most = source_length * 3 + 100
+    long = (source_length > 0) & (F.length(answer) > most) & (F.length(trim(answer)) > most)
+    return (F.coalesce(answer, F.lit("")) != "") & (marked | long)
 
 
 def is_japanese(c: Column) -> Column:
