@@ -165,6 +165,19 @@ def test_suffix_dedup(spark, docs, rows, empty, monkeypatch, most, chunk):
     assert suffix_dedup.suffix_dedup(empty, scratch(spark)).count() == 0
 
 
+@pytest.mark.parametrize("most", [20_000, 1])
+def test_suffix_dedup_line_that_comes_again_nearby(spark, monkeypatch, most):
+    """Each of a line's places lists the strings that hold both; those start at one place only and stay."""
+    monkeypatch.setattr(suffix_dedup, "MOST_SORTED", most)
+    r = random.Random(5)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    line, tail = text(70), text(450)
+    rows = [(1, text(300) + line + text(30) + line + text(300)), (2, text(200) + line + text(90) + line + text(50) + line + text(200)), (3, text(100) + line * 9), (4, text(90) + line + text(20) + line + tail), (5, line + tail)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.n_bytes, x.n_removed, bytes(x.kept)) for x in suffix_dedup.suffix_dedup(df, scratch(spark)).collect()}
+    assert got == brute_bytes(rows) and [got[i][1] for i in sorted(got)] == [0, 0, 630, 520, 520]
+
+
 def test_suffix_sort_is_a_sort():
     r = random.Random(3)
     strings = [bytes(r.choice(b"ab") for _ in range(r.randint(0, 12))) for _ in range(200)]
