@@ -68,11 +68,13 @@ def near_words(words: DataFrame) -> DataFrame:
     # the letter taken away is the one that changes, so that no pair is found by another letter as well
     verified = (F.levenshtein("word1", "word2", 1) == 1) & (times("word1") - times("word2") == 1)
 
+    # Spark sizes the listed rows by the table they come from, many times too low, and would gather them all to send them around
+    apart = lambda df, s: two(df, s).hint("merge")
     exchange = _rows(words, "exchange")
-    out = two(exchange, 1).join(two(exchange, 2), on).where(F.col("word1") != F.col("word2")).where(verified)
+    out = apart(exchange, 1).join(apart(exchange, 2), on).where(F.col("word1") != F.col("word2")).where(verified)
     out = out.select(F.col("word1").alias("word"), F.col("n1").alias("n"), F.col("word2").alias("near"), F.col("n2").alias("near_n"))
 
-    added = two(_rows(words, "longer"), 1).join(two(_rows(words, "as it is"), 2), on).where(verified)
+    added = apart(_rows(words, "longer"), 1).join(apart(_rows(words, "as it is"), 2), on).where(verified)
     half = F.floor(F.col("len") / 2).cast("int")
     once = F.col("half").startswith("h") | (F.substring("word1", F.lit(1), half) != F.substring("word2", F.lit(1), half))
     both = F.array(F.struct(F.col("word1").alias("word"), F.col("n1").alias("n"), F.col("word2").alias("near"), F.col("n2").alias("near_n")), F.struct(F.col("word2").alias("word"), F.col("n2").alias("n"), F.col("word1").alias("near"), F.col("n1").alias("near_n")))
@@ -103,10 +105,10 @@ def variants(words: DataFrame, scratch: Scratch, times: int = 2) -> DataFrame:
     to = scratch.keep(found.where("form is not null").select("word", F.col("form").alias("root")))
     while True:
         on = to.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        new = scratch.keep(to.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        new = scratch.keep(to.join(on.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         scratch.drop(to)
         to = new.drop("moved")
         to._scratch_path = new._scratch_path
         if new.where("moved").isEmpty():
             break
-    return found.join(to, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.join(to.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
