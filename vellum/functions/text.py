@@ -166,11 +166,12 @@ def wrap_styles(text: Column, styles: Column) -> Column:
 
 
 def span_styles(flags: Column, font: Column, size: Column, base: Column, y_mid: Column, line_mid: Column, text: Column | None = None) -> Column:
-    """Styles of a span, the inner first. A size of 0 or null counts as the base; a span whose text is given and blank has none."""
+    """Styles of a span, the inner first. A size of 0 or null counts as the base, null flags as 0; a span whose text is given and blank has none."""
+    flags = F.coalesce(flags, F.lit(0))
     raised = flags.bitwiseAND(1) > 0
     size = F.coalesce(F.nullif(size, F.lit(0.0)), base)
     solid = F.lit(True) if text is None else F.coalesce(text.rlike(r"\S"), F.lit(False))
-    small = ~raised & (size < base * F.lit(0.78))
+    small = ~raised & (size < base * 78 / 100)  # 10 * 0.78 is a little over 7.8
     styles = F.array_compact(
         F.array(
             F.when((flags.bitwiseAND(2) > 0) | font.rlike("[Ii]talic|[Oo]blique"), "italic"),
