@@ -36,6 +36,16 @@ def test_no_sentences_or_no_questions(spark):
     assert search.best_sentences(s.where("false"), q).count() == 0 and search.best_sentences(s, q.where("false")).count() == 0
 
 
+def test_sentences_are_sent_once_whatever_the_batches(spark):
+    """Each sentence was sent once to a batch of questions, and each question once to a block of sentences."""
+    s = spark.range(300).selectExpr("id doc_id", "id k", "concat('some words ', id) sentence")
+    q = spark.range(20).selectExpr("id q", "concat('words ', id) question")
+    found = search.best_sentences(s, q, 2, 500, 3, 10)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "explode" not in plan
+    assert found.count() == 40
+
+
 # --------------------------------------------------------------------------- captions
 
 
